@@ -1,0 +1,167 @@
+"""Many-workbook ingest: one task per batch of .xlsx files.
+
+Spark lists and ships the files (``binaryFile`` works on any Hadoop file
+system); a task turns the chosen sheet of each file into rows. A sheet holds at
+most 1,048,576 rows by format, so one file is bounded work.
+"""
+
+import io
+import sys
+import zipfile
+from datetime import datetime, timedelta
+from xml.etree import ElementTree
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
+# Built-in number formats that show a date.
+DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def read_workbooks(spark, path, sheet=0, schema=None):
+    """Rows of one sheet (index or name) of every workbook under path.
+
+    Columns are matched by header name. Without a schema the header of one
+    workbook names the columns and numbers stay numbers where every value is one.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    if schema is None:
+        first = files.orderBy("path").limit(1).collect()
+        if not first:
+            raise FileNotFoundError(path)
+        header = next(_rows(bytes(first[0]["content"]), sheet), [])
+        names = [str(h).strip() for h in header if h not in (None, "")]
+    else:
+        names = schema.names
+    keys = [n.lower().replace(" ", "_") for n in names]
+
+    def parse(batches):
+        for batch in batches:
+            for content in batch["content"]:
+                yield _frame(content, sheet, names, keys)
+
+    texts = ", ".join(f"`{n}` string" for n in names)
+    df = files.mapInPandas(parse, texts)
+    if schema is not None:
+        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+    return _numbers_where_all_fit(df)
+
+
+def _numbers_where_all_fit(df):
+    bad = df.agg(*[
+        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
+        .alias(str(i))
+        for i, c in enumerate(df.columns)
+    ]).first()
+    return df.select(*[
+        F.col(f"`{c}`").try_cast("double").alias(c) if bad[str(i)] == 0 else F.col(f"`{c}`")
+        for i, c in enumerate(df.columns)
+    ])
+
+
+def _frame(content, sheet, names, keys):
+    rows = _rows(content, sheet)
+    header = [
+        "" if h is None else str(h).strip().lower().replace(" ", "_")
+        for h in next(rows, [])
+    ]
+    at = {h: i for i, h in enumerate(header)}
+    picks = [at.get(k, -1) for k in keys]
+    body = [
+        [row[i] if 0 <= i < len(row) else None for i in picks]
+        for row in rows
+        if any(v is not None for v in row)
+    ]
+    return pd.DataFrame(body, columns=names, dtype=object)
+
+
+def _rows(content, sheet):
+    """Lists of cell texts, empty cells as None, in sheet order."""
+    with zipfile.ZipFile(io.BytesIO(content)) as book:
+        shared = _shared_strings(book)
+        dates, epoch = _date_styles(book)
+        with book.open(_sheet_file(book, sheet)) as xml:
+            for _, row in ElementTree.iterparse(xml):
+                if row.tag != f"{MAIN}row":
+                    continue
+                cells = []
+                for cell in row.iter(f"{MAIN}c"):
+                    col = _column_index(cell.get("r"), len(cells))
+                    cells += [None] * (col + 1 - len(cells))
+                    cells[col] = _text(cell, shared, dates, epoch)
+                yield cells
+                row.clear()
+
+
+def _column_index(ref, default):
+    if not ref:
+        return default
+    n = 0
+    for ch in ref:
+        if ch.isdigit():
+            break
+        n = n * 26 + ord(ch) - 64
+    return n - 1
+
+
+def _text(cell, shared, dates, epoch):
+    if cell.get("t") == "inlineStr":
+        return "".join(t.text or "" for t in cell.iter(f"{MAIN}t"))
+    value = cell.findtext(f"{MAIN}v")
+    if value is None:
+        return None
+    if cell.get("t") == "s":
+        return shared[int(value)]
+    if cell.get("t") == "b":
+        return "true" if value == "1" else "false"
+    if cell.get("t") in (None, "n") and cell.get("s") and int(cell.get("s")) in dates:
+        moment = epoch + timedelta(days=float(value))
+        return moment.strftime("%Y-%m-%d" if float(value) % 1 == 0 else "%Y-%m-%d %H:%M:%S")
+    return value
+
+
+def _parse_part(book, name):
+    return ElementTree.fromstring(book.read(name)) if name in book.namelist() else None
+
+
+def _shared_strings(book):
+    root = _parse_part(book, "xl/sharedStrings.xml")
+    if root is None:
+        return []
+    return ["".join(t.text or "" for t in si.iter(f"{MAIN}t")) for si in root]
+
+
+def _date_styles(book):
+    """Style numbers that format a date, and day zero of the workbook's calendar."""
+    root = _parse_part(book, "xl/styles.xml")
+    styles = set()
+    if root is not None:
+        custom = {
+            int(f.get("numFmtId"))
+            for f in root.iter(f"{MAIN}numFmt")
+            if any(ch in f.get("formatCode", "").lower() for ch in "yd")
+        }
+        formats = root.find(f"{MAIN}cellXfs")
+        for i, xf in enumerate(formats if formats is not None else []):
+            if int(xf.get("numFmtId", 0)) in DATE_FORMAT_IDS | custom:
+                styles.add(i)
+    props = _parse_part(book, "xl/workbook.xml").find(f"{MAIN}workbookPr")
+    since_1904 = props is not None and props.get("date1904") in ("1", "true")
+    return styles, datetime(1904, 1, 1) if since_1904 else datetime(1899, 12, 30)
+
+
+def _sheet_file(book, sheet):
+    sheets = _parse_part(book, "xl/workbook.xml").find(f"{MAIN}sheets")
+    names = [s.get("name") for s in sheets]
+    index = names.index(sheet) if isinstance(sheet, str) else sheet
+    wanted = sheets[index].get(f"{LINK}id")
+    for link in _parse_part(book, "xl/_rels/workbook.xml.rels"):
+        if link.get("Id") == wanted:
+            target = link.get("Target").lstrip("/")
+            return target if target.startswith("xl/") else f"xl/{target}"
+    raise ValueError(f"sheet {sheet!r} not found")

@@ -1,0 +1,5 @@
+"""No streaming operators: history is read whole.
+
+The row-wise filters in ``quotecast.operators.filters`` are plain projections and
+predicates, so they also run on a streaming DataFrame.
+"""
