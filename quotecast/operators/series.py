@@ -45,13 +45,14 @@ def to_series(df, value, keys=(), freq="day", fill_spine=False, date="date"):
 def fill_gaps(series, keys, freq):
     """Every bucket between a key's first and last, NULL where there was no row."""
     following = F.lead("date").over(_by_date(keys))
-    stop = F.coalesce(F.date_sub(following, 1), F.col("date"))
+    stop = F.coalesce(F.date_sub("_next", 1), F.col("date"))
     days = F.sequence(F.col("date"), stop, F.expr(f"interval {STEPS[freq]}"))
     return (
-        series.withColumn("_day", F.explode(days))
+        series.withColumn("_next", following)
+        .withColumn("_day", F.explode(days))
         .withColumn("value", F.when(F.col("_day") == F.col("date"), F.col("value")))
         .withColumn("date", F.col("_day").cast("date"))
-        .drop("_day")
+        .drop("_day", "_next")
     )
 
 
