@@ -15,7 +15,7 @@ from quotecast.plans.registry import (
     select,
     series_sql,
 )
-from quotecast.sources.history import daily_events, dirty_history, history
+from quotecast.sources.history import daily_events, dirty_history, history, table
 
 BY = ["country"]
 MONTHLY = series_sql()
@@ -48,7 +48,7 @@ _SPINE = {
 
 def _spined(freq, keys="vendor"):
     return series_sql(keys=keys, freq=freq) + f""", spine AS (
-      SELECT {keys}, CAST(unnest({_SPINE[freq].replace("generate_series", "generate_series")}) AS DATE) AS date
+      SELECT {keys}, CAST(unnest({_SPINE[freq]}) AS DATE) AS date
       FROM (SELECT {keys}, CAST(min(date) AS TIMESTAMP) AS lo, CAST(max(date) AS TIMESTAMP) AS hi
             FROM series GROUP BY 1)),
     filled AS (SELECT {keys}, date, value FROM spine LEFT JOIN series USING ({keys}, date))"""
@@ -109,8 +109,6 @@ def _(spark, d):
              FROM (SELECT event_type, user_id, avg(value) AS a FROM events GROUP BY 1, 2) GROUP BY 1)""",
 )
 def _(spark, d):
-    from quotecast.sources.history import table
-
     indexed = table(spark, d, "events").groupBy("event_type", F.col("user_id").alias("date")).agg(
         F.avg("value").alias("value")
     )
@@ -136,30 +134,28 @@ def _(spark, d):
     return rounded(series.moving_averages(monthly(spark, d), BY))
 
 
-def _classical(rest, keys="country"):
+def _classical(rest, placed=None):
     """Decomposition with a 12-period season; ``rest`` takes y and x to y - x or y / x."""
-    part = f"PARTITION BY {keys}" if keys else ""
-    group = f"{keys}, " if keys else ""
-    join = f"USING ({keys})" if keys else "ON true"
-    return placed_sql(keys) + f""", centred AS (
+    part = "PARTITION BY country"
+    return (placed_sql() if placed is None else placed) + f""", centred AS (
       SELECT *, CASE WHEN pos >= 6 AND pos < n - 6 THEN
         (sum(value) OVER ({part} ORDER BY pos ROWS BETWEEN 6 PRECEDING AND 5 FOLLOWING)
          + sum(value) OVER ({part} ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 6 FOLLOWING)) / 24 END AS t
       FROM placed),
     ends AS (
-      SELECT {group}regr_slope(t, pos) FILTER (pos BETWEEN 6 AND 17) AS s0,
+      SELECT country, regr_slope(t, pos) FILTER (pos BETWEEN 6 AND 17) AS s0,
              regr_intercept(t, pos) FILTER (pos BETWEEN 6 AND 17) AS i0,
              regr_slope(t, pos) FILTER (pos BETWEEN n - 19 AND n - 8) AS s1,
              regr_intercept(t, pos) FILTER (pos BETWEEN n - 19 AND n - 8) AS i1
       FROM centred GROUP BY ALL),
     trended AS (
       SELECT c.*, CASE WHEN pos < 6 THEN s0 * pos + i0 WHEN pos >= n - 6 THEN s1 * pos + i1 ELSE t END AS trend
-      FROM centred c JOIN ends {join}),
-    effects AS (SELECT {group}pos % 12 AS r, avg({rest("value", "trend")}) AS e FROM trended GROUP BY ALL),
-    balanced AS (SELECT {group}r, {rest("e", f"avg(e) OVER ({part})")} AS seasonal FROM effects),
+      FROM centred c JOIN ends USING (country)),
+    effects AS (SELECT country, pos % 12 AS r, avg({rest("value", "trend")}) AS e FROM trended GROUP BY ALL),
+    balanced AS (SELECT country, r, {rest("e", f"avg(e) OVER ({part})")} AS seasonal FROM effects),
     parts AS (
       SELECT t.*, seasonal, {rest(rest("value", "trend"), "seasonal")} AS residual
-      FROM trended t JOIN balanced b ON t.pos % 12 = b.r{f" AND t.{keys} = b.{keys}" if keys else ""})"""
+      FROM trended t JOIN balanced b ON t.pos % 12 = b.r AND t.country = b.country)"""
 
 
 def _minus(y, x):
@@ -270,27 +266,28 @@ def _(spark, d):
     return features.detect_period(monthly(spark, d), BY)
 
 
+# Only a 12-period season has a monthly pattern, so the other series yield no rows.
 @query(
     "seasonality_profile",
     select(
-        series_sql(keys="") + _classical(_minus, "") + """, months AS (
-          SELECT month(date) AS m, avg(seasonal) / (SELECT avg(value) FROM parts) * 100 AS s FROM parts GROUP BY 1)""",
+        _PERIODS + _classical(_minus, "") + """, months AS (
+          SELECT country, month(date) AS m, avg(seasonal) AS s FROM parts GROUP BY ALL),
+        sizes AS (SELECT country, (max(seasonal) - min(seasonal)) / 2 AS amplitude, avg(value) AS level
+                  FROM parts GROUP BY 1),
+        peaks AS (SELECT country, CAST(arg_max(m, s) AS INTEGER) AS peak_month,
+                         CAST(arg_min(m, s) AS INTEGER) AS trough_month FROM months GROUP BY 1)""",
         [
-            "period=CAST(12 AS INTEGER)",
-            "amplitude~=(SELECT (max(seasonal) - min(seasonal)) / 2 FROM parts)",
-            "peak_month=CAST((SELECT arg_max(m, s) FROM months) AS INTEGER)",
-            "trough_month=CAST((SELECT arg_min(m, s) FROM months) AS INTEGER)",
-            "month=CAST(m AS INTEGER)",
-            "percent~=s",
+            "country", "period", "amplitude~", "peak_month", "trough_month",
+            "month=CAST(m AS INTEGER)", "percent~=s / level * 100",
         ],
-        "months",
+        """months JOIN sizes USING (country) JOIN peaks USING (country) JOIN periods USING (country)
+           WHERE period = 12""",
     ),
 )
 def _(spark, d):
-    found = features.seasonality_profile(monthly(spark, d, keys=()))
-    return rounded(found.select(
-        "period", "amplitude", "peak_month", "trough_month", F.explode("pattern").alias("month", "percent")
-    ))
+    found = features.seasonality_profile(monthly(spark, d), BY)
+    months = F.explode("pattern").alias("month", "percent")
+    return rounded(found.select("country", "period", "amplitude", "peak_month", "trough_month", months))
 
 
 def _last_rows(keys, w, source="series"):
