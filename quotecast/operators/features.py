@@ -133,7 +133,12 @@ def detect_period(series, keys=(), max_lag=24):
     Without a peak, monthly series get 12, quarterly ones 4, all others 1.
     """
     cap = F.when(F.col("n") < max_lag * 2, F.floor(F.col("n") / 2)).otherwise(max_lag)
-    usable = autocorrelations(series, keys, max_lag).where(F.col("lag") <= cap)
+    # Differences in the last bits are not peaks: a straight line correlates fully at every lag.
+    usable = (
+        autocorrelations(series, keys, max_lag)
+        .where(F.col("lag") <= cap)
+        .withColumn("acf", F.round("acf", 12))
+    )
     by_lag = Window.partitionBy(*_one(keys)).orderBy("lag")
     before, after = F.lag("acf").over(by_lag), F.lead("acf").over(by_lag)
     acf = F.col("acf")
