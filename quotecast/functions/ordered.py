@@ -14,7 +14,7 @@ from quotecast.functions.columns import join_on_keys
 from quotecast.functions.lineage import checkpoint
 from quotecast.functions.quantiles import largest_group
 
-ROW_LIMIT = 2_000_000
+ROW_LIMIT = 1_000_000
 
 
 def neighbours(df, keys, order_by, column, row_limit=ROW_LIMIT, size=None):
@@ -52,7 +52,11 @@ def _scan(df, part, order, column):
     by = part or [F.lit(0)]
     rows = Window.partitionBy(*by).orderBy(*order)
     before = rows.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = rows.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead runs backwards: a frame that grows is scanned once, one that
+    # shrinks would be scanned again for every row.
+    after = Window.partitionBy(*by).orderBy(F.desc("_pos")).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
     here = F.when(
         F.col(column).isNotNull(),
         F.struct(F.col("_pos").alias("pos"), F.col(column).alias("v")),
@@ -62,7 +66,7 @@ def _scan(df, part, order, column):
         .withColumn("_here", here)
         .withColumn("_lag", F.lag(column).over(rows))
         .withColumn("_back", F.last("_here", ignorenulls=True).over(before))
-        .withColumn("_ahead", F.first("_here", ignorenulls=True).over(after))
+        .withColumn("_ahead", F.last("_here", ignorenulls=True).over(after))
     )
 
 
@@ -76,7 +80,9 @@ def _stitch(scanned, keys, part, column):
     by = list(keys) or [F.lit(0)]
     chain = Window.partitionBy(*by).orderBy("_chunk")
     earlier = chain.rowsBetween(Window.unboundedPreceding, -1)
-    later = chain.rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy(*by).orderBy(F.desc("_chunk")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
 
     def shifted(c):
         return F.when(
@@ -92,7 +98,7 @@ def _stitch(scanned, keys, part, column):
             *part,
             "_offset",
             F.last("_last", ignorenulls=True).over(earlier).alias("_carry_back"),
-            F.first("_first", ignorenulls=True).over(later).alias("_carry_ahead"),
+            F.last("_first", ignorenulls=True).over(later).alias("_carry_ahead"),
             F.lag("_tail").over(chain).alias("_carry_lag"),
         )
     )

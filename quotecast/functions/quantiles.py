@@ -1,9 +1,9 @@
 """Exact quantiles (linear interpolation) that hold at any group size.
 
-The built-in ``percentile`` keeps every distinct value of a group in one
-aggregation buffer. That is fine while groups are small, so group sizes are
-checked first (one count job, combined map-side). If some group is larger than
-``row_limit`` the quantiles are found by narrowing instead:
+Sorting a group's values in one aggregation buffer is fastest while groups are
+small, so group sizes are checked first (one count job, combined map-side). If
+some group is larger than ``row_limit`` no buffer ever holds a group, and the
+quantiles are found by narrowing instead:
 
 1. a bounded sketch per group gives a bracket around every wanted rank;
 2. rows below each bracket are counted exactly, and a sketch of the rows inside
@@ -21,9 +21,9 @@ from math import inf
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import join_on_keys
+from quotecast.functions.columns import join_on_keys, nan_to_null
 
-ROW_LIMIT = 2_000_000
+ROW_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
 SKETCH_MARGIN = 5 / SKETCH_ACCURACY
 GRID = 256
@@ -37,22 +37,50 @@ def largest_group(df, keys=()):
     return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
 
 
-def exact_quantiles(df, columns, probs, keys=(), row_limit=ROW_LIMIT, size=None):
-    """Quantiles of every column: rows (keys..., column, n, q).
+def sorted_values(c):
+    """Aggregate: the non-null values of a group in order. For groups of checked size."""
+    return F.sort_array(F.collect_list(c))
+
+
+def at_positions(values, probs):
+    """Array of quantiles of a sorted array."""
+
+    def one(p):
+        position = (F.size(values) - 1) * F.lit(float(p))
+        low = F.get(values, F.floor(position).cast("int"))
+        high = F.get(values, F.ceil(position).cast("int"))
+        return low + (high - low) * (position - F.floor(position))
+
+    return F.array(*[one(p) for p in probs])
+
+
+def exact_quantiles(
+    df, columns, probs, keys=(), row_limit=ROW_LIMIT, size=None, also=()
+):
+    """Quantiles of every column: rows (keys..., column, n, q) where there are values.
 
     ``q`` is an array in the order of ``probs``; ``n`` counts non-null values.
     ``size`` is an upper bound on the largest group where the caller has one.
+    ``also`` holds further aggregates over ``_v`` to compute along the way; with
+    it, groups without values are kept.
     """
     long = _long(df, columns, keys)
     group = [*keys, "column"]
+    probs = [float(p) for p in probs]
     if size is None:
         size = largest_group(df, keys)
     if size <= row_limit:
-        return long.groupBy(*group).agg(
-            F.count("_v").alias("n"),
-            F.percentile("_v", [float(p) for p in probs]).alias("q"),
+        found = (
+            long.groupBy(*group)
+            .agg(sorted_values("_v").alias("_s"), *also)
+            .withColumns({"n": F.size("_s").cast("long"), "q": at_positions(F.col("_s"), probs)})
+            .drop("_s")
         )
-    return _narrowed(long, group, [float(p) for p in probs])
+        return found if also else found.where(F.col("n") > 0)
+    found = _narrowed(long.where(F.col("_v").isNotNull()), group, probs)
+    if not also:
+        return found
+    return join_on_keys(long.groupBy(*group).agg(*also), found, group, "left")
 
 
 def quantile_values(df, columns, probs, row_limit=ROW_LIMIT, size=None):
@@ -63,16 +91,12 @@ def quantile_values(df, columns, probs, row_limit=ROW_LIMIT, size=None):
 
 
 def _long(df, columns, keys):
-    values = [F.col(c).cast("double").alias(f"_v_{i}") for i, c in enumerate(columns)]
+    """One row per value: keys..., column, _v; NaN counts as missing."""
+    values = [nan_to_null(F.col(c).cast("double")) for c in columns]
     if len(columns) == 1:
-        return df.select(
-            *keys, F.lit(columns[0]).alias("column"), values[0].alias("_v")
-        ).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    pairs = F.inline(F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v"))
-        for c in columns
-    ]))
-    return df.select(*keys, pairs).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+        return df.select(*keys, F.lit(columns[0]).alias("column"), values[0].alias("_v"))
+    pairs = [F.struct(F.lit(c).alias("column"), v.alias("_v")) for c, v in zip(columns, values)]
+    return df.select(*keys, F.inline(F.array(*pairs)))
 
 
 def _narrowed(long, group, probs):

@@ -63,11 +63,7 @@ def _isolation_forest(df, column, name, seed):
     value = F.col(column).cast("double")
     known = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
     sample = known.withColumn("r", F.rand(seed)).orderBy("r").limit(TREES * TREE_ROWS)
-    planted = sample.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))))
-    turn = Window.partitionBy("tree").orderBy(F.xxhash64("r", "tree", F.lit(seed)))
-    planted = planted.withColumn("turn", F.row_number().over(turn)).where(
-        F.col("turn") <= TREE_ROWS
-    )
+    planted = _planted(sample, seed)
 
     def grow(pdf):
         tree = int(pdf["tree"].iloc[0])
@@ -100,6 +96,21 @@ def _isolation_forest(df, column, name, seed):
     return scored.withColumn(name, flagged).drop("_path")
 
 
+def _planted(sample, seed):
+    """Rows per tree: a full sample is dealt out, a smaller one is drawn from by every tree."""
+    dealt = Window.partitionBy(F.lit(0))
+    numbered = sample.withColumns({
+        "n": F.count(F.lit(1)).over(dealt),
+        "i": F.row_number().over(dealt.orderBy("r")) - 1,
+    })
+    own = F.array(F.floor(F.col("i") / TREE_ROWS).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(TREES - 1))
+    full = F.col("n") == TREES * TREE_ROWS
+    placed = numbered.withColumn("tree", F.explode(F.when(full, own).otherwise(every)))
+    turn = Window.partitionBy("tree").orderBy(F.xxhash64("i", "tree", F.lit(seed)))
+    return placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= TREE_ROWS)
+
+
 def _expected_depth(n):
     """Mean depth of an unsuccessful search among n values."""
     if n <= 1:

@@ -9,7 +9,12 @@ from quotecast.functions.chain import chain_fit
 from quotecast.functions.columns import clamp, join_on_keys
 from quotecast.functions.folds import fold, let, mean
 from quotecast.functions.ordered import ROW_LIMIT, neighbours
-from quotecast.functions.quantiles import exact_quantiles, largest_group
+from quotecast.functions.quantiles import (
+    at_positions,
+    exact_quantiles,
+    largest_group,
+    sorted_values,
+)
 
 KINDS = ("auto", "bounds", "smoothness", "trend")
 OBJECTIVES = {"cp_sat": "l1", "lp": "l2", "l1": "l1", "l2": "l2"}
@@ -32,11 +37,14 @@ SEASON_POINTS = 12
 MONOTONE_STEPS = 60
 
 
-def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",), row_limit=ROW_LIMIT):
+def derive_constraints(
+    history, value, keys=(), kind="auto", order_by=("date",), row_limit=ROW_LIMIT, size=None
+):
     """One row of constraints per key, from raw history rows; NULL where none applies.
 
     Rows count in the given order; rows equal in it are ordered by value, which
-    makes the result the same for any layout of the table.
+    makes the result the same for any layout of the table. ``size`` is an upper
+    bound on the rows of one key where the caller has one.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown constraint type {kind!r}: use one of {KINDS}")
@@ -48,9 +56,8 @@ def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",),
     smooth, trend = kind in ("auto", "smoothness"), kind in ("auto", "trend")
     v = F.col("_value")
     aggs = []
-    size = 0
     if smooth or trend:
-        size = largest_group(rows, keys)
+        size = largest_group(rows, keys) if size is None else size
         rows = neighbours(rows, keys, [*order_by, "_value"], "_value", row_limit, size)
         rows = rows.withColumn("_change", F.abs(v - F.col("_lag")))
     if bounds:
@@ -68,7 +75,8 @@ def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",),
         )
     apart = smooth and size > row_limit
     if smooth and not apart:
-        aggs.append(F.percentile("_change", CHANGE_SHARE).alias("smoothness_factor"))
+        steps = at_positions(sorted_values("_change"), [CHANGE_SHARE])
+        aggs.append(steps[0].alias("smoothness_factor"))
     out = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
     if apart:
         found = exact_quantiles(rows, ["_change"], [CHANGE_SHARE], keys, row_limit, size)

@@ -29,18 +29,18 @@ def _unfold(df, columns, aggs, names):
 def describe(df, columns=None, row_limit=ROW_LIMIT):
     """column, count, mean, std, min, q25, q50, q75, max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    aggs = [
-        F.count,
-        F.avg,
-        lambda c: F.stddev_samp(c.cast("double")),
-        lambda c: F.min(c).cast("double"),
-        lambda c: F.max(c).cast("double"),
+    v = F.col("_v")
+    also = [
+        F.avg(v).alias("mean"),
+        F.stddev_samp(v).alias("std"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
     ]
-    base = _unfold(df, columns, aggs, ["count", "mean", "std", "min", "max"])
-    quartiles = exact_quantiles(df, columns, QUARTILES, row_limit=row_limit)
-    return base.join(quartiles.select("column", "q"), "column", "left").select(
+    found = exact_quantiles(df, columns, QUARTILES, row_limit=row_limit, also=also)
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return names.join(found, "column", "left").select(
         "column",
-        "count",
+        F.coalesce("n", F.lit(0)).alias("count"),
         "mean",
         "std",
         "min",
@@ -171,26 +171,28 @@ def ols_trend(df, x, y, by=()):
     )
 
 
-def stats(df, value, by=(), row_limit=ROW_LIMIT):
+def stats(df, value, by=(), row_limit=ROW_LIMIT, size=None):
     """by..., min, max, mean, median, std, range, count."""
     rows = df.dropna(subset=list(by)) if by else df
-    v = F.col(value).cast("double")
-    base = rows.groupBy(*by).agg(
+    v = F.col("_v")
+    also = [
         F.min(v).alias("min"),
         F.max(v).alias("max"),
         F.avg(v).alias("mean"),
         F.stddev_samp(v).alias("std"),
         (F.max(v) - F.min(v)).alias("range"),
-        F.count(v).alias("count"),
-    )
-    middle = exact_quantiles(rows, [value], [0.5], by, row_limit).select(
-        *by, F.col("q")[0].alias("median")
+    ]
+    found = exact_quantiles(rows, [value], [0.5], by, row_limit, size, also)
+    return found.select(
+        *by,
+        "min",
+        "max",
+        "mean",
+        "std",
+        "range",
+        F.coalesce("n", F.lit(0)).alias("count"),
+        F.col("q")[0].alias("median"),
     )
-    if by:
-        return join_on_keys(base, middle, by, "left")
-    return base.withColumn("_k", F.lit(0)).join(
-        middle.withColumn("_k", F.lit(0)), "_k", "left"
-    ).drop("_k")
 
 
 def stats_by_each(df, value, groups, row_limit=ROW_LIMIT):
@@ -207,7 +209,8 @@ def stats_by_each(df, value, groups, row_limit=ROW_LIMIT):
         (F.col("group") == "all") | F.col("key").isNotNull()
     )
     rows = rows.withColumn("key", F.coalesce("key", F.lit("")))
-    return stats(rows, value, ["group", "key"], row_limit)
+    # The overall set holds every row, so it is the largest group.
+    return stats(rows, value, ["group", "key"], row_limit, df.count())
 
 
 def monthly_mean(df, value, by=(), date="date"):

@@ -4,6 +4,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from quotecast.functions.quantiles import largest_group
 from quotecast.operators.constrain import constrain_forecast, derive_constraints
 from quotecast.operators.forecast import forecast
 from quotecast.operators.series import to_series
@@ -32,6 +33,7 @@ def forecast_measures(
     keys = list(keys) if all(k in history.columns for k in keys) else []
     rows = history.dropna(subset=keys) if keys else history
     out = {}
+    size = None
     for m in measures:
         series = to_series(rows, m, keys, freq)
         model = _for(models, m, "moving_average")
@@ -39,7 +41,8 @@ def forecast_measures(
         rules = _for(constraints, m, None)
         if rules is not None:
             if isinstance(rules, str):
-                rules = derive_constraints(rows, m, keys, rules)
+                size = largest_group(rows, keys) if size is None else size
+                rules = derive_constraints(rows, m, keys, rules, size=size)
             plain = constrain_forecast(plain, rules, keys, objective, history=series)
         out[m] = plain.withColumnRenamed("value", m)
     out["errors"] = _errors(rows, keys, measures)
