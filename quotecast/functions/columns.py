@@ -21,11 +21,6 @@ def safe_corr(x, y):
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
 
 
-def null_safe_on(left, right, keys):
-    """Join condition on all keys that lets NULL keys match each other."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
-
-
 def join_on_keys(left, right, keys, how="inner"):
     """Null-safe equi-join on keys that keeps one copy of the key columns."""
     renamed = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
@@ -33,4 +28,25 @@ def join_on_keys(left, right, keys, how="inner"):
         lambda a, b: a & b,
         [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys],
     )
-    return left.join(renamed, cond, how).drop(*[f"__r_{k}" for k in keys])
+    joined = left.join(renamed, cond, how)
+    return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
+
+
+BROADCAST_ROWS = 500_000
+SALTS = 64
+
+
+def join_group_stats(rows, stats, keys, groups, spread):
+    """Attach one small row per group to every row of the group.
+
+    Up to BROADCAST_ROWS counted groups are broadcast, so the rows stay where they
+    are. With more, rows are spread over SALTS parts of each group by a hash of
+    the ``spread`` column, and each group's row is copied to every part, so no
+    single task gets a whole hot group.
+    """
+    if groups <= BROADCAST_ROWS:
+        return join_on_keys(rows, F.broadcast(stats), keys)
+    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    copies = stats.withColumn("_salt", parts)
+    return join_on_keys(salted, copies, [*keys, "_salt"]).drop("_salt")

@@ -1,7 +1,8 @@
 """Array expressions over one folded series.
 
 A series is folded to arrays only after it holds at most one value per key and
-date, so an array never outgrows the calendar. All expressions here run in the
+date, so an array never outgrows the calendar. Where whole numbers stand in for
+dates they are period numbers (days, months, ...) and bounded alike. All expressions here run in the
 JVM on ``(v, i)`` with positions from 0.
 """
 

@@ -1,9 +1,9 @@
 """Exact quantiles (linear interpolation) that hold at any group size.
 
 Sorting a group's values in one aggregation buffer is fastest while groups are
-small, so group sizes are checked first (one count job, combined map-side). If
-some group is larger than ``row_limit`` no buffer ever holds a group, and the
-quantiles are found by narrowing instead:
+small, so group sizes are checked first (one count job, combined map-side). The
+quantiles of groups larger than ``row_limit`` are found by narrowing instead,
+where no task ever holds a group:
 
 1. a bounded sketch per group gives a bracket around every wanted rank;
 2. rows below each bracket are counted exactly, and a sketch of the rows inside
@@ -17,11 +17,17 @@ wrong number.
 """
 
 from math import inf
+from typing import NamedTuple
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import join_on_keys, nan_to_null
+from quotecast.functions.columns import (
+    BROADCAST_ROWS,
+    join_group_stats,
+    join_on_keys,
+    nan_to_null,
+)
 
 ROW_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
@@ -30,11 +36,27 @@ GRID = 256
 KEEP_WHOLE = 20_000
 
 
-def largest_group(df, keys=()):
-    """Rows in the largest group of keys (all rows without keys)."""
+class GroupSizes(NamedTuple):
+    largest: int
+    groups: int
+    big: int
+
+
+def group_sizes(df, keys=(), row_limit=ROW_LIMIT):
+    """Rows of the largest group, number of groups, and of those above row_limit."""
     if not keys:
-        return df.count()
-    return df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+        rows = df.count()
+        return GroupSizes(rows, 1, int(rows > row_limit))
+    found = df.groupBy(*keys).count().agg(
+        F.coalesce(F.max("count"), F.lit(0)),
+        F.count(F.lit(1)),
+        F.count_if(F.col("count") > row_limit),
+    )
+    return GroupSizes(*found.first())
+
+
+def largest_group(df, keys=()):
+    return group_sizes(df, keys).largest
 
 
 def sorted_values(c):
@@ -67,22 +89,37 @@ def exact_quantiles(
     long = _long(df, columns, keys)
     group = [*keys, "column"]
     probs = [float(p) for p in probs]
-    if size is None:
-        size = largest_group(df, keys)
-    if size <= row_limit:
-        found = (
-            long.groupBy(*group)
-            .agg(sorted_values("_v").alias("_s"), *also)
-            .withColumns({"n": F.size("_s").cast("long"), "q": at_positions(F.col("_s"), probs)})
-            .drop("_s")
-        )
+    if size is not None and (size <= row_limit or not keys):
+        sizes = GroupSizes(size, 1, int(size > row_limit))
+    else:
+        sizes = group_sizes(df, keys, row_limit)
+    if not sizes.big:
+        found = _sorted(long, group, probs, also)
         return found if also else found.where(F.col("n") > 0)
-    found = _narrowed(long.where(F.col("_v").isNotNull()), group, probs)
+    known = long.where(F.col("_v").isNotNull())
+    if keys:
+        # Only rows of big groups are narrowed; the rest is sorted group by group.
+        big = df.groupBy(*keys).count().where(F.col("count") > row_limit).select(*keys)
+        big = F.broadcast(big) if sizes.big <= BROADCAST_ROWS else big
+        small = _sorted(join_on_keys(known, big, keys, "left_anti"), group, probs, ())
+        known = join_on_keys(known, big, keys, "left_semi")
+    found = _narrowed(known, group, probs, sizes.big * len(columns))
+    if keys:
+        found = found.unionByName(small)
     if not also:
         return found
     return join_on_keys(long.groupBy(*group).agg(*also), found, group, "left")
 
 
+def _sorted(long, group, probs, also):
+    return (
+        long.groupBy(*group)
+        .agg(sorted_values("_v").alias("_s"), *also)
+        .withColumns({"n": F.size("_s").cast("long"), "q": at_positions(F.col("_s"), probs)})
+        .drop("_s")
+    )
+
+
 def quantile_values(df, columns, probs, row_limit=ROW_LIMIT, size=None):
     """Whole-table quantiles on the driver: {column: [q...]}, a handful of numbers."""
     rows = exact_quantiles(df, columns, probs, (), row_limit, size).collect()
@@ -99,10 +136,10 @@ def _long(df, columns, keys):
     return df.select(*keys, F.inline(F.array(*pairs)))
 
 
-def _narrowed(long, group, probs):
+def _narrowed(long, group, probs, groups):
     first = _sketch_brackets(long, group, probs)
-    second = _narrow_brackets(long, first, group, probs)
-    return _read_ranks(long, second, group, probs)
+    second = _narrow_brackets(long, first, group, probs, groups)
+    return _read_ranks(long, second, group, probs, groups)
 
 
 def _bracket_array(pairs):
@@ -130,8 +167,8 @@ def _sketch_brackets(long, group, probs):
     return stats.select(*group, "n", _bracket_array(pairs).alias("_b"))
 
 
-def _narrow_brackets(long, brackets, group, probs):
-    joined = join_on_keys(long, brackets, group)
+def _narrow_brackets(long, brackets, group, probs, groups):
+    joined = join_group_stats(long, brackets, group, groups, "_v")
     grid = [i / GRID for i in range(GRID + 1)]
     aggs = []
     for j in range(len(probs)):
@@ -160,8 +197,8 @@ def _narrow_brackets(long, brackets, group, probs):
     return counted.select(*group, "n", _bracket_array(pairs).alias("_b"))
 
 
-def _read_ranks(long, brackets, group, probs):
-    joined = join_on_keys(long, brackets, group)
+def _read_ranks(long, brackets, group, probs, groups):
+    joined = join_group_stats(long, brackets, group, groups, "_v")
     value = F.col("_v")
     marks = F.transform(
         "_b",

@@ -62,7 +62,12 @@ def _isolation_forest(df, column, name, seed):
     """
     value = F.col(column).cast("double")
     known = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    sample = known.withColumn("r", F.rand(seed)).orderBy("r").limit(TREES * TREE_ROWS)
+    # Twice as many rows as needed are drawn before the smallest ones are picked,
+    # so the pick is over a bounded number of rows however many tasks there are.
+    wanted = TREES * TREE_ROWS
+    share = min(1.0, 2.0 * wanted / max(known.count(), 1))
+    drawn = known.withColumn("r", F.rand(seed)).where(F.col("r") < share)
+    sample = drawn.orderBy("r").limit(wanted)
     planted = _planted(sample, seed)
 
     def grow(pdf):

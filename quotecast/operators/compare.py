@@ -59,10 +59,10 @@ def pivot_mean(df, row, column, value, values=None, date="date"):
     # Means first: the pivot then handles one row per cell.
     cells = df.dropna(subset=[row, column]).groupBy(row, column).agg(F.avg(value).alias("_mean"))
     if values is None:
-        found = cells.select(column).distinct().orderBy(column).limit(PIVOT_LIMIT + 1).collect()
+        found = cells.select(column).distinct().limit(PIVOT_LIMIT + 1).collect()
         if len(found) > PIVOT_LIMIT:
             raise ValueError(f"{column} has more than {PIVOT_LIMIT} values")
-        values = [r[0] for r in found]
+        values = sorted(r[0] for r in found)
     return cells.groupBy(row).pivot(column, list(values)).agg(F.first("_mean"))
 
 

@@ -2,8 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import join_on_keys, safe_corr
-from quotecast.functions.quantiles import ROW_LIMIT, exact_quantiles
+from quotecast.functions.columns import join_group_stats, safe_corr
+from quotecast.functions.quantiles import (
+    ROW_LIMIT,
+    at_positions,
+    exact_quantiles,
+    group_sizes,
+    sorted_values,
+)
 from quotecast.operators.series import month_key
 from quotecast.schema import numeric_columns
 
@@ -99,31 +105,42 @@ def box_stats(df, column, by=(), row_limit=ROW_LIMIT):
         F.col("_v").isNotNull()
     )
     rows = rows.dropna(subset=list(by)) if by else rows
+    sizes = group_sizes(rows, by, row_limit)
+    if sizes.largest <= row_limit:
+        boxes = rows.groupBy(*by).agg(sorted_values("_v").alias("_s")).where(F.size("_s") > 0)
+        boxes = boxes.select(*by, "_s", *_fences(at_positions(F.col("_s"), QUARTILES)))
+        inside = F.filter("_s", lambda v: v.between(F.col("_low"), F.col("_high")))
+        return boxes.withColumn("_in", inside).select(
+            *by,
+            "q1",
+            "median",
+            "q3",
+            F.get("_in", F.lit(0)).alias("lower_whisker"),
+            F.get("_in", F.size("_in") - 1).alias("upper_whisker"),
+            (F.size("_s") - F.size("_in")).cast("long").alias("outliers"),
+        )
+    tag = F.lit("_v").alias("column")
     q = exact_quantiles(rows, ["_v"], QUARTILES, by, row_limit)
-    reach = (F.col("q")[2] - F.col("q")[0]) * WHISKER
-    fences = q.select(
-        *by,
-        F.col("q")[0].alias("q1"),
-        F.col("q")[1].alias("median"),
-        F.col("q")[2].alias("q3"),
-        (F.col("q")[0] - reach).alias("_low"),
-        (F.col("q")[2] + reach).alias("_high"),
-    )
+    fences = q.select(*by, "column", *_fences(F.col("q")))
+    joined = join_group_stats(rows.select("*", tag), fences, [*by, "column"], sizes.groups, "_v")
     inside = F.col("_v").between(F.col("_low"), F.col("_high"))
     kept = F.when(inside, F.col("_v"))
-    aggs = [
+    return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(kept).alias("lower_whisker"),
         F.max(kept).alias("upper_whisker"),
         F.count_if(~inside).alias("outliers"),
+    )
+
+
+def _fences(q):
+    reach = (q[2] - q[0]) * WHISKER
+    return [
+        q[0].alias("q1"),
+        q[1].alias("median"),
+        q[2].alias("q3"),
+        (q[0] - reach).alias("_low"),
+        (q[2] + reach).alias("_high"),
     ]
-    if by:
-        joined = join_on_keys(rows, fences, by)
-        return joined.groupBy(*by, "q1", "median", "q3").agg(*aggs)
-    one = fences.first()
-    if one is None:
-        return fences.drop("_low", "_high").limit(0)
-    named = [F.lit(one[c]).alias(c) for c in ("q1", "median", "q3", "_low", "_high")]
-    return rows.select("_v", *named).groupBy("q1", "median", "q3").agg(*aggs)
 
 
 def correlation_matrix(df, columns=None):

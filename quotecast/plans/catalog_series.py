@@ -15,7 +15,7 @@ from quotecast.plans.registry import (
     select,
     series_sql,
 )
-from quotecast.sources.history import daily_events, dirty_history, history, table
+from quotecast.sources.history import daily_events, dirty_history, history
 
 BY = ["country"]
 MONTHLY = series_sql()
@@ -104,15 +104,17 @@ def _(spark, d):
 
 @query(
     "index_continuation",
-    """SELECT event_type, unnest(generate_series(m + 1, m + 12)) AS date, floor(v * 1e4 + 0.4321) / 1e4 AS value
-       FROM (SELECT event_type, max(user_id) AS m, arg_max(a, user_id) AS v
-             FROM (SELECT event_type, user_id, avg(value) AS a FROM events GROUP BY 1, 2) GROUP BY 1)""",
+    f"""WITH {HISTORY}, s AS (
+          SELECT vendor, CAST(year(date) * 12 + month(date) AS BIGINT) AS i, avg(price) AS v
+          FROM history GROUP BY 1, 2),
+        e AS (SELECT vendor, max(i) AS m, arg_max(v, i) AS v FROM s GROUP BY 1)
+        SELECT vendor, m + k AS date, floor(v * 1e4 + 0.4321) / 1e4 AS value
+        FROM e, generate_series(1, 12) AS t(k)""",
 )
 def _(spark, d):
-    indexed = table(spark, d, "events").groupBy("event_type", F.col("user_id").alias("date")).agg(
-        F.avg("value").alias("value")
-    )
-    return rounded(forecast.forecast(indexed, ["event_type"], "naive", H))
+    month = (F.year("date") * 12 + F.month("date")).cast("long")
+    indexed = history(spark, d).groupBy("vendor", month.alias("date")).agg(F.avg("price").alias("value"))
+    return rounded(forecast.forecast(indexed, ["vendor"], "naive", H))
 
 
 @query(

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotecast.functions import ordered, quantiles
+from quotecast.functions import columns, ordered, quantiles
 from quotecast.functions.chain import least_absolute, least_squares
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -19,20 +19,27 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, a double, b double").repartition(8)
 
 
+@pytest.mark.parametrize("broadcast", [0, 10**6])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_narrowing_equals_exact_percentile(skewed, keys, monkeypatch):
+def test_narrowing_equals_exact_percentile(skewed, keys, broadcast, monkeypatch):
     monkeypatch.setattr(quantiles, "KEEP_WHOLE", 40)
-    exact = quantiles.exact_quantiles(skewed, ["a", "b"], PROBS, keys)
-    narrowed = quantiles.exact_quantiles(skewed, ["a", "b"], PROBS, keys, row_limit=10)
-
-    def rows(df):
-        return {tuple(r[k] for k in [*keys, "column"]): (r["n"], r["q"]) for r in df.collect()}
-
-    want, got = rows(exact), rows(narrowed)
-    assert want.keys() == got.keys()
-    for k in want:
-        assert got[k][0] == want[k][0]
-        assert got[k][1] == pytest.approx(want[k][1], rel=1e-12)
+    monkeypatch.setattr(columns, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast)
+    group = [*keys, "column"]
+    long = skewed.select(*keys, F.inline(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("a", "b")
+    ])))
+    exact = long.where("v is not null").groupBy(*group).agg(
+        F.count("v").alias("n"), F.percentile("v", PROBS).alias("q")
+    )
+    want = {tuple(r[k] for k in group): (r.n, r.q) for r in exact.collect()}
+    for limit in (2, 50, 10**6):
+        found = quantiles.exact_quantiles(skewed, ["a", "b"], PROBS, keys, row_limit=limit)
+        got = {tuple(r[k] for k in group): (r.n, r.q) for r in found.collect()}
+        assert got.keys() == want.keys()
+        for k, (n, q) in want.items():
+            assert got[k][0] == n
+            assert got[k][1] == pytest.approx(q, rel=1e-12)
 
 
 def test_quantiles_match_numpy(skewed):
