@@ -49,20 +49,20 @@ def _joined(spark, folder):
     orders = table(spark, folder, "orders")
     supplier = table(spark, folder, "supplier")
     nation = table(spark, folder, "nation")
-    vendors = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-        "s_suppkey", F.col("s_name").alias("vendor"), F.col("n_name").alias("country")
-    )
     ordered = F.col("o_orderdate").cast("date")
+    # Plain tables joined one by one: each join sees the file size of its table, so
+    # small dimensions are broadcast by Spark's own size check and lines stay put.
     return (
         line.join(orders, line.l_orderkey == orders.o_orderkey)
-        .join(vendors, line.l_suppkey == vendors.s_suppkey)
+        .join(supplier, line.l_suppkey == supplier.s_suppkey)
+        .join(nation, supplier.s_nationkey == nation.n_nationkey)
         .select(
             "l_orderkey",
             "l_linenumber",
             ordered.alias("date"),
             F.concat(F.lit("P"), F.col("l_partkey").cast("string")).alias("part_number"),
-            "vendor",
-            "country",
+            F.col("s_name").alias("vendor"),
+            F.col("n_name").alias("country"),
             (F.col("l_extendedprice") / F.col("l_quantity")).alias("price"),
             F.datediff(F.col("l_shipdate").cast("date"), ordered).alias("gap"),
             F.col("l_quantity").alias("quantity"),
