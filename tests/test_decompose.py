@@ -126,7 +126,7 @@ def test_recent_trend(series_of):
     assert got == {"up": "increasing", "down": "decreasing", "mixed": "mixed"}
 
 
-def reference_period(s, max_lag=24):
+def expected_period(s, max_lag=24):
     """The rule stated over pandas autocorrelations, for series without a calendar default."""
     if len(s) < max_lag * 2:
         max_lag = len(s) // 2
@@ -151,7 +151,7 @@ def test_periods(series_of):
     got = {r.k: r.period for r in detect_period(series_of(**cases), ["k"]).collect()}
     for k, s in cases.items():
         default = {"monthly": 12, "quarterly": 4}.get(k, 1)
-        assert got[k] == (reference_period(s) or default), k
+        assert got[k] == (expected_period(s) or default), k
     acf = {r.lag: r.acf for r in autocorrelations(series_of(a=cases["year"]), ["k"]).collect()}
     assert acf[7] == pytest.approx(cases["year"].autocorr(7))
 

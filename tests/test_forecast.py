@@ -166,6 +166,21 @@ def test_registered_model(series_of):
         models.FORECASTERS.pop("double_last"), models.FORECASTERS.pop("nothing", None)
 
 
+def test_registered_python_model(series_of):
+    def build(v, horizon):
+        @F.pandas_udf("array<double>")
+        def trimmed(values: pd.Series) -> pd.Series:
+            return values.map(lambda y: [float(np.median(y))] * horizon)
+
+        return trimmed(v)
+
+    models.register_forecaster("median", build)
+    try:
+        assert run(series_of(a=monthly([1, 9, 2])), "median", 2)["a"].tolist() == [2.0, 2.0]
+    finally:
+        models.FORECASTERS.pop("median")
+
+
 @pytest.fixture
 def history(table):
     rows = []
