@@ -3,13 +3,12 @@
 import tempfile
 
 
-def checkpoint(df):
-    """Write df to the shared checkpoint folder and read it back.
+def shared_folder(spark):
+    """This application's folder under ``spark.checkpoint.dir``.
 
-    The folder comes from ``spark.checkpoint.dir``. Only where the session names
-    none and runs in local mode (tests) is a temporary folder set here.
+    Only where the session names none and runs in local mode (tests) is a
+    temporary folder set here.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -18,4 +17,10 @@ def checkpoint(df):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="quotecast-checkpoint-")
         sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df):
+    """Write df to the shared folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

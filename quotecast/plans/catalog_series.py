@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from quotecast.functions.lineage import shared_folder
 from quotecast.operators import compare, constrain, decompose, evaluate, features, filters, forecast, series
 from quotecast.plans import export
 from quotecast.plans.forecasting import forecast_measures
@@ -15,6 +16,8 @@ from quotecast.plans.registry import (
     select,
     series_sql,
 )
+from quotecast.schema import HISTORY_SCHEMA
+from quotecast.sources import files
 from quotecast.sources.history import daily_events, dirty_history, history
 
 BY = ["country"]
@@ -769,6 +772,31 @@ def _(spark, d):
     return export.json_lines(rows)
 
 
+def _plain_history(spark, d):
+    return history(spark, d).withColumn("quantity", F.col("quantity").cast("long"))
+
+
+@query(
+    "csv_round_trip",
+    select(
+        HISTORY,
+        ["date", "part_number", "vendor", "country", "price~", "lead_time~", "quantity=CAST(quantity AS BIGINT)"],
+        "history",
+    ),
+)
+def _(spark, d):
+    path = f"{shared_folder(spark)}/csv_round_trip"
+    export.write_csv(_plain_history(spark, d), path, "overwrite")
+    return rounded(files.read_history(spark, path, schema=HISTORY_SCHEMA))
+
+
+@query("json_round_trip", select(HISTORY, ["date=CAST(date AS VARCHAR)", "part_number", "price~"], "history"))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/json_round_trip"
+    export.write_json(history(spark, d).select("date", "part_number", "price"), path, "overwrite")
+    return rounded(spark.read.schema("date string, part_number string, price double").json(path))
+
+
 @query(
     "report_metadata",
     f"""WITH {BOTH} SELECT '2024-01-01 00:00:00' AS creation_date, (SELECT count(*) FROM p) AS points,

@@ -7,7 +7,8 @@ from quotecast.functions.columns import nan_to_null
 from quotecast.schema import is_numeric, is_temporal, numeric_columns, string_columns
 from quotecast.sources.workbook import read_workbooks
 
-# Separators and encodings the reader accepts, date layouts tried.
+# Separators and encodings the reader accepts, texts that mean a
+# missing value, date layouts tried.
 SEPARATORS = (",", ";", "\t", "|")
 ENCODINGS = {
     "utf-8": "UTF-8",
@@ -15,6 +16,10 @@ ENCODINGS = {
     "latin1": "ISO-8859-1",
     "cp1252": "ISO-8859-1",
 }
+MISSING_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 DATE_FORMATS = (
     None,
     "MM/dd/yyyy",
@@ -30,37 +35,85 @@ DATE_FORMATS = (
 def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0, schema=None):
     """Read one file, a folder or a glob; names normalized, dates parsed.
 
-    Give ``schema`` for large inputs: without it the types are inferred, which
-    costs one more read of the whole input.
+    Give ``schema`` for large inputs: without it the types are found by one more
+    read of the whole input.
     """
     if format == "excel":
         df = read_workbooks(spark, path, sheet, schema)
     elif format == "csv":
-        df = _read_delimited(spark, path, sep, encoding, schema)
+        df = _read_delimited(spark, path, sep, encoding)
     else:
         raise ValueError(f"unknown format {format!r}: use 'csv' or 'excel'")
+    df = _with_nulls(df)
+    df = _typed(df) if schema is None else _cast(df, schema)
     return parse_dates(nulls_for_nan(normalize_names(df)))
 
 
-def _read_delimited(spark, path, sep, encoding, schema):
+def _read_delimited(spark, path, sep, encoding):
+    """All columns as text; a row with too few or too many fields raises."""
     if sep not in SEPARATORS:
         raise ValueError(f"unknown separator {sep!r}")
     name = encoding.lower()
     if name not in ENCODINGS:
         raise ValueError(f"unknown encoding {encoding!r}")
-    reader = spark.read.options(
+    df = spark.read.options(
         header=True,
         sep=sep,
         encoding=ENCODINGS[name],
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
         mode="FAILFAST",
-    )
-    reader = reader.schema(schema) if schema else reader.option("inferSchema", True)
-    df = reader.csv(path)
+    ).csv(path)
     return _windows_1252(df) if name == "cp1252" else df
 
 
+def _with_nulls(df):
+    return df.select(*[
+        F.when(~F.col(f"`{c}`").isin(*MISSING_TEXTS), F.col(f"`{c}`")).alias(c) for c in df.columns
+    ])
+
+
+def _cast(df, schema):
+    """Columns by position; a value that does not fit its type raises."""
+    if len(df.columns) != len(schema.names):
+        raise ValueError(f"{len(df.columns)} columns read, {len(schema.names)} in the schema")
+    named = df.toDF(*schema.names)
+    return named.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
+
+
+def _typed(df):
+    """Whole numbers, numbers or booleans where every value is one; text otherwise.
+
+    Columns with "date" in their name stay text for the date parser. One aggregate
+    decides for all columns.
+    """
+    columns = [c for c in df.columns if "date" not in c.lower()]
+    kinds = ("bigint", "double", "boolean")
+
+    def misfits(c, kind):
+        text = F.col(f"`{c}`")
+        fits = text.try_cast(kind).isNotNull()
+        if kind == "boolean":
+            fits = F.lower(text).isin("true", "false")
+        return F.count_if(text.isNotNull() & ~fits)
+
+    counts = [
+        misfits(c, k).alias(f"{i}_{k}") for i, c in enumerate(columns) for k in kinds
+    ]
+    if not counts:
+        return df
+    bad = df.agg(*counts).first()
+    chosen = {}
+    for i, c in enumerate(columns):
+        for k in kinds:
+            if bad[f"{i}_{k}"] == 0:
+                chosen[c] = k
+                break
+    return df.select(*[
+        F.col(f"`{c}`").cast(chosen.get(c, "string")).alias(c) for c in df.columns
+    ])
+
+
 def _windows_1252(df):
     """cp1252 is ISO-8859-1 but for bytes 0x80-0x9F, which Spark cannot decode itself."""
     codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]

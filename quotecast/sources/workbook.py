@@ -13,7 +13,6 @@ from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -24,10 +23,10 @@ DATE_FORMAT_IDS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
 
 
 def read_workbooks(spark, path, sheet=0, schema=None):
-    """Rows of one sheet (index or name) of every workbook under path.
+    """Rows of one sheet (index or name) of every workbook under path, as text.
 
-    Columns are matched by header name. Without a schema the header of one
-    workbook names the columns and numbers stay numbers where every value is one.
+    Columns are matched by header name: those of the schema, else those of the
+    first workbook.
     """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     if schema is None:
@@ -46,22 +45,7 @@ def read_workbooks(spark, path, sheet=0, schema=None):
                 yield _frame(content, sheet, names, keys)
 
     texts = ", ".join(f"`{n}` string" for n in names)
-    df = files.mapInPandas(parse, texts)
-    if schema is not None:
-        return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema])
-    return _numbers_where_all_fit(df)
-
-
-def _numbers_where_all_fit(df):
-    bad = df.agg(*[
-        F.count_if(F.col(f"`{c}`").isNotNull() & F.col(f"`{c}`").try_cast("double").isNull())
-        .alias(str(i))
-        for i, c in enumerate(df.columns)
-    ]).first()
-    return df.select(*[
-        F.col(f"`{c}`").try_cast("double").alias(c) if bad[str(i)] == 0 else F.col(f"`{c}`")
-        for i, c in enumerate(df.columns)
-    ])
+    return files.mapInPandas(parse, texts)
 
 
 def _frame(content, sheet, names, keys):

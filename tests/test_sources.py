@@ -38,6 +38,21 @@ def test_separators_and_encodings(spark, tmp_path, sep, encoding):
     assert row.vendor_name == text
 
 
+def test_types_and_missing_texts(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text("Date,a,b,c,d,e\n2024-01-01,1,1.5,true,x,\n,NA,n/a,False,null,NaN\n")
+    df = files.read_history(spark, str(path))
+    assert [t for _, t in df.dtypes] == ["date", "bigint", "double", "boolean", "string", "bigint"]
+    assert tuple(df.where("date is null").first()) == (None, None, None, False, None, None)
+    schema = "date date, a long, b double, c boolean, d string, e double"
+    typed = files.read_history(spark, str(path), schema=spark.createDataFrame([], schema).schema)
+    assert [t for _, t in typed.dtypes] == ["date", "bigint", "double", "boolean", "string", "double"]
+    assert typed.where("a is null").count() == 1
+    (tmp_path / "short.csv").write_text("a,b\n1,2\n3\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_history(spark, str(tmp_path / "short.csv")).collect()
+
+
 def test_bad_options_raise(spark):
     for options in ({"sep": "#"}, {"encoding": "ebcdic"}, {"format": "parquet"}):
         with pytest.raises(ValueError):
@@ -116,6 +131,8 @@ def test_workbooks(spark, tmp_path):
         (date(2024, 1, 2), None, "V2"),
         (date(2024, 1, 5), 2.0, "V3"),
     ]
+    plain = HISTORY_SCHEMA.__class__([HISTORY_SCHEMA[c] for c in ("vendor", "price", "date")])
+    assert files.read_history(spark, str(tmp_path), "excel", schema=plain).count() == 3
     other = files.read_history(spark, str(tmp_path / "a.xlsx"), "excel", sheet="two")
     assert [tuple(r) for r in other.collect()] == [("y",)]
 
