@@ -32,6 +32,14 @@ def join_on_keys(left, right, keys, how="inner"):
     return joined if how in ("left_semi", "left_anti") else joined.drop(*[f"__r_{k}" for k in keys])
 
 
+def attach(left, right, keys, how="inner"):
+    """Columns of right by keys; without keys right is one row, read as a scalar subquery."""
+    if keys:
+        return join_on_keys(left, right, keys, how)
+    row = right.select(F.struct("*")).scalar()
+    return left.withColumns({c: row[c] for c in right.columns})
+
+
 BROADCAST_ROWS = 500_000
 SALTS = 64
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quotecast.functions.chain import chain_fit
-from quotecast.functions.columns import clamp, join_on_keys
+from quotecast.functions.columns import attach, clamp, join_on_keys
 from quotecast.functions.folds import fold, let, mean
 from quotecast.functions.ordered import ROW_LIMIT, neighbours
 from quotecast.functions.quantiles import (
@@ -81,7 +81,7 @@ def derive_constraints(
     if apart:
         found = exact_quantiles(rows, ["_change"], [CHANGE_SHARE], keys, row_limit, size)
         found = found.select(*keys, F.col("q")[0].alias("smoothness_factor"))
-        out = _attach(out, found, keys)
+        out = attach(out, found, keys, "left")
     return out.select(*keys, *[
         (F.col(c) if c in out.columns else F.lit(None)).cast(t).alias(c) for c, t in FIELDS.items()
     ])
@@ -100,10 +100,14 @@ def user_constraints(
     }
 
 
-def _attach(left, right, keys):
+def _rules_for(rows, table, keys):
+    """Rule columns by key; without keys the table is a single row of literals."""
     if keys:
-        return join_on_keys(left, right, keys, "left")
-    return left.withColumn("_k", F.lit(0)).join(right.withColumn("_k", F.lit(0)), "_k", "left").drop("_k")
+        return join_on_keys(rows, table, keys, "left")
+    row = table.first()
+    return rows.withColumns({
+        f.name: F.lit(row[f.name] if row else None).cast(f.dataType) for f in table.schema
+    })
 
 
 # Step rules: name -> build(d, c) giving, for every step between consecutive
@@ -174,12 +178,12 @@ def constrain_forecast(forecast, constraints, keys=(), objective="l1", history=N
         raise ValueError(f"Unknown optimizer type: {objective}") from None
     rows = fold(forecast, keys)
     if isinstance(constraints, DataFrame):
-        rows = _attach(rows, constraints.select(*keys, *FIELDS), keys)
+        rows = _rules_for(rows, constraints.select(*keys, *FIELDS), keys)
     else:
         rows = rows.withColumns({c: F.lit(constraints.get(c)).cast(t) for c, t in FIELDS.items()})
     seasonal = isinstance(constraints, DataFrame) or constraints.get("preserve_seasonality")
     if history is not None and objective == "l1" and seasonal:
-        rows = _attach(rows, monthly_means(history, keys), keys)
+        rows = _rules_for(rows, monthly_means(history, keys), keys)
     else:
         rows = rows.withColumn("season", F.lit(None).cast("array<double>"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import join_on_keys, safe_corr
+from quotecast.functions.columns import attach, safe_corr
 from quotecast.functions.folds import fold
 from quotecast.operators.decompose import decompose
 from quotecast.operators.series import calendar
@@ -58,12 +58,7 @@ def features(series, keys=(), period=12):
         F.when(mean == 0, 0.0).otherwise(F.try_divide(std, mean)).alias("volatility"),
         F.when(n < 3, "unknown").otherwise(F.max_by(recent, "_pos")).alias("recent_trend"),
     )
-    seasonal = seasonality(series, keys, period)
-    if not keys:
-        return base.withColumn("_k", F.lit(0)).join(
-            seasonal.withColumn("_k", F.lit(0)), "_k"
-        ).drop("_k")
-    return join_on_keys(base, seasonal, keys)
+    return attach(base, seasonality(series, keys, period), keys)
 
 
 def seasonality(series, keys=(), period=12):
@@ -158,10 +153,7 @@ def detect_period(series, keys=(), max_lag=24):
         .alias("_default"),
     )
     found = best.select(*keys, (-F.col("_b.lag")).alias("_lag"))
-    if keys:
-        joined = join_on_keys(regular, found, keys, "left")
-    else:
-        joined = regular.withColumn("_k", F.lit(0)).join(found.withColumn("_k", F.lit(0)), "_k", "left")
+    joined = attach(regular, found, keys, "left")
     return joined.select(*keys, F.coalesce("_lag", "_default").cast("int").alias("period"))
 
 
@@ -175,11 +167,7 @@ def seasonality_profile(series, keys=(), max_lag=24):
     long = series.withColumn("_n", F.count(F.lit(1)).over(size)).where(
         F.col("_n") >= MIN_PROFILE
     ).drop("_n")
-    periods = detect_period(long, keys, max_lag)
-    if keys:
-        dated = join_on_keys(long, periods, keys)
-    else:
-        dated = long.withColumn("_k", F.lit(0)).join(periods.withColumn("_k", F.lit(0)), "_k").drop("_k")
+    dated = attach(long, detect_period(long, keys, max_lag), keys)
     by = [*keys, "period"]
     parts = decompose(dated, by, period="period")
     level = F.avg("original")

@@ -98,18 +98,13 @@ def statistics(price=None, lead_time=None):
 
 def metadata(price=None, lead_time=None, keys=(), group_option="All Groups", created=None):
     """One row: creation time, row counts, columns, what is included, grouping."""
-    counts = {"points": price, "lead_time_points": lead_time}
-    columns = ["date"]
-    columns += [m for _, m, _ in _given(price, lead_time)]
+    columns = ["date"] + [m for _, m, _ in _given(price, lead_time)]
     created = F.current_timestamp() if created is None else F.lit(created).cast("timestamp")
-    first = [(n, df) for n, df in counts.items() if df is not None]
-    row = first[0][1].agg(F.count(F.lit(1)).alias(first[0][0])).withColumn("_k", F.lit(0))
-    for n, df in first[1:]:
-        other = df.agg(F.count(F.lit(1)).alias(n)).withColumn("_k", F.lit(0))
-        row = row.join(other, "_k")
-    for n in counts:
-        if n not in row.columns:
-            row = row.withColumn(n, F.lit(0).cast("long"))
+    tagged = _union([df.select(F.lit(m).alias("_m")) for df, m, _ in _given(price, lead_time)])
+    row = tagged.agg(
+        F.count_if(F.col("_m") == "price").alias("points"),
+        F.count_if(F.col("_m") == "lead_time").alias("lead_time_points"),
+    )
     return row.select(
         F.date_format(created, "yyyy-MM-dd HH:mm:ss").alias("creation_date"),
         "points",

@@ -127,6 +127,18 @@ def test_rules_per_key(series_of, table):
     assert got["c"].tolist() == [1, 9]
 
 
+def test_rules_without_keys(series_of, raw):
+    past = series_of(a=monthly([5, 6, 7, 8, 9, 8, 7, 6, 5, 4, 3, 4] * 2, "2020-01-01")).drop("k")
+    ahead = series_of(a=monthly([4, 9, 1])).drop("k")
+    rules = constrain.derive_constraints(raw, "price", row_limit=4)
+    for given in (rules, {"preserve_seasonality": True, "smoothness_factor": 100.0}):
+        got = constrain.constrain_forecast(ahead, given, history=past).toPandas()
+        assert len(got) == 3 and set(got.status) == {"optimal"}
+    assert got.sort_values("date").value.diff().dropna().ge(0).all()
+    short = constrain.constrain_forecast(ahead, {"preserve_seasonality": True}, history=past.limit(5))
+    assert sorted(r.value for r in short.collect()) == [1.0, 4.0, 9.0]
+
+
 def test_registered_rule(series_of):
     def flat(d, c):
         zero = F.lit(0.0)

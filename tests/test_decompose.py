@@ -118,6 +118,13 @@ def test_features_match_pandas(series_of):
     assert got.loc["flat"].seasonal_strength == 0
 
 
+def test_one_series_without_keys(series_of):
+    df = series_of(a=wave(60, noise=0.1))
+    for found in (features, detect_period, seasonality_profile):
+        (one,), (keyed,) = found(df.drop("k")).collect(), found(df, ["k"]).collect()
+        assert one.asDict() == {c: v for c, v in keyed.asDict().items() if c != "k"}
+
+
 def test_recent_trend(series_of):
     index = pd.date_range("2024-01-01", periods=4)
     cases = {"up": [9, 1, 2, 3], "down": [0, 3, 2, 1], "mixed": [1, 2, 2, 3]}
