@@ -2,16 +2,65 @@
 
 from pyspark.sql import functions as F
 
+from quotecast.llm import licenses
 from quotecast.llm.exact import exact_groups
+from quotecast.llm.licenses import scan
+from quotecast.llm.minhash import near_groups
+from quotecast.llm.mixing import mix
+from quotecast.llm.packing import pieces
+from quotecast.llm.quality import rate
 from quotecast.llm.registry import ORACLES, QUERIES, documents, hex_lower, query
+from quotecast.llm.urls import judge, parts
 
 __all__ = ["ORACLES", "QUERIES"]
 
+WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
-@query("op3_exact_dedup", """
+MEASURED_SQL = rf"""
+base AS (SELECT row_number() OVER () AS r, *, {WORDS_SQL} AS ws,
+                list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+wins AS (SELECT r, i, ws[i : i + 2] AS w FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM base)),
+rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w) AS c FROM wins) WHERE c > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, range(0, 3) t(k) GROUP BY r),
+measured AS (
+  SELECT doc_id, lang, source, base.r, len(ws) AS n_words,
+         length(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) AS n_symbols,
+         len(ls) - len(list_distinct(ls)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(ls) AS n_lines
+  FROM base LEFT JOIN cov USING (r))"""
+
+
+@query("op2_quality", f"""
+WITH {MEASURED_SQL},
+rated AS (
+  SELECT *, CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0 END AS symbol_share,
+         CASE WHEN n_lines > 0 THEN n_dup_lines / n_lines ELSE 0 END AS dup_line_share,
+         CASE WHEN n_words > 0 THEN n_repeat_words / n_words ELSE 0 END AS repeat_share,
+         CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0 END AS word_chars_mean,
+         n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed
+  FROM measured),
+q AS (
+  SELECT lang, source, quantile_disc(symbol_share, [0.25, 0.75]) AS a, quantile_disc(dup_line_share, [0.25, 0.75]) AS b,
+         quantile_disc(repeat_share, [0.25, 0.75]) AS c, quantile_disc(word_chars_mean, [0.25, 0.75]) AS d
+  FROM rated WHERE NOT base_failed GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND coalesce(
+         symbol_share BETWEEN a[1] - greatest(0.1, 4 * (a[2] - a[1])) AND a[2] + greatest(0.1, 4 * (a[2] - a[1]))
+         AND dup_line_share BETWEEN b[1] - greatest(0.3, 4 * (b[2] - b[1])) AND b[2] + greatest(0.3, 4 * (b[2] - b[1]))
+         AND repeat_share BETWEEN c[1] - greatest(0.2, 4 * (c[2] - c[1])) AND c[2] + greatest(0.2, 4 * (c[2] - c[1]))
+         AND word_chars_mean BETWEEN d[1] - greatest(1.5, 4 * (d[2] - d[1])) AND d[2] + greatest(1.5, 4 * (d[2] - d[1])),
+         false) AS kept
+FROM rated LEFT JOIN q ON rated.lang IS NOT DISTINCT FROM q.lang AND rated.source IS NOT DISTINCT FROM q.source""")
+def quality(spark, folder):
+    return rate(documents(spark, folder)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+    )
+
+
+@query("op3_exact_dedup", r"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, length(coalesce(text, '')) AS chars,
-         regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS body
+         regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS body
   FROM documents),
 g AS (
   SELECT *, count(*) OVER (PARTITION BY body) AS group_size,
@@ -22,3 +71,115 @@ def exact_dedup(spark, folder):
     return exact_groups(documents(spark, folder)).select(
         "doc_id", "keep_id", "group_size", "kept", hex_lower("sha256").alias("text_sha256")
     )
+
+
+@query("op4_licenses")
+def license_scan(spark, folder):
+    found = scan(documents(spark, folder))
+    label = F.create_map(*(F.lit(x) for item in licenses.PHRASES.items() for x in item))
+    base = F.transform("base", lambda b: label[b["phrase"]])
+    near = F.transform("hits", lambda h: h["label"])
+    closeness = F.transform("hits", lambda h: 1 - h["edits"] / F.char_length(h["notice"]))
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return found.select(
+        "doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+        F.array_min("base.word").alias("first_word"), F.array_max("base.word").alias("last_word"),
+        joined(base).alias("base_labels"), joined(F.concat(base, near)).alias("labels"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.coalesce(F.array_max(closeness), F.lit(0.0))).alias("score"),
+        "hits",
+    )
+
+
+@query("op5_minhash", r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents),
+sh AS (
+  SELECT DISTINCT r, s FROM (
+    SELECT r, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) = 1 THEN [ws[1]]
+                     ELSE list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) END) AS s FROM d)),
+n AS (SELECT r, count(*) AS n FROM sh GROUP BY r),
+pairs AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.r <> b.r GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN n p ON p.r = x JOIN n q ON q.r = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+walk AS (SELECT r AS x, r AS y FROM d UNION SELECT walk.x, links.y FROM walk JOIN links ON walk.y = links.x),
+comp AS (SELECT x, min(d.doc_id) AS component_id FROM walk JOIN d ON d.r = walk.y GROUP BY x)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d LEFT JOIN n USING (r) JOIN comp ON comp.x = d.r""")
+def minhash(spark, folder):
+    return near_groups(documents(spark, folder), size=2, share=80).select(
+        "doc_id", F.col("n").alias("n_shingles"), "component_id",
+        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
+    )
+
+
+@query("op6_packing")
+def packing(spark, folder):
+    import public_tokenizers
+
+    packed = pieces(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
+URL_RULES = (
+    ("block", "net", "/"),
+    ("allow", "example.net", "/en/"),
+    ("block", "example.com", "/de/"),
+    ("allow", "org", "/fr/"),
+)
+# A host with one of these in its name gets its pages on the list of blocked URLs.
+LISTED_HOSTS = "spam|pills|casino|adult|bets"
+
+
+@query("op8_url_filter", rf"""
+WITH p AS (
+  SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1), '&'),
+                   lambda x: split_part(x, '=', 1) NOT IN ('', 'utm_source', 'utm_medium', 'utm_campaign', 'ref'))) AS told
+  FROM (SELECT *, regexp_extract(coalesce(url, ''), '(?s)^.*?://(.*)$', 1) AS rest FROM pages)),
+c AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/$', '')
+                 || CASE WHEN len(told) > 0 THEN '?' || array_to_string(told, '&') ELSE '' END END AS canon,
+         CASE WHEN (host = 'example.net' OR host LIKE '%.example.net') AND path LIKE '/en/%' THEN 'example.net/en/'
+              WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/de/%' THEN 'example.com/de/'
+              WHEN (host = 'org' OR host LIKE '%.org') AND path LIKE '/fr/%' THEN 'org/fr/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/%' THEN 'net/' END AS rule
+  FROM p),
+l AS (SELECT DISTINCT canon FROM c WHERE regexp_matches(host, '{LISTED_HOSTS}') AND canon IS NOT NULL)
+SELECT page_id, host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN l.canon IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+       l.canon IS NOT NULL AS listed
+FROM c LEFT JOIN l ON l.canon = c.canon""")
+def url_filter(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    listed = pages.select("url").where(parts(F.col("url"))[0].rlike(LISTED_HOSTS))
+    return judge(pages, URL_RULES, listed)
+
+
+@query("op10_mixing", r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw
+  FROM documents),
+s AS (
+  SELECT *, 3 * source_size AS lim, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source)),
+o AS (
+  SELECT *, row_number() OVER w AS nth,
+         sum(source_size) OVER () - sum(lim) OVER w + lim AS rest, sum(weight) OVER () - sum(weight) OVER w + weight AS weights
+  FROM s WINDOW w AS (ORDER BY lim::DOUBLE / weight, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+f AS (SELECT * FROM o WHERE lim * weights > rest * weight ORDER BY nth LIMIT 1),
+t AS (
+  SELECT o.*, CASE WHEN o.nth >= f.nth THEN (f.rest * o.weight)::DOUBLE / f.weights::DOUBLE ELSE o.lim::DOUBLE END AS target
+  FROM o LEFT JOIN f ON true),
+r AS (
+  SELECT d.doc_id, d.size, t.source_size, t.target, floor(t.target)::BIGINT AS budget,
+         coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY draw, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END AS whole FROM r)
+SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, budget - whole * source_size - before))::BIGINT AS taken FROM e""")
+def mixing(spark, folder):
+    return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")

@@ -55,6 +55,61 @@ def n_words(text):
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 
+def running(df, group, order, value, into):
+    """Sum of ``value`` over the rows before each row in its group: column ``into``.
+
+    Rows are range-sorted on (group, order), so a group that most rows share
+    spreads over tasks. Each task sums its own run of every group and leaves one row
+    with that run's total; prefix sums over those few rows join the runs. Null is
+    a group of its own, last. The result is a table in the shared folder.
+    """
+    fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
+    schema = T.StructType(fields + [T.StructField("_part", T.IntegerType()), T.StructField("_sum", T.LongType()),
+                                    T.StructField("_total", T.BooleanType())])
+    names = [f.name for f in fields]
+
+    def total(part, key, amount):
+        data = [pa.array([key], out.field(x).type) if x == group else pa.nulls(1, out.field(x).type) for x in names]
+        return pa.RecordBatch.from_arrays(data + [pa.array([part], pa.int32()), pa.array([amount], pa.int64()), pa.array([True])], schema=out)
+
+    def add(batches):
+        part, last, amount = TaskContext.get().partitionId(), None, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            keys = batch.column(group)
+            starts = np.flatnonzero(_starts([keys], last))
+            values = batch.column(value).to_numpy(zero_copy_only=False).astype(np.int64)
+            before = np.cumsum(values) - values
+            cuts = [0, *(int(x) for x in starts if x > 0), n]
+            local = np.empty(n, np.int64)
+            for a, b in zip(cuts, cuts[1:]):
+                if (a == 0 and len(starts) and starts[0] == 0) or a > 0:
+                    if last is not None:
+                        yield total(part, last[0], amount)
+                    amount = 0
+                local[a:b] = before[a:b] - before[a] + amount
+                amount += int(values[a:b].sum())
+                last = [keys[a].as_py()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(x) for x in names] + [pa.array(np.full(n, part, np.int32)), pa.array(local), pa.array(np.zeros(n, bool))], schema=out)
+        if last is not None:
+            yield total(part, last[0], amount)
+
+    out = to_arrow_schema(schema)
+    by = [F.col(group).asc_nulls_last(), *(F.col(c).asc_nulls_first() for c in order)]
+    table = written(df.repartitionByRange(*by).sortWithinPartitions(*by).mapInArrow(add, schema))
+    in_order = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = table.where("_total").select(
+        F.col(group).alias("_group"), F.col("_part").alias("_at"), F.coalesce(F.sum("_sum").over(in_order), F.lit(0)).alias("_base"))
+    return (
+        table.where("not _total")
+        .join(runs, (F.col("_part") == F.col("_at")) & F.col(group).eqNullSafe(F.col("_group")))
+        .select(*names, (F.col("_base") + F.col("_sum")).alias(into))
+    )
+
+
 def _keys(batch, names):
     return [batch.column(n) for n in names]
 

@@ -1,8 +1,8 @@
 """Words of text batches as flat arrays, for use inside tasks.
 
 A word is a run of bytes other than white space (space and the control codes 9
-to 13). UTF-8 continuation bytes are never white space, so byte runs and
-character runs are the same words. Every function takes a whole batch at once.
+to 13). Bytes of longer UTF-8 characters are never white space, so byte runs and
+character runs are the same words. Every function takes many rows at once.
 """
 
 import numpy as np
@@ -13,11 +13,21 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-# Each byte gets a random odd number, each place in a word a power of an odd base;
-# a word's number is their sum of products, mixed at the end.
-_RNG = np.random.default_rng(20240229)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
+_powers = {}
+
+
+def powers(n, inverse=False):
+    """base**0 ... base**(n-1) modulo 2**64, or those of the inverse base."""
+    have = _powers.get(inverse)
+    if have is None or len(have) < n:
+        size = 1 << max(16, int(n).bit_length())
+        base = pow(_BASE, -1, 2**64) if inverse else _BASE
+        have = np.full(size, base, np.uint64)
+        have[0] = 1
+        have = _powers[inverse] = np.cumprod(have)
+    return have[:n]
 
 
 def mix(x):
@@ -29,15 +39,33 @@ def mix(x):
     return x ^ (x >> np.uint64(31))
 
 
-def text_bytes(column):
-    """A batch's text column (null: empty) as one byte array and the row bounds."""
+def sums(values):
+    """Prefix sums of values times powers; a run's number is their difference, shifted back."""
+    out = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * powers(len(values)), out=out[1:])
+    return out
+
+
+def runs(prefix, starts, ends):
+    """A 64-bit number of each run [start, end) of the values behind prefix sums."""
+    size = (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return mix((prefix[ends] - prefix[starts]) * powers(len(prefix), True)[starts] + size)
+
+
+def slices(column, limit=1 << 20):
+    """Split a batch's column into row ranges of about ``limit`` bytes, a row at least."""
     column = column.cast(pa.large_binary())
     if column.null_count:
         column = column.fill_null(b"")
-    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    n = len(column)
+    bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + n + 1]
     data = column.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
-    return raw, bounds - bounds[0]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    at = 0
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(bounds, bounds[at] + limit, "right")) - 1)
+        yield at, to, raw[bounds[at] : bounds[to]], bounds[at : to + 1] - bounds[at]
+        at = to
 
 
 def word_spans(raw, bounds):
@@ -58,37 +86,22 @@ def word_spans(raw, bounds):
 
 def word_numbers(raw, starts, ends):
     """A 64-bit number for every word; equal words get equal numbers."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    size = ends - starts
-    powers = np.cumprod(np.full(int(size.max()), _BASE)) if len(size) else np.zeros(0, np.uint64)
-    inside = np.zeros(len(raw) + 1, np.int8)
-    inside[starts] = 1
-    inside[ends] -= 1
-    spot = np.flatnonzero(np.cumsum(inside[:-1], dtype=np.int8))
-    first = np.cumsum(size) - size
-    place = np.arange(len(spot)) - np.repeat(first, size)
-    return mix(np.add.reduceat(_BYTE[raw[spot]] * powers[place], first) + size.astype(np.uint64))
-
-
-def batch_words(column, lower=False):
-    """Word numbers of a batch and the word bounds of every row."""
-    raw, bounds = text_bytes(column)
-    if lower:
-        raw = LOWER[raw]
-    starts, ends, rows = word_spans(raw, bounds)
-    return word_numbers(raw, starts, ends), rows
+    return runs(sums(_BYTE[raw]), starts, ends)
+
+
+def batches(column, lower=False):
+    """(first row, end row, word numbers, word bounds of the rows) for parts of a batch."""
+    for at, to, raw, bounds in slices(column):
+        if lower:
+            raw = LOWER[raw]
+        starts, ends, rows = word_spans(raw, bounds)
+        yield at, to, word_numbers(raw, starts, ends), rows
 
 
 def window_numbers(numbers, size):
-    """A 64-bit number for the ``size`` words from every word on; also over row ends, which callers mask."""
+    """A number for the ``size`` words from every word on, also over row ends (callers mask those)."""
     n = len(numbers) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    with np.errstate(over="ignore"):
-        factor = _BASE
-        for i in range(size):
-            out += numbers[i : i + n] * factor
-            factor = factor * _BASE
-    return mix(out)
+    prefix = sums(numbers)
+    return mix((prefix[size:] - prefix[:-size]) * powers(n, True))
