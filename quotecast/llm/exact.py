@@ -46,8 +46,8 @@ def identities(docs, id_col="doc_id", text_col="text", block=BLOCK):
         F.when(first, F.col("chars")).alias("chars"),
         F.when(first, F.unhex(F.sha2(F.col("body").cast("binary"), 256))).alias("sha256"),
         F.substring("body", F.col("idx") * block + 1, F.lit(block)).alias("block"),
-    )
-    names = written(numbered(blocks, ["block"], ["row", "idx"], "name"))
+    ).withColumn("sum", F.xxhash64("block"))
+    names = written(numbered(blocks, ["block"], ["row", "idx"], "name", lead="sum"))
     most = names.agg(F.max("n_blocks")).first()[0] or 1
     level = names.where("n_blocks > 1").select("row", "idx", "n_blocks", "name")
     done = None
@@ -98,14 +98,18 @@ def exact_groups(docs, id_col="doc_id", text_col="text", block=BLOCK):
 
 def drop_exact_copies(docs, id_col="doc_id", text_col="text", block=BLOCK):
     """The rows of docs, all columns, without exact copies; empty texts are copies of each other."""
-    kept = written(
-        exact_groups(docs, id_col, text_col, block).where("kept").select(F.col("doc_id"), F.col("text_key"))
-    )
-    return matching(docs, kept, id_col, text_col)
+    groups = written(exact_groups(docs, id_col, text_col, block))
+    kept = groups.where("kept").select("doc_id", "text_key")
+    return matching(docs, kept, rows_repeat(groups), id_col, text_col)
+
+
+def rows_repeat(table):
+    """Whether some (doc_id, text_key) stands in a table more than once."""
+    return table.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
 
 
-def matching(docs, keys, id_col="doc_id", text_col="text"):
-    """The rows of docs whose (id, hash of text) is among keys, once for each key.
+def matching(docs, keys, repeat, id_col="doc_id", text_col="text"):
+    """The rows of docs whose (id, hash of text) is among keys, one for each where rows ``repeat``.
 
     Input columns travel in one struct, so their names cannot clash.
     """
@@ -117,7 +121,4 @@ def matching(docs, keys, id_col="doc_id", text_col="text"):
         F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key")),
         "left_semi",
     )
-    ids = docs.select(F.col(id_col).alias("i"), F.xxhash64(F.col(text_col)).alias("k"))
-    if ids.groupBy("i", "k").count().where("count > 1").limit(1).count():  # rows repeated as a whole
-        found = found.dropDuplicates(["_id", "_key"])
-    return found.select("_doc.*")
+    return (found.dropDuplicates(["_id", "_key"]) if repeat else found).select("_doc.*")

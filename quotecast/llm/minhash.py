@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quotecast.llm.components import components
-from quotecast.llm.exact import matching
+from quotecast.llm.exact import matching, rows_repeat
 from quotecast.llm.tables import written
 from quotecast.llm.words import batches, mix, powers, runs, sums, window_numbers
 
@@ -274,4 +274,4 @@ def drop_near_copies(docs, id_col="doc_id", text_col="text", **options):
     groups = written(near_groups(docs, id_col, text_col, **options))
     best = groups.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     alone = groups.where("group is null").select("doc_id", "text_key").distinct()
-    return matching(docs, written(best.select("best.*").unionByName(alone)), id_col, text_col)
+    return matching(docs, best.select("best.*").unionByName(alone), rows_repeat(groups), id_col, text_col)

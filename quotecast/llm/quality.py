@@ -13,7 +13,7 @@ REPEAT_PERCENT = 50
 ACCURACY = 10_000
 # A metric's fence lies at least so far above the upper (below the lower) quartile, and
 # at least so many quartile distances.
-SLACK = {"symbol_share": 0.1, "dup_line_share": 0.3, "repeat_share": 0.2, "word_chars_mean": 1.5}
+SLACK = {"symbol_share": 0.05, "dup_line_share": 0.5, "repeat_share": 0.35, "word_chars_mean": 1.5}
 REACH = 4.0
 
 

@@ -5,11 +5,14 @@ from pyspark.sql import functions as F
 from quotecast.llm import licenses
 from quotecast.llm.exact import exact_groups
 from quotecast.llm.licenses import scan
+from quotecast.llm.lines import line_dedup
+from quotecast.llm.lm import score
 from quotecast.llm.minhash import near_groups
 from quotecast.llm.mixing import mix
 from quotecast.llm.packing import pieces
 from quotecast.llm.quality import rate
 from quotecast.llm.registry import ORACLES, QUERIES, documents, hex_lower, query
+from quotecast.llm.substrings import substring_dedup
 from quotecast.llm.urls import judge, parts
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -30,6 +33,26 @@ measured AS (
   FROM base LEFT JOIN cov USING (r))"""
 
 
+@query("op1_line_dedup", r"""
+WITH l AS (
+  SELECT doc_id, i, line, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, count(*) OVER (PARTITION BY doc_id) AS n
+  FROM (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i
+        FROM (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents))
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (SELECT *, l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) > 1 AS again FROM l),
+g AS (SELECT *, coalesce(again OR lag(again, 1) OVER w OR lag(again, 2) OVER w, again) AS gone
+      FROM f WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT d.doc_id, count(g.i) AS n_lines, count(g.i) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""")
+def line_runs(spark, folder):
+    found = line_dedup(documents(spark, folder))
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.array_join("kept_lines", "\n").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_quality", f"""
 WITH {MEASURED_SQL},
 rated AS (
@@ -45,9 +68,9 @@ q AS (
   FROM rated WHERE NOT base_failed GROUP BY ALL)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(
-         symbol_share BETWEEN a[1] - greatest(0.1, 4 * (a[2] - a[1])) AND a[2] + greatest(0.1, 4 * (a[2] - a[1]))
-         AND dup_line_share BETWEEN b[1] - greatest(0.3, 4 * (b[2] - b[1])) AND b[2] + greatest(0.3, 4 * (b[2] - b[1]))
-         AND repeat_share BETWEEN c[1] - greatest(0.2, 4 * (c[2] - c[1])) AND c[2] + greatest(0.2, 4 * (c[2] - c[1]))
+         symbol_share BETWEEN a[1] - greatest(0.05, 4 * (a[2] - a[1])) AND a[2] + greatest(0.05, 4 * (a[2] - a[1]))
+         AND dup_line_share BETWEEN b[1] - greatest(0.5, 4 * (b[2] - b[1])) AND b[2] + greatest(0.5, 4 * (b[2] - b[1]))
+         AND repeat_share BETWEEN c[1] - greatest(0.35, 4 * (c[2] - c[1])) AND c[2] + greatest(0.35, 4 * (c[2] - c[1]))
          AND word_chars_mean BETWEEN d[1] - greatest(1.5, 4 * (d[2] - d[1])) AND d[2] + greatest(1.5, 4 * (d[2] - d[1])),
          false) AS kept
 FROM rated LEFT JOIN q ON rated.lang IS NOT DISTINCT FROM q.lang AND rated.source IS NOT DISTINCT FROM q.source""")
@@ -133,6 +156,29 @@ URL_RULES = (
 LISTED_HOSTS = "spam|pills|casino|adult|bets"
 
 
+@query("op7_lm_score", rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+t AS (SELECT doc_id, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+x AS (
+  SELECT *, count(*) OVER () - count(*) OVER (PARTITION BY doc_id) AS n,
+         count(*) OVER (PARTITION BY w) - count(*) OVER (PARTITION BY doc_id, w) AS cw,
+         count(*) OVER (PARTITION BY p, w) - count(*) OVER (PARTITION BY doc_id, p, w) AS cpw
+  FROM t),
+u AS (SELECT w AS p, count(*) AS c FROM t GROUP BY w),
+o AS (SELECT doc_id, w AS p, count(*) AS c FROM t GROUP BY doc_id, w),
+s AS (
+  SELECT x.doc_id, CASE WHEN p IS NOT NULL AND cpw > 0 THEN cpw / (u.c - o.c)
+                        ELSE (CASE WHEN p IS NULL THEN 1 ELSE 0.4 END) * greatest(cw, 1) / greatest(n, 1) END AS v
+  FROM x LEFT JOIN u USING (p) LEFT JOIN o USING (doc_id, p)),
+g AS (SELECT doc_id, count(*) AS n_words, avg(log10(v)) AS score FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, floor(score * 1e6 + 0.4321) / 1e6 AS score FROM documents LEFT JOIN g USING (doc_id)""")
+def lm_score(spark, folder):
+    return score(documents(spark, folder)).select(
+        "doc_id", "n_words", (F.floor(F.col("score") * 1e6 + 0.4321) / 1e6).alias("score")
+    )
+
+
 @query("op8_url_filter", rf"""
 WITH p AS (
   SELECT page_id, translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -160,6 +206,23 @@ def url_filter(spark, folder):
     return judge(pages, URL_RULES, listed)
 
 
+@query("op9_substrings", rf"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS ws FROM documents),
+w AS (SELECT doc_id, i, array_to_string(ws[i : i + 19], ' ') AS s
+      FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+f AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS nth FROM w) WHERE nth > 1),
+gone AS (SELECT DISTINCT doc_id, i + k AS i FROM f, range(0, 20) t(k)),
+t AS (SELECT doc_id, i, ws[i] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM d)),
+k AS (SELECT t.doc_id, count(*) AS n_words, count(gone.i) AS n_removed, string_agg(word, ' ' ORDER BY t.i) FILTER (gone.i IS NULL) AS kept
+      FROM t LEFT JOIN gone ON t.doc_id = gone.doc_id AND t.i = gone.i GROUP BY t.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)""")
+def substrings(spark, folder):
+    return substring_dedup(documents(spark, folder)).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @query("op10_mixing", r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5('mix:' || coalesce(doc_id::VARCHAR, '')) AS draw

@@ -127,16 +127,23 @@ def _starts(columns, last):
     return new
 
 
-def numbered(df, keys, ties, into):
+def numbered(df, keys, ties, into, lead=None):
     """Name every distinct key by its place in sorted order, 1, 2, ...: column ``into``.
 
     Rows are range-sorted on keys and ties, so a key that many rows share spreads
     over tasks. Each task numbers its own run and leaves one row with its first
     and last key; prefix sums over those few rows join the runs. The keys' columns
     are dropped; the result is a table in the shared folder.
+
+    Long keys can have a ``lead``, a column with a hash of them: the order is then
+    (lead, keys), and the tasks' ranges are cut by (lead, ties) alone, so that the
+    sampling for those cuts moves no keys. Names still follow the keys themselves.
+    Should two keys share a hash, a cut between them could split a name; as some
+    task then holds both, that is noticed and raised, never passed on.
     """
     fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
     kept = [f for f in fields if f.name not in keys]
+    kept = [f for f in kept if f.name != lead]
     key_type = T.StructType([f for f in fields if f.name in keys])
     schema = T.StructType(
         kept
@@ -147,12 +154,18 @@ def numbered(df, keys, ties, into):
     key_names = [f.name for f in key_type.fields]
 
     def number(batches):
-        part, count, first, last = TaskContext.get().partitionId(), 0, None, None
+        part, count, first, last, last_lead = TaskContext.get().partitionId(), 0, None, None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             columns = _keys(batch, key_names)
-            local = np.cumsum(_starts(columns, last)) + count
+            new = _starts(columns, last)
+            if lead:
+                hashes = batch.column(lead)
+                if (new & ~_starts([hashes], last_lead)).any():
+                    raise ValueError("two keys share a hash: give another lead column")
+                last_lead = [hashes[-1].as_py()]
+            local = np.cumsum(new) + count
             first = first or [c[0].as_py() for c in columns]
             last = [c[-1].as_py() for c in columns]
             count = int(local[-1])
@@ -172,8 +185,10 @@ def numbered(df, keys, ties, into):
 
     out = to_arrow_schema(schema)
     ends_type = out.field("_ends").type
-    order = [F.col(c).asc_nulls_first() for c in [*keys, *ties]]
-    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    led = [lead] if lead else []
+    order = [F.col(c).asc_nulls_first() for c in [*led, *keys, *ties]]
+    cuts = [F.col(c).asc_nulls_first() for c in [*(led or keys), *ties]]
+    sorted_rows = df.repartitionByRange(*cuts).sortWithinPartitions(*order)
     table = written(sorted_rows.mapInArrow(number, schema))
     in_order = Window.orderBy("_part")  # a row for each task of the sort
     met = F.col("_ends")[0].eqNullSafe(F.lag(F.col("_ends")[1]).over(in_order)) & F.lag("_part").over(in_order).isNotNull()
