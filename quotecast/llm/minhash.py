@@ -141,8 +141,25 @@ def block_links(stream, size, share, lower):
         union = length[:, None] + length[None, :] - both
         ok = (100 * both >= share * union) & (parts[:, None] != parts[None, :])
         ok &= (side[:, None] == side[None, :]) if side.max() == side.min() else (side[:, None] < side[None, :])
-        i, j = np.nonzero(np.triu(ok, 1) if side.max() == side.min() else ok)
-        yield _links([rows[x]["node"] for x in i], [rows[x]["node"] for x in j])
+        kept = _spanning(*np.nonzero(np.triu(ok, 1) if side.max() == side.min() else ok), parts)
+        yield _links([rows[x]["node"] for x, _ in kept], [rows[y]["node"] for _, y in kept])
+
+
+def _spanning(i, j, parts):
+    """Of links (i, j) those that join components not joined by the links before: enough for connectivity."""
+    top, kept = {}, []
+
+    def root(x):
+        while top.get(x, x) != x:
+            x = top[x]
+        return x
+
+    for x, y in zip(i.tolist(), j.tolist()):
+        a, b = root(parts[x]), root(parts[y])
+        if a != b:
+            top[max(a, b)] = min(a, b)
+            kept.append((x, y))
+    return kept
 
 
 def _signed(pairs, nodes, least):
