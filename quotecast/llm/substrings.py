@@ -8,7 +8,7 @@ from quotecast.llm.words import SPACE, batches, window_numbers
 
 WINDOW = 20
 PREFIX = 4
-LARGE = 4096
+LARGE = 32768
 _KEY_BITS = (1 << 23) - 1  # of the text's hash, above 40 bits for a place in the text
 
 
@@ -60,7 +60,7 @@ def suffixes(stream, window, prefix):
         live = batch.column("live")
         bounds = live.offsets.to_numpy()
         spots = live.values.field("place").to_numpy(zero_copy_only=False)
-        large = live.values.field("large").to_numpy(zero_copy_only=False)
+        salts = live.values.field("salt").to_numpy(zero_copy_only=False)
         for at, to, words, rows in batches(batch.column("text")):
             starts, chosen, grams = _anchored(words, rows, window, prefix)
             if not len(chosen):
@@ -81,85 +81,75 @@ def suffixes(stream, window, prefix):
             keep = np.flatnonzero(flat[i] == heads) if len(flat) else np.zeros(0, np.int64)
             if not len(keep):
                 continue
-            big = large[a:b][order][i[keep]]
+            salt = salts[a:b][order][i[keep]]
             lists = pa.array([numbers[x:y].tobytes() for x, y in zip(cuts[keep], ends[keep])], pa.binary())
             first = starts[cuts[keep]] - rows[row[keep]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(grams[heads[keep]].view(np.int64)), ids.take(pa.array(at + row[keep])),
-                 pa.array((keys[at + row[keep]] << 40) | first), lists, pa.array(big)],
-                ["prefix", "doc_id", "spot", "windows", "large"],
+                 pa.array((keys[at + row[keep]] << 40) | first), lists, pa.array(salt)],
+                ["prefix", "doc_id", "spot", "windows", "salt"],
             )
 
 
 def subtrees(stream):
-    """Leaves below deep internal nodes that are not the node's first.
-
-    Rows come sorted by prefix and then in document order. Each prefix's subtree is
-    its leaves sorted by the rest of their windows; equal neighbours meet in an
-    internal node at the full depth, whose first leaf (in document order) stays.
-    Whole prefixes are taken together; no prefix here has more than ``LARGE`` rows.
+    """Leaves below deep internal nodes that are not the node's first; and the first ones of split groups.
+
+    Rows come sorted by group (prefix and salt) and then in document order. Each
+    group's subtree is its leaves sorted by the rest of their windows; equal
+    neighbours meet in an internal node at the full depth. All its leaves but the
+    first (in document order) are marked: rows with a mask of windows from spot on.
+    Where a prefix was split by salt (0 or more; -1: not split), the first leaf may have an earlier
+    one in another part: it goes out as a row with its window. Whole groups are taken
+    together; none has many more than ``LARGE`` rows.
     """
     def flagged(table):
-        lists = table.column("windows").combine_chunks()
-        numbers = np.frombuffer(b"".join(lists.to_pylist()), np.uint64)
-        size = np.array([len(x) // 8 for x in lists.to_pylist()], np.int64)
+        table = table.combine_chunks()
+        lists = table.column("windows").to_pylist()
+        numbers = np.frombuffer(b"".join(lists), np.uint64)
+        size = np.array([len(x) // 8 for x in lists], np.int64)
         leaf = np.repeat(np.arange(len(size)), size)
-        group = table.column("prefix").to_numpy()[leaf]
-        order = np.lexsort((numbers, group))  # stable: document order within a node
-        same = np.r_[False, (numbers[order][1:] == numbers[order][:-1]) & (group[order][1:] == group[order][:-1])]
+        prefix, salt = (table.column(c).to_numpy()[leaf] for c in ("prefix", "salt"))
+        order = np.lexsort((numbers, salt, prefix))  # stable: document order within a node
+        number, group, part = numbers[order], prefix[order], salt[order]
+        same = np.r_[False, (number[1:] == number[:-1]) & (group[1:] == group[:-1]) & (part[1:] == part[:-1])]
+        nth = np.arange(len(leaf)) - (np.cumsum(size) - size)[leaf]
         again = np.sort(order[same])
-        nth = again - (np.cumsum(size) - size)[leaf[again]]
         row, first = np.unique(leaf[again], return_index=True)
-        if not len(row):
-            return
-        mask = np.add.reduceat(np.int64(1) << nth.astype(np.int64), first)
-        kept = table.select(["doc_id", "spot"]).take(pa.array(row)).combine_chunks()
-        yield from (
-            pa.RecordBatch.from_arrays([*b.columns, pa.array(mask[i : i + len(b)])], ["doc_id", "spot", "mask"])
-            for i, b in _offsets(kept.to_batches())
-        )
-
-    waiting = []
+        if len(row):
+            mask = np.add.reduceat(np.int64(1) << nth[again], first)
+            none = pa.nulls(len(row), pa.int64())
+            yield from out(table, row, np.zeros(len(row), np.int64), mask, none, none)
+        heads = order[~same & (part >= 0)]
+        if len(heads):
+            yield from out(table, leaf[heads], nth[heads], np.ones(len(heads), np.int64),
+                           pa.array(prefix[heads]), pa.array(numbers[heads].view(np.int64)))
+
+    def out(table, row, shift, mask, prefix, window):
+        spot = table.column("spot").to_numpy()[row] + shift
+        made = pa.Table.from_arrays(
+            [table.column("doc_id").take(pa.array(row)), pa.array(spot), pa.array(mask), prefix, window],
+            ["doc_id", "spot", "mask", "prefix", "window"])
+        yield from made.combine_chunks().to_batches(10_000)
+
+    waiting, n = [], 0
     for batch in stream:
         if not batch.num_rows:
             continue
         waiting.append(batch)
-        table = pa.Table.from_batches(waiting)
-        if table.num_rows < 50_000:
+        n += batch.num_rows
+        if n < 2 * LARGE:
             continue
-        group = table.column("prefix").to_numpy()
-        cut = int(np.searchsorted(group, group[-1]))
-        if cut:
+        table = pa.Table.from_batches(waiting)
+        group, part = table.column("prefix").to_numpy(), table.column("salt").to_numpy()
+        before = np.flatnonzero((group != group[-1]) | (part != part[-1]))
+        if len(before):  # the last group may go on
+            cut = int(before[-1]) + 1
             yield from flagged(table.slice(0, cut))
-            waiting = table.slice(cut).to_batches()
+            waiting, n = table.slice(cut).to_batches(), n - cut
     if waiting:
         yield from flagged(pa.Table.from_batches(waiting))
 
 
-def _offsets(parts):
-    at = 0
-    for b in parts:
-        yield at, b
-        at += len(b)
-
-
-def exploded(stream):
-    """Rows with all windows of their prefix as rows of single windows."""
-    for batch in stream:
-        lists = batch.column("windows").to_pylist()
-        size = np.array([len(x) // 8 for x in lists], np.int64)
-        if not len(size):
-            continue
-        row = np.repeat(np.arange(len(size)), size)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("prefix").take(pa.array(row)), pa.array(np.frombuffer(b"".join(lists), np.int64)),
-             batch.column("doc_id").take(pa.array(row)),
-             pa.array(batch.column("spot").to_numpy(zero_copy_only=False)[row] + nth)],
-            ["prefix", "window", "doc_id", "spot"],
-        )
-
-
 def cut_texts(stream, window):
     """Texts without the words covered by the marked windows."""
     for batch in stream:
@@ -209,15 +199,17 @@ def substring_dedup(docs, id_col="doc_id", text_col="text", window=WINDOW, prefi
     words inside it, the one with the smallest number, so equal windows share their
     prefix and neighbours mostly do too. Prefixes that occur once lead to leaves
     without branches and are dropped after one count. The others split the suffixes
-    into groups; a group with more than ``large`` members gets the longest prefix,
-    the whole window, as its key and is aggregated map-side, as one internal node.
-    Each smaller group is one subtree in memory; its internal nodes at full depth
-    are the repeats (see ``subtrees``). Numbers have 64 bits and are compared within
+    into groups; each group is one subtree in memory, whose internal nodes at full
+    depth are the repeats (see ``subtrees``). A prefix with more than ``large``
+    members is split by a salt; the first leaves of its parts' nodes then meet under
+    the longest prefix, the whole window, where all but the first are marked too. Numbers have 64 bits and are compared within
     a prefix only.
 
     Null texts have no words. Rows repeated with id and text are one document
     reported as often; different texts under one id are ordered by a hash.
     """
+    if window - prefix > 62:
+        raise ValueError("a mask holds the windows of one prefix: window - prefix must not exceed 62")
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.select(
         F.col(id_col).alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(_KEY_BITS)).alias("key"), text.alias("text"))
@@ -226,24 +218,24 @@ def substring_dedup(docs, id_col="doc_id", text_col="text", window=WINDOW, prefi
     often = chosen.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = chosen.join(often, "prefix").select(
         "doc_id", F.shiftright("spot", 40).alias("key"),
-        F.struct(F.col("spot").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"), (F.col("n") > large).alias("large")).alias("at"))
+        F.struct(F.col("spot").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"), F.when(F.col("n") <= large, -1).otherwise(
+            F.pmod(F.xxhash64("doc_id", "spot"), F.ceil(F.col("n") / large))).cast("int").alias("salt")).alias("at"))
     by_text = live.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("at").alias("live"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     leaves = held.join(by_text, same).select("doc_id", "key", "text", "live").mapInArrow(
-        lambda s: suffixes(s, window, prefix), f"prefix long, doc_id {kind}, spot long, windows binary, large boolean")
-    small = (
-        leaves.where("not large").select("prefix", "doc_id", "spot", "windows").repartition("prefix")
-        .sortWithinPartitions("prefix", F.col("doc_id").asc_nulls_last(), "spot")
-        .mapInArrow(subtrees, f"doc_id {kind}, spot long, mask long")
+        lambda s: suffixes(s, window, prefix), f"prefix long, doc_id {kind}, spot long, windows binary, salt int")
+    found = (
+        leaves.repartition("prefix", "salt")
+        .sortWithinPartitions("prefix", "salt", F.col("doc_id").asc_nulls_last(), "spot")
+        .mapInArrow(subtrees, f"doc_id {kind}, spot long, mask long, prefix long, window long")
     )
-    single = leaves.where("large").select("prefix", "doc_id", "spot", "windows").mapInArrow(
-        exploded, f"prefix long, window long, doc_id {kind}, spot long")
     place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("spot").alias("s"))
-    first = single.groupBy("prefix", "window").agg(F.min(place).alias("first"))
-    again = single.join(first, ["prefix", "window"]).where(~place.eqNullSafe(F.col("first"))).select(
-        "doc_id", "spot", F.lit(1).cast("long").alias("mask"))
+    heads = found.where("window is not null")
+    first = heads.groupBy("prefix", "window").agg(F.min(place).alias("first"))
+    again = heads.join(first, ["prefix", "window"]).where(~place.eqNullSafe(F.col("first")))
     marks = (
-        small.unionByName(again)
+        found.where("window is null").select("doc_id", "spot", "mask")
+        .unionByName(again.select("doc_id", "spot", "mask"))
         .groupBy(F.col("doc_id").alias("_id"), F.shiftright("spot", 40).alias("_key"))
         .agg(F.collect_list(F.struct(F.col("spot").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"), "mask")).alias("marks"))
     )
