@@ -38,7 +38,7 @@ def mixing(spark, docs, sf_dir):
 
 def packing(spark, docs, sf_dir):
     """Pieces of token sequences, each in its place in a training window."""
-    packed = pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

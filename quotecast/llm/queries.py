@@ -140,7 +140,7 @@ def minhash(spark, folder):
 def packing(spark, folder):
     import public_tokenizers
 
-    packed = pieces(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pieces(documents(spark, folder), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

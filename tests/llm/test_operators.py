@@ -17,7 +17,7 @@ from quotecast.llm.licenses import NOTICES, edits_allowed, scan
 from quotecast.llm.lines import line_dedup
 from quotecast.llm.lm import score
 from quotecast.llm.mixing import mix, mixed, source_targets
-from quotecast.llm.packing import differencing, pieces, windows
+from quotecast.llm.packing import Encoder, differencing, pieces, windows
 from quotecast.llm.quality import keep_good, rate
 from quotecast.llm.substrings import substring_dedup
 from quotecast.llm.tables import numbered, running
@@ -322,6 +322,20 @@ def test_windows_hold_everything_once():
     assert [sorted(sum(x) for x in ([s[i] for i in b] for b in differencing(s, 2))) for s in ([8, 7, 6, 5, 4],)] == [[14, 16]]
 
 
+def test_fast_ids_are_the_tokenizers_own():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    model, encoder = Tokenizer.from_file(path), Encoder(path, public_tokenizers.PATTERN)
+    assert encoder.fast is not None
+    texts = ["".join(f"a{chr(c)}1 {chr(c)}{chr(c)}b" for c in range(k, k + 64) if not 0xD800 <= c < 0xE000) for k in range(0, 0x30000, 64)]
+    for text, code in zip(texts, model.encode_batch(texts, add_special_tokens=False)):
+        assert encoder.encode(text) == np.array(code.ids, "<u4").tobytes()
+    word = Encoder(public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.PATTERN)
+    assert word.fast is None and word.encode("One two")
+
+
 def test_packing_round_trip(odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -330,7 +344,7 @@ def test_packing_round_trip(odd, none):
     model = Tokenizer.from_file(path)
     texts = [(i, t) for i, t in enumerate([r[1] for r in ODD] + ["a  b", " a", "a\n b", "a <|endoftext|> b", "don't 've\t x "])]
     df = odd.sparkSession.createDataFrame(texts, "doc_id long, text string")
-    got = pieces(df, path).toPandas()
+    got = pieces(df, path, public_tokenizers.PATTERN).toPandas()
     for i, text in texts:
         mine = got[got.doc_id == i].sort_values("start")
         want = np.array([*model.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
@@ -340,9 +354,9 @@ def test_packing_round_trip(odd, none):
     for _, s in got.groupby("sequence_id"):
         s = s.sort_values("offset")
         assert s.offset.tolist() == (s.length.cumsum() - s.length).tolist() and s.length.sum() <= 1024
-    first = pieces(df, path).select(F.crc32("ids").alias("c"), "ids").first()
+    first = pieces(df, path, public_tokenizers.PATTERN).select(F.crc32("ids").alias("c"), "ids").first()
     assert first.c == zlib.crc32(bytes(first.ids))
-    assert pieces(odd, path).select("doc_id").distinct().count() == 11 and pieces(none, path).count() == 0
+    assert pieces(odd, path, public_tokenizers.PATTERN).select("doc_id").distinct().count() == 11 and pieces(none, path, public_tokenizers.PATTERN).count() == 0
 
 
 # 7: language-model scores
