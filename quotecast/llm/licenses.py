@@ -1,5 +1,6 @@
 """License notices in running text, spelled exactly or nearly so."""
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import functions as F
@@ -30,44 +31,62 @@ def edits_allowed(notice, rate=RATE):
     return max(1, int(len(notice) * rate))
 
 
+GRAM = 3
+
+
 class Notice:
-    """A notice with its exact seeds and its pattern with bounded edits.
+    """A notice with its exact seeds, its grams and its pattern with bounded edits.
 
     ``k`` edits touch at most k of k + 1 parts, so any occurrence with at most k
-    edits holds one part unchanged: those parts are the seeds.
+    edits holds one part unchanged: those parts are the seeds. An edit touches at
+    most ``GRAM`` grams of three characters, so an occurrence lacks at most k times
+    as many: areas that lack more are passed over before any matching.
     """
 
     def __init__(self, text, label, rate):
         self.text, self.label, self.edits = text, label, edits_allowed(text, rate)
         bounds = [round(i * len(text) / (self.edits + 1)) for i in range(self.edits + 2)]
-        self.seeds = [(a, text[a:b].encode()) for a, b in zip(bounds, bounds[1:])]
+        self.seeds = [(a, text[a:b]) for a, b in zip(bounds, bounds[1:])]
+        self.grams = {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+        self.lacking = GRAM * self.edits
         self.pattern = regex.compile(rf"(?b)(?:{regex.escape(text)}){{e<={self.edits}}}")
 
-    def spans(self, flat):
-        """(start, end, edits) of occurrences in word-joined text, best first at each place."""
-        reach, places = len(self.text) + self.edits, []
-        for at, seed in self.seeds:
-            i = flat.find(seed)
-            while i >= 0:
-                places.append((max(0, i - at - self.edits), i - at + reach))
-                i = flat.find(seed, i + 1)
-        places.sort()
-        areas = []
-        for a, b in places:
+    def near(self, area):
+        lacking = 0
+        for gram in self.grams:
+            if gram not in area:
+                lacking += 1
+                if lacking > self.lacking:
+                    return False
+        return True
+
+    def spans(self, flat, places):
+        """(start, end, edits) of occurrences in word-joined text around the places where they may begin."""
+        reach, areas = len(self.text) + self.edits, []
+        for place in sorted(set(places)):
+            a, b = max(0, place - self.edits), place + reach
+            if not self.near(flat[a:b]):
+                continue
             if areas and a <= areas[-1][1]:
                 areas[-1][1] = max(b, areas[-1][1])
             else:
                 areas.append([a, b])
         for a, b in areas:
-            # whole characters only: do not begin or end inside one
-            while a > 0 and flat[a] & 0xC0 == 0x80:
-                a -= 1
-            while b < len(flat) and flat[b] & 0xC0 == 0x80:
-                b += 1
-            area = flat[a:b].decode()
-            for m in self.pattern.finditer(area):
-                start = a + len(area[: m.start()].encode())
-                yield start, start + len(m.group().encode()), sum(m.fuzzy_counts)
+            for m in self.pattern.finditer(flat[a:b]):
+                yield a + m.start(), a + m.end(), sum(m.fuzzy_counts)
+
+
+def seeded(known):
+    """One automaton for the seeds of all notices: each tells (notice, place in it) pairs."""
+    told = {}
+    for i, notice in enumerate(known):
+        for at, seed in notice.seeds:
+            told.setdefault(seed, []).append((i, at + len(seed) - 1))
+    automaton = ahocorasick.Automaton()
+    for seed, where in told.items():
+        automaton.add_word(seed, where)
+    automaton.make_automaton()
+    return automaton
 
 
 def scan(docs, id_col="doc_id", text_col="text", notices=None, phrases=None, rate=RATE):
@@ -77,39 +96,46 @@ def scan(docs, id_col="doc_id", text_col="text", notices=None, phrases=None, rat
 
     Texts are lower-cased (A-Z only) and cut into words of digits, letters and
     characters beyond ASCII. A notice may differ by one edit (a character put in,
-    left out or changed) for every 1 / ``rate`` of its characters. Exact seeds locate the
-    candidate areas; only these are matched with edits. Each whole text is searched
+    left out or changed) for every 1 / ``rate`` of its characters. Exact seeds, all
+    found in one pass, locate the candidate areas; only those that hold enough of the
+    notice's grams are matched with edits. Each whole text is searched
     in its own task. Null and empty texts have no words and no hits; repeated rows
     are each reported.
     """
-    known = [Notice(t, label, rate) for t, label in (NOTICES if notices is None else notices).items()]
-    exact = [(p, f" {p} ".encode()) for p in (PHRASES if phrases is None else phrases)]
+    sought = NOTICES if notices is None else notices
+    exact = [(p, f" {p} ") for p in (PHRASES if phrases is None else phrases)]
     held = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     id_type = held.schema["doc_id"].dataType.simpleString()
 
-    def look(text):
+    def look(text, known, automaton):
         words = text.encode().translate(_TO_SPACE).split()
-        flat = b" " + b" ".join(words) + b" "
+        flat = f" {b' '.join(words).decode()} "
         base = []
-        for phrase, sought in exact:
-            i = flat.find(sought)
+        for phrase, spaced in exact:
+            i = flat.find(spaced)
             while i >= 0:
-                base.append({"phrase": phrase, "word": flat.count(b" ", 0, i)})
-                i = flat.find(sought, i + 1)
+                base.append({"phrase": phrase, "word": flat.count(" ", 0, i)})
+                i = flat.find(spaced, i + 1)
+        places = {}
+        for end, where in automaton.iter(flat):
+            for i, at in where:
+                places.setdefault(i, []).append(end - at)
         hits = []
-        for notice in known:
-            for a, b, edits in notice.spans(flat):
-                span = flat[a:b].strip()
-                first = flat.count(b" ", 0, a + 1 if flat[a : a + 1] == b" " else a) - 1
+        for i in sorted(places):
+            for a, b, edits in known[i].spans(flat, places[i]):
+                span = flat[a:b].strip(" ")
+                first = flat.count(" ", 0, a + 1 if flat[a] == " " else a) - 1
                 hits.append({
-                    "label": notice.label, "notice": notice.text, "first": first,
-                    "last": first + span.count(b" "), "edits": edits, "span": span.decode(errors="replace"),
+                    "label": known[i].label, "notice": known[i].text, "first": first,
+                    "last": first + span.count(" "), "edits": edits, "span": span,
                 })
         return len(words), base, hits
 
     def run(stream):
+        known = [Notice(t, label, rate) for t, label in sought.items()]
+        automaton = seeded(known)
         for batch in stream:
-            found = [look(t) for t in batch.column("text").to_pylist()]
+            found = [look(t, known, automaton) for t in batch.column("text").to_pylist()]
             n, base, hits = zip(*found) if found else ([], [], [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(base, BASE), pa.array(hits, HITS)],
