@@ -115,7 +115,7 @@ def judge(texts, answers, order, parts, backoff):
         [texts.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(score, pa.float64())], ["doc_id", "n_words", "score"])
 
 
-def score(docs, id_col="doc_id", text_col="text", order=ORDER, backoff=BACKOFF, parts=None):
+def score(docs, id_col="doc_id", text_col="text", order=ORDER, backoff=BACKOFF, parts=None, groups=None):
     """A row for each row of docs: doc_id, n_words and score, the mean log10 stupid-backoff
     score of its words.
 
@@ -131,14 +131,16 @@ def score(docs, id_col="doc_id", text_col="text", order=ORDER, backoff=BACKOFF,
     aggregation, so the most frequent n-gram has a row per batch, not per text);
     the partition sums them and joins the totals back to the batches that asked,
     where they meet the exploded n-grams again and are summed per document. Memory
-    holds one batch or one partition: ``parts`` of each, four for every shuffle
-    partition unless given. N-grams are compared by 64-bit numbers.
+    holds one batch or one partition: there are ``groups`` batches and ``parts``
+    partitions (unless given, two and one for every shuffle partition), and a message
+    for each of their pairs. N-grams are compared by 64-bit numbers.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    groups = groups or 2 * parts
     text = F.coalesce(F.col(text_col), F.lit(""))
     held = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn(
-        "batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(parts)).cast("int"))
+        "batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
     kind = held.schema["doc_id"].dataType.simpleString()
     asked = held.groupBy("batch").applyInArrow(
         lambda t: ask(t, order, parts), "part int, batch int, keys binary, counts binary")
