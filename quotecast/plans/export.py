@@ -56,8 +56,8 @@ def json_lines(df):
 
 
 def write_csv(df, path, mode="error"):
-    """Header and rows, one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Header and rows, one file per partition; quotes inside quoted text are doubled."""
+    df.write.mode(mode).options(header=True, escape='"').csv(path)
 
 
 def write_json(df, path, mode="error"):

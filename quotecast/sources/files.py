@@ -29,19 +29,22 @@ DATE_FORMATS = (
     "yyyyMMdd",
     "dd-MMM-yyyy",
     "MMM d, yyyy",
+    "d/M/yyyy",
 )
 
 
-def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0, schema=None):
+def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0, schema=None, multi_line=False):
     """Read one file, a folder or a glob; names normalized, dates parsed.
 
-    Give ``schema`` for large inputs: without it the types are found by one more
+    Quotes inside quoted text are doubled. Files whose header differs from the
+    first one's raise rather than mix up columns. ``multi_line`` allows line
+    breaks inside quotes, at the price of one task per file. Give ``schema`` for large inputs: without it the types are found by one more
     read of the whole input.
     """
     if format == "excel":
         df = read_workbooks(spark, path, sheet, schema)
     elif format == "csv":
-        df = _read_delimited(spark, path, sep, encoding)
+        df = _read_delimited(spark, path, sep, encoding, multi_line)
     else:
         raise ValueError(f"unknown format {format!r}: use 'csv' or 'excel'")
     df = _with_nulls(df)
@@ -49,7 +52,7 @@ def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0,
     return parse_dates(nulls_for_nan(normalize_names(df)))
 
 
-def _read_delimited(spark, path, sep, encoding):
+def _read_delimited(spark, path, sep, encoding, multi_line=False):
     """All columns as text; a row with too few or too many fields raises."""
     if sep not in SEPARATORS:
         raise ValueError(f"unknown separator {sep!r}")
@@ -63,6 +66,9 @@ def _read_delimited(spark, path, sep, encoding):
         ignoreLeadingWhiteSpace=True,
         ignoreTrailingWhiteSpace=True,
         mode="FAILFAST",
+        escape='"',
+        enforceSchema=False,
+        multiLine=multi_line,
     ).csv(path)
     return _windows_1252(df) if name == "cp1252" else df
 

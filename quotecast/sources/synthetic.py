@@ -13,7 +13,6 @@ COUNTRIES = (
     "USA", "China", "Germany", "Japan", "UK", "France", "Italy", "Canada", "Mexico",
     "Brazil", "India", "South Korea", "Spain", "Australia", "Netherlands",
 )
-MAX_VENDORS = 26
 STEPS = {"D": "1 day", "W": "7 days", "MS": "1 month"}
 HEX_DIGITS = 13
 
@@ -22,7 +21,7 @@ def synthetic_history(
     spark, start, end, frequency="MS", num_parts=5, num_vendors=3, num_countries=3, **options
 ):
     """parts x vendors x countries x dates; the ids come from one spark.range."""
-    vendors = min(num_vendors, MAX_VENDORS)
+    vendors = num_vendors
     country = F.get(F.array(*[F.lit(c) for c in COUNTRIES]), F.col("c"))
     combos = spark.range(num_parts * vendors * num_countries).select(
         F.floor(F.col("id") / (vendors * num_countries)).cast("int").alias("p"),
@@ -31,7 +30,7 @@ def synthetic_history(
     )
     keys = combos.select(
         F.format_string("PART%05d", F.col("p") + 1).alias("part_number"),
-        F.concat(F.lit("Vendor"), F.char(F.pmod("vc", F.lit(vendors)) + 65)).alias("vendor"),
+        F.concat(F.lit("Vendor"), _letters(F.pmod("vc", F.lit(vendors)), vendors)).alias("vendor"),
         F.coalesce(
             country, F.concat(F.lit("Country"), (F.col("c") - len(COUNTRIES) + 1).cast("string"))
         ).alias("country"),
@@ -39,6 +38,15 @@ def synthetic_history(
     return history_for(keys, start, end, frequency, **options)
 
 
+def _letters(number, count):
+    """A, B, ..., Z, AA, AB, ... for 0, 1, ..., count - 1."""
+    name, size, rest = F.char(F.pmod(number, F.lit(26)) + 65), 26, F.floor(number / 26) - 1
+    while size < count:
+        name = F.concat(F.when(rest >= 0, F.char(F.pmod(rest, F.lit(26)) + 65)).otherwise(""), name)
+        size, rest = size * 26 + 26, F.floor(rest / 26) - 1
+    return name
+
+
 def history_for(
     combos,
     start,

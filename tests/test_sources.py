@@ -148,10 +148,10 @@ def test_synthetic_history(spark):
         F.max("lead_time"), F.min("quantity"), F.max("quantity"), F.count_distinct("vendor"),
         F.count_distinct("country"),
     ).first()
-    assert stats[0] == 4 * 26 * 17 * 35
+    assert stats[0] == 4 * 30 * 17 * 35
     assert stats[1] == date(2020, 2, 1)
     assert 10 <= stats[2] and stats[3] <= 100 and 7 <= stats[4] and stats[5] <= 60
-    assert 50 <= stats[6] and stats[7] <= 499 and stats[8:] == (26, 17)
+    assert 50 <= stats[6] and stats[7] <= 499 and stats[8:] == (30, 17)
     assert df.where("country = 'Country2'").count() > 0
     again = synthetic.synthetic_history(
         spark, "2020-01-15", "2022-12-31", num_parts=4, num_vendors=30, num_countries=17
@@ -174,3 +174,26 @@ def test_profile_and_candidates(table):
     assert colors == {"g": 2, "n": 2}
     assert profile.group_count(df, ["g", "n"]).first().groups == 2
     assert {r.column for r in profile.column_types(df).collect()} == set(df.columns)
+
+
+def test_forty_vendors_have_forty_names(spark):
+    from quotecast.sources.synthetic import synthetic_history
+
+    got = synthetic_history(spark, "2024-01-01", "2024-01-31", num_parts=1, num_vendors=40, num_countries=1)
+    names = {r[0] for r in got.select("vendor").distinct().collect()}
+    assert len(names) == 40 and {"VendorA", "VendorZ", "VendorAA", "VendorAN"} <= names
+
+
+def test_standard_quoting_and_headers(spark, tmp_path):
+    from quotecast.plans.export import write_csv
+    from quotecast.sources.files import read_history
+
+    rows = [('ACME "B", Inc', "13/02/2024", 1.5), ("two\nlines", "01/03/2024", 2.0)]
+    write_csv(spark.createDataFrame(rows, "vendor string, date string, price double"), str(tmp_path / "out"))
+    got = {r.vendor: (str(r.date), r.price) for r in read_history(spark, str(tmp_path / "out"), multi_line=True).collect()}
+    assert got == {'ACME "B", Inc': ("2024-02-13", 1.5), "two\nlines": ("2024-03-01", 2.0)}
+    (tmp_path / "mixed").mkdir()
+    (tmp_path / "mixed" / "a.csv").write_text("vendor,price\nA,1\n")
+    (tmp_path / "mixed" / "b.csv").write_text("price,vendor\n2,B\n")
+    with pytest.raises(Exception):
+        read_history(spark, str(tmp_path / "mixed")).collect()
