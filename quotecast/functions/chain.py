@@ -19,14 +19,15 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def chain_fit(objective):
-    """Vectorized function (v, low, up, lo, hi) -> fitted array; objective l1 or l2."""
+    """Function (v, low, up, lo, hi) -> fitted array, NULL for a NULL v; objective l1 or l2."""
     best = least_absolute if objective == "l1" else least_squares
 
     @F.pandas_udf("array<double>")
     def fit(
         v: pd.Series, low: pd.Series, up: pd.Series, lo: pd.Series, hi: pd.Series
     ) -> pd.Series:
-        return pd.Series([list(best(*row)) for row in zip(v, low, up, lo, hi)])
+        rows = zip(v, low, up, lo, hi)
+        return pd.Series([None if row[0] is None else list(best(*row)) for row in rows])
 
     return fit
 

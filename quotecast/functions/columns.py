@@ -38,23 +38,3 @@ def attach(left, right, keys, how="inner"):
         return join_on_keys(left, right, keys, how)
     row = right.select(F.struct("*")).scalar()
     return left.withColumns({c: row[c] for c in right.columns})
-
-
-BROADCAST_ROWS = 500_000
-SALTS = 64
-
-
-def join_group_stats(rows, stats, keys, groups, spread):
-    """Attach one small row per group to every row of the group.
-
-    Up to BROADCAST_ROWS counted groups are broadcast, so the rows stay where they
-    are. With more, rows are spread over SALTS parts of each group by a hash of
-    the ``spread`` column, and each group's row is copied to every part, so no
-    single task gets a whole hot group.
-    """
-    if groups <= BROADCAST_ROWS:
-        return join_on_keys(rows, F.broadcast(stats), keys)
-    parts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    copies = stats.withColumn("_salt", parts)
-    return join_on_keys(salted, copies, [*keys, "_salt"]).drop("_salt")

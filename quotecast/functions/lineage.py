@@ -1,5 +1,7 @@
 """Reliable lineage cuts that survive the loss of executors."""
 
+import atexit
+import shutil
 import tempfile
 
 
@@ -7,7 +9,7 @@ def shared_folder(spark):
     """This application's folder under ``spark.checkpoint.dir``.
 
     Only where the session names none and runs in local mode (tests) is a
-    temporary folder set here.
+    temporary folder set here, removed when Python ends.
     """
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
@@ -16,6 +18,7 @@ def shared_folder(spark):
             if not sc.master.startswith("local"):
                 raise RuntimeError("set spark.checkpoint.dir to a shared folder")
             folder = tempfile.mkdtemp(prefix="quotecast-checkpoint-")
+            atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 

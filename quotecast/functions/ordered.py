@@ -1,10 +1,9 @@
 """Row order within keys: positions, previous rows and carried values.
 
-One window per key puts a whole key into one task. That is used only when the
-largest key has been counted and is small, or is bounded by the calendar. Larger
-keys are range-partitioned on (keys, order), so a hot key spreads over many
-tasks; each chunk is scanned on its own and a small table with one row per chunk
-carries counts and edge values across chunks.
+One window per key puts a whole key into one task. That is done only for series,
+whose rows per key the calendar bounds. Raw rows are range-partitioned on (keys,
+order), so a hot key spreads over many tasks; each chunk is scanned on its own and
+a small table with one row per chunk carries counts and edge values across chunks.
 """
 
 from pyspark.sql import Window
@@ -12,12 +11,9 @@ from pyspark.sql import functions as F
 
 from quotecast.functions.columns import join_on_keys
 from quotecast.functions.lineage import checkpoint
-from quotecast.functions.quantiles import largest_group
 
-ROW_LIMIT = 1_000_000
 
-
-def neighbours(df, keys, order_by, column, row_limit=ROW_LIMIT, size=None):
+def neighbours(df, keys, order_by, column, bounded=False):
     """Add to every row, in the order given within keys:
 
     ``_pos``   row number from 0;
@@ -25,21 +21,21 @@ def neighbours(df, keys, order_by, column, row_limit=ROW_LIMIT, size=None):
     ``_ahead`` struct(pos, v) of the first non-null value at or after the row;
     ``_lag``   value of the row before, NULL included.
 
-    ``size`` is an upper bound on the rows of one key where the caller has one.
+    Rows equal in the order are told apart by all their other columns, so the result
+    is the same for any layout of the table. ``bounded``: the caller vouches that a
+    key has few rows, as a series has.
     """
     order = [F.col(c) if isinstance(c, str) else c for c in order_by]
-    if size is None:
-        size = largest_group(df, keys)
-    chunked = size > row_limit
-    if chunked:
-        df = _chunks(df, keys, order)
-        part = [*keys, "_chunk"]
-    else:
-        part = list(keys)
-    scanned = _scan(df, part, order, column)
-    if not chunked:
-        return scanned
-    return _stitch(scanned, keys, part, column)
+    named = {*keys, *[c for c in order_by if isinstance(c, str)]}
+    order += [F.col(f.name) for f in df.schema if f.name not in named and _orderable(f.dataType)]
+    if bounded:
+        return _scan(df, list(keys), order, column)
+    part = [*keys, "_chunk"]
+    return _stitch(_scan(_chunks(df, keys, order), part, order, column), keys, part, column)
+
+
+def _orderable(kind):
+    return not any(name in kind.simpleString() for name in ("map<", "variant"))
 
 
 def _chunks(df, keys, order):

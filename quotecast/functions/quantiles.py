@@ -1,129 +1,106 @@
-"""Exact quantiles (linear interpolation) that hold at any group size.
-
-Sorting a group's values in one aggregation buffer is fastest while groups are
-small, so group sizes are checked first (one count job, combined map-side). The
-quantiles of groups larger than ``row_limit`` are found by narrowing instead,
-where no task ever holds a group:
-
-1. a bounded sketch per group gives a bracket around every wanted rank;
-2. rows below each bracket are counted exactly, and a sketch of the rows inside
-   gives a narrower one;
-3. only the rows inside the narrow brackets are shuffled, as (value, count)
-   pairs, and the wanted ranks are read off their running count.
-
-Each pass is one scan with a partial aggregate whose state does not grow with
-the group. A bracket that fails to hold its rank raises instead of giving a
-wrong number.
+"""Exact quantiles (linear interpolation), one way for every group size.
+
+1. Rows become value counts per group, combined map-side, so a group of many
+   equal values shuffles little.
+2. The counts are range-partitioned on (group, value) and written to the shared
+   folder. All values of the counts are distinct within a group, so a hot group
+   spreads evenly over as many parts as the table has.
+3. One row per (group, part) carries how many values lie before it; there are at
+   most as many of those rows as groups and parts together.
+4. Only parts that hold a wanted rank are ordered, each on its own.
+
+The input is read once, nothing depends on a row count, and infinite values are
+ordinary values.
 """
 
-from math import inf
-from typing import NamedTuple
+from functools import reduce
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import (
-    BROADCAST_ROWS,
-    join_group_stats,
-    join_on_keys,
-    nan_to_null,
-)
-
-ROW_LIMIT = 1_000_000
-SKETCH_ACCURACY = 10_000
-SKETCH_MARGIN = 5 / SKETCH_ACCURACY
-GRID = 256
-KEEP_WHOLE = 20_000
-
-
-class GroupSizes(NamedTuple):
-    largest: int
-    groups: int
-    big: int
-
-
-def group_sizes(df, keys=(), row_limit=ROW_LIMIT):
-    """Rows of the largest group, number of groups, and of those above row_limit."""
-    if not keys:
-        rows = df.count()
-        return GroupSizes(rows, 1, int(rows > row_limit))
-    found = df.groupBy(*keys).count().agg(
-        F.coalesce(F.max("count"), F.lit(0)),
-        F.count(F.lit(1)),
-        F.count_if(F.col("count") > row_limit),
-    )
-    return GroupSizes(*found.first())
-
-
-def largest_group(df, keys=()):
-    return group_sizes(df, keys).largest
+from quotecast.functions.columns import join_on_keys, nan_to_null
+from quotecast.functions.lineage import checkpoint
 
 
-def sorted_values(c):
-    """Aggregate: the non-null values of a group in order. For groups of checked size."""
-    return F.sort_array(F.collect_list(c))
-
+def value_counts(df, columns, keys=()):
+    """keys..., column, _v, _c, _part: how often each value occurs, laid out by range."""
+    group = [*keys, "column"]
+    known = _long(df, columns, keys).where(F.col("_v").isNotNull())
+    counts = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    laid_out = counts.repartitionByRange(*group, "_v")
+    return checkpoint(laid_out.withColumn("_part", F.spark_partition_id()))
 
-def at_positions(values, probs):
-    """Array of quantiles of a sorted array."""
 
-    def one(p):
-        position = (F.size(values) - 1) * F.lit(float(p))
-        low = F.get(values, F.floor(position).cast("int"))
-        high = F.get(values, F.ceil(position).cast("int"))
-        return low + (high - low) * (position - F.floor(position))
+def quantiles_of(counts, probs, keys=()):
+    """Rows (keys..., column, n, q) from value counts."""
+    group = [*keys, "column"]
+    parts = counts.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
+    whole = Window.partitionBy(*group)
+    earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *group,
+        "_part",
+        "_rows",
+        F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_rows").over(whole).alias("n"),
+    )
+    positions = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    ranks = [(F.floor(x), F.ceil(x)) for x in positions]
+    first, end = F.col("_before"), F.col("_before") + F.col("_rows")
+    holds = reduce(
+        lambda a, b: a | b, [(r >= first) & (r < end) for pair in ranks for r in pair]
+    )
+    joined = join_on_keys(counts, parts.where(holds).drop("_rows"), [*group, "_part"])
+    so_far = Window.partitionBy(*group, "_part").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    upto = F.col("_before") + F.sum("_c").over(so_far)
+    ranked = joined.withColumn("_upto", upto)
 
-    return F.array(*[one(p) for p in probs])
+    def at(rank):
+        hit = (F.col("_upto") > rank) & (F.col("_upto") - F.col("_c") <= rank)
+        return F.max(F.when(hit, F.col("_v")))
+
+    found = ranked.groupBy(*group, "n").agg(*[
+        at(rank).alias(f"_{side}_{j}")
+        for j, pair in enumerate(ranks)
+        for side, rank in zip(("lo", "hi"), pair)
+    ])
+    values = [
+        _between(F.col(f"_lo_{j}"), F.col(f"_hi_{j}"), x - F.floor(x))
+        for j, x in enumerate(positions)
+    ]
+    return found.select(*group, "n", F.array(*values).alias("q"))
+
+
+def _between(low, high, fraction):
+    """Value at a fraction of the way; an infinite end outweighs a finite one."""
+    infinite = F.abs(low) == float("inf")
+    return (
+        F.when((low == high) | (fraction == 0), low)
+        .when(infinite, F.when(F.abs(high) == float("inf"), F.lit(None)).otherwise(low))
+        .otherwise(low + (high - low) * fraction)
+    )
 
 
-def exact_quantiles(
-    df, columns, probs, keys=(), row_limit=ROW_LIMIT, size=None, also=()
-):
+def exact_quantiles(df, columns, probs, keys=(), also=()):
     """Quantiles of every column: rows (keys..., column, n, q) where there are values.
 
     ``q`` is an array in the order of ``probs``; ``n`` counts non-null values.
-    ``size`` is an upper bound on the largest group where the caller has one.
-    ``also`` holds further aggregates over ``_v`` to compute along the way; with
-    it, groups without values are kept.
+    Between minus and plus infinity there is no value: NULL. ``also`` holds further
+    aggregates over ``_v``; with it, groups without values are kept.
     """
-    long = _long(df, columns, keys)
-    group = [*keys, "column"]
-    probs = [float(p) for p in probs]
-    if size is not None and (size <= row_limit or not keys):
-        sizes = GroupSizes(size, 1, int(size > row_limit))
-    else:
-        sizes = group_sizes(df, keys, row_limit)
-    if not sizes.big:
-        found = _sorted(long, group, probs, also)
-        return found if also else found.where(F.col("n") > 0)
-    known = long.where(F.col("_v").isNotNull())
-    if keys:
-        # Only rows of big groups are narrowed; the rest is sorted group by group.
-        big = df.groupBy(*keys).count().where(F.col("count") > row_limit).select(*keys)
-        big = F.broadcast(big) if sizes.big <= BROADCAST_ROWS else big
-        small = _sorted(join_on_keys(known, big, keys, "left_anti"), group, probs, ())
-        known = join_on_keys(known, big, keys, "left_semi")
-    found = _narrowed(known, group, probs, sizes.big * len(columns))
-    if keys:
-        found = found.unionByName(small)
+    found = quantiles_of(value_counts(df, columns, keys), probs, keys)
     if not also:
         return found
-    return join_on_keys(long.groupBy(*group).agg(*also), found, group, "left")
-
-
-def _sorted(long, group, probs, also):
-    return (
-        long.groupBy(*group)
-        .agg(sorted_values("_v").alias("_s"), *also)
-        .withColumns({"n": F.size("_s").cast("long"), "q": at_positions(F.col("_s"), probs)})
-        .drop("_s")
-    )
+    group = [*keys, "column"]
+    others = _long(df, columns, keys).groupBy(*group).agg(*also)
+    return join_on_keys(others, found, group, "left")
 
 
-def quantile_values(df, columns, probs, row_limit=ROW_LIMIT, size=None):
+def quantile_values(df, columns, probs):
     """Whole-table quantiles on the driver: {column: [q...]}, a handful of numbers."""
-    rows = exact_quantiles(df, columns, probs, (), row_limit, size).collect()
-    found = {r["column"]: r["q"] for r in rows}
+    found = {r["column"]: r["q"] for r in exact_quantiles(df, columns, probs).collect()}
     return {c: found.get(c) or [None] * len(probs) for c in columns}
 
 
@@ -134,103 +111,3 @@ def _long(df, columns, keys):
         return df.select(*keys, F.lit(columns[0]).alias("column"), values[0].alias("_v"))
     pairs = [F.struct(F.lit(c).alias("column"), v.alias("_v")) for c, v in zip(columns, values)]
     return df.select(*keys, F.inline(F.array(*pairs)))
-
-
-def _narrowed(long, group, probs, groups):
-    first = _sketch_brackets(long, group, probs)
-    second = _narrow_brackets(long, first, group, probs, groups)
-    return _read_ranks(long, second, group, probs, groups)
-
-
-def _bracket_array(pairs):
-    return F.array(*[F.struct(lo.alias("lo"), hi.alias("hi")) for lo, hi in pairs])
-
-
-def _sketch_brackets(long, group, probs):
-    wanted = [max(p - SKETCH_MARGIN, 0.0) for p in probs]
-    wanted += [min(p + SKETCH_MARGIN, 1.0) for p in probs]
-    stats = long.groupBy(*group).agg(
-        F.count("_v").alias("n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", wanted, SKETCH_ACCURACY).alias("_s"),
-    )
-    whole = F.col("n") <= KEEP_WHOLE
-    pairs = []
-    for j, p in enumerate(probs):
-        lo = F.lit(True) if p <= SKETCH_MARGIN else whole
-        hi = F.lit(True) if p >= 1 - SKETCH_MARGIN else whole
-        pairs.append((
-            F.when(lo, F.col("_min")).otherwise(F.col("_s")[j]),
-            F.when(hi, F.col("_max")).otherwise(F.col("_s")[len(probs) + j]),
-        ))
-    return stats.select(*group, "n", _bracket_array(pairs).alias("_b"))
-
-
-def _narrow_brackets(long, brackets, group, probs, groups):
-    joined = join_group_stats(long, brackets, group, groups, "_v")
-    grid = [i / GRID for i in range(GRID + 1)]
-    aggs = []
-    for j in range(len(probs)):
-        b = F.col("_b")[j]
-        inside = F.when(F.col("_v").between(b["lo"], b["hi"]), F.col("_v"))
-        aggs += [
-            F.count_if(F.col("_v") < b["lo"]).alias(f"_below_{j}"),
-            F.count(inside).alias(f"_in_{j}"),
-            F.percentile_approx(inside, grid, SKETCH_ACCURACY).alias(f"_grid_{j}"),
-        ]
-    counted = joined.groupBy(*group, "n", "_b").agg(*aggs)
-    pairs = []
-    for j, p in enumerate(probs):
-        b, below, size = F.col("_b")[j], F.col(f"_below_{j}"), F.col(f"_in_{j}")
-        position = (F.col("n") - 1) * F.lit(p)
-        at_lo = F.floor((F.floor(position) - below) / size * GRID) - 2
-        at_hi = F.ceil((F.ceil(position) - below) / size * GRID) + 2
-        whole = size <= KEEP_WHOLE
-        grid_j = F.col(f"_grid_{j}")
-        pairs.append((
-            F.when(whole | (at_lo <= 0), b["lo"])
-            .otherwise(F.get(grid_j, at_lo.cast("int"))),
-            F.when(whole | (at_hi >= GRID), b["hi"])
-            .otherwise(F.get(grid_j, at_hi.cast("int"))),
-        ))
-    return counted.select(*group, "n", _bracket_array(pairs).alias("_b"))
-
-
-def _read_ranks(long, brackets, group, probs, groups):
-    joined = join_group_stats(long, brackets, group, groups, "_v")
-    value = F.col("_v")
-    marks = F.transform(
-        "_b",
-        lambda b: F.when(value < b["lo"], F.lit(-inf)).when(value <= b["hi"], value),
-    )
-    counts = (
-        joined.select(*group, "n", F.posexplode(marks).alias("_j", "_m"))
-        .where(F.col("_m").isNotNull())
-        .groupBy(*group, "n", "_j", "_m")
-        .count()
-    )
-    so_far = Window.partitionBy(*group, "n", "_j").orderBy("_m").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    position = (F.col("n") - 1) * F.get(F.array(*[F.lit(p) for p in probs]), F.col("_j"))
-    ranked = counts.withColumn("_upto", F.sum("count").over(so_far))
-
-    def at(rank):
-        hit = (F.col("_upto") > rank) & (F.col("_upto") - F.col("count") <= rank)
-        return F.max(F.when(hit, F.col("_m")))
-
-    found = ranked.groupBy(*group, "n", "_j").agg(
-        at(F.floor(position)).alias("_lo"), at(F.ceil(position)).alias("_hi")
-    )
-    fraction = position - F.floor(position)
-    held = F.col("_lo").isNotNull() & F.col("_hi").isNotNull() & (F.col("_lo") > -inf)
-    value = F.when(
-        held, F.col("_lo") + (F.col("_hi") - F.col("_lo")) * fraction
-    ).otherwise(F.raise_error(F.lit("quantile bracket lost its rank")).cast("double"))
-    return (
-        found.select(*group, "n", F.struct(F.col("_j"), value.alias("q")).alias("_q"))
-        .groupBy(*group, "n")
-        .agg(F.array_sort(F.collect_list("_q")).alias("_q"))
-        .select(*group, "n", F.transform("_q", lambda s: s["q"]).alias("q"))
-    )

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.quantiles import ROW_LIMIT, quantile_values
+from quotecast.functions.quantiles import quantile_values
 from quotecast.schema import is_numeric
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,15 +21,26 @@ EULER = 0.5772156649015329
 
 
 def flag_anomalies(
-    df, column, method="zscore", threshold=3.0, name="anomaly", seed=42, row_limit=ROW_LIMIT
+    df,
+    column,
+    method="zscore",
+    threshold=3.0,
+    name="anomaly",
+    seed=42,
+    trees=TREES,
+    tree_rows=TREE_ROWS,
 ):
-    """Add a boolean column; text columns are never anomalous, NULL values neither."""
+    """Add a boolean column; text columns are never anomalous, NULL values neither.
+
+    ``trees`` and ``tree_rows`` size the isolation forest: it is grown from at most
+    ``trees * tree_rows`` drawn values and scores every row.
+    """
     if not is_numeric(df, column):
         return df.withColumn(name, F.lit(False))
     if method == "iqr":
-        flag = _outside_fence(df, column, threshold, row_limit)
+        flag = _outside_fence(df, column, threshold)
     elif method == "isolation_forest":
-        return _isolation_forest(df, column, name, seed)
+        return _isolation_forest(df, column, name, seed, trees, tree_rows)
     else:
         flag = _far_from_mean(df, column, threshold)
     return df.withColumn(name, F.coalesce(flag, F.lit(False)))
@@ -43,32 +54,36 @@ def _far_from_mean(df, column, threshold):
     return F.abs((value - F.lit(mean)) / F.lit(std)) > threshold
 
 
-def _outside_fence(df, column, threshold, row_limit):
-    q1, q3 = quantile_values(df, [column], [0.25, 0.75], row_limit)[column]
+def _outside_fence(df, column, threshold):
+    q1, q3 = quantile_values(df, [column], [0.25, 0.75])[column]
     if q1 is None:
         return F.lit(False)
     reach = threshold * (q3 - q1)
     return ~F.col(column).between(q1 - reach, q3 + reach)
 
 
-def _isolation_forest(df, column, name, seed):
+def _isolation_forest(df, column, name, seed, trees, tree_rows):
     """Isolation forest over one column.
 
-    At most TREES x TREE_ROWS sampled values are grown into trees, one group per
+    At most trees * tree_rows sampled values are grown into trees, one group per
     tree. In one dimension a tree is a step function of the value, so the forest
-    is a table of at most TREES x TREE_ROWS steps: small enough to ship to every
+    is a table of at most that many steps: small enough to ship to every
     task whatever the table's size. Every row is then scored by lookup, and the
     cut is the 95th percentile of the scores, counted per step.
     """
     value = F.col(column).cast("double")
     known = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    # Twice as many rows as needed are drawn before the smallest ones are picked,
-    # so the pick is over a bounded number of rows however many tasks there are.
-    wanted = TREES * TREE_ROWS
-    share = min(1.0, 2.0 * wanted / max(known.count(), 1))
-    drawn = known.withColumn("r", F.rand(seed)).where(F.col("r") < share)
-    sample = drawn.orderBy("r").limit(wanted)
-    planted = _planted(sample, seed)
+    # Each copy of a value has a number, and its draw is a hash of both, so the draw
+    # does not depend on how the rows are laid out. Twice as many rows as needed are
+    # drawn before the smallest ones are picked, so the pick is over a bounded number.
+    counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    wanted = trees * tree_rows
+    rows = counts.agg(F.sum("c")).first()[0] or 0
+    share = min(1.0, 2.0 * wanted / max(rows, 1))
+    copies = counts.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("c"))))
+    drawn = copies.select("v", _draw(seed, "v", "i").alias("r")).where(F.col("r") < share)
+    sample = drawn.orderBy("r", "v").limit(wanted)
+    planted = _planted(sample, seed, trees, tree_rows)
 
     def grow(pdf):
         tree = int(pdf["tree"].iloc[0])
@@ -101,19 +116,24 @@ def _isolation_forest(df, column, name, seed):
     return scored.withColumn(name, flagged).drop("_path")
 
 
-def _planted(sample, seed):
+def _draw(seed, *columns):
+    """A number in [0, 1) from a hash of the columns."""
+    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+
+
+def _planted(sample, seed, trees, tree_rows):
     """Rows per tree: a full sample is dealt out, a smaller one is drawn from by every tree."""
     dealt = Window.partitionBy(F.lit(0))
     numbered = sample.withColumns({
         "n": F.count(F.lit(1)).over(dealt),
-        "i": F.row_number().over(dealt.orderBy("r")) - 1,
+        "i": F.row_number().over(dealt.orderBy("r", "v")) - 1,
     })
-    own = F.array(F.floor(F.col("i") / TREE_ROWS).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(TREES - 1))
-    full = F.col("n") == TREES * TREE_ROWS
+    own = F.array(F.floor(F.col("i") / tree_rows).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(trees - 1))
+    full = F.col("n") == trees * tree_rows
     placed = numbered.withColumn("tree", F.explode(F.when(full, own).otherwise(every)))
     turn = Window.partitionBy("tree").orderBy(F.xxhash64("i", "tree", F.lit(seed)))
-    return placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= TREE_ROWS)
+    return placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= tree_rows)
 
 
 def _expected_depth(n):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quotecast.functions.columns import clamp
 from quotecast.functions.ordered import blend, carry_back, carry_forward, neighbours
-from quotecast.functions.quantiles import ROW_LIMIT, quantile_values
+from quotecast.functions.quantiles import quantile_values
 from quotecast.operators.filters import drop_incomplete
 from quotecast.schema import MEASURES, is_numeric, is_temporal
 
@@ -40,11 +40,11 @@ def default_config(df):
     return config
 
 
-def clean(df, config=None, keys=(), order_by=("date",), row_limit=ROW_LIMIT):
+def clean(df, config=None, keys=(), order_by=("date",)):
     """Apply the configured strategies, then drop rows without date, price or lead time.
 
     ``keys`` and ``order_by`` say what the order-dependent fills (interpolate,
-    ffill, bfill) run along.
+    ffill, bfill) run along; rows equal in them are ordered by their other columns.
     """
     config = default_config(df) if config is None else config
     plan = [(c, s) for c, s in config.items() if c in df.columns]
@@ -56,7 +56,7 @@ def clean(df, config=None, keys=(), order_by=("date",), row_limit=ROW_LIMIT):
         F.count(F.lit(1)).alias("_rows"),
         *[F.count_if(F.col(c).isNull()).alias(c) for c, _ in plan],
     ).first()
-    run = _Cleaning(nulls.asDict(), keys, order_by, row_limit)
+    run = _Cleaning(nulls.asDict(), keys, order_by)
     stage = []
     for c, strategy in plan:
         if run.may_drop(df, c, strategy):
@@ -76,16 +76,15 @@ def _check(column, strategy):
 
 
 class _Cleaning:
-    """What one call of clean knows up front: null counts, order and size limit.
+    """What one call of clean knows up front: null counts and order.
 
-    Rows only ever leave, so a column without gaps at the start never has any,
-    and the row count at the start bounds every later one.
+    Rows only ever leave, so a column without gaps at the start never has any.
     """
 
-    def __init__(self, nulls, keys, order_by, row_limit):
+    def __init__(self, nulls, keys, order_by):
         self.rows = nulls.pop("_rows")
         self.nulls = nulls
-        self.keys, self.order_by, self.row_limit = keys, order_by, row_limit
+        self.keys, self.order_by = keys, order_by
 
     def may_drop(self, df, column, strategy):
         number = is_numeric(df, column)
@@ -103,7 +102,7 @@ class _Cleaning:
         return self._treat_outliers(df, treated) if treated else df
 
     def _medians(self, df, columns):
-        found = quantile_values(df, columns, [0.5], self.row_limit, self.rows)
+        found = quantile_values(df, columns, [0.5])
         return {c: q[0] for c, q in found.items()}
 
     def _fill(self, df, wanted):
@@ -142,12 +141,11 @@ class _Cleaning:
     def _ordered_fill(self, df, column, how):
         columns = df.columns
         kind = "double" if how == "interpolate" else df.schema[column].dataType
-        size = self.rows if not self.keys else None
-        scanned = neighbours(df, self.keys, self.order_by, column, self.row_limit, size)
+        scanned = neighbours(df, self.keys, self.order_by, column)
         return scanned.withColumn(column, ORDERED_FILLS[how]().cast(kind)).select(*columns)
 
     def _treat_outliers(self, df, treated):
-        bounds = outlier_bounds(df, list(treated), self.row_limit, self.rows)
+        bounds = outlier_bounds(df, list(treated))
         clamped, kept = {}, None
         for c, how in treated.items():
             if how in DROPPING_OUTLIERS:
@@ -174,9 +172,9 @@ def _most_frequent(df, column):
     return top[column]
 
 
-def outlier_bounds(df, columns, row_limit=ROW_LIMIT, size=None):
+def outlier_bounds(df, columns):
     """{column: {fence, tails}} as (low, high) pairs, from one round of exact quantiles."""
-    found = quantile_values(df, columns, [TAILS[0], 0.25, 0.75, TAILS[1]], row_limit, size)
+    found = quantile_values(df, columns, [TAILS[0], 0.25, 0.75, TAILS[1]])
     bounds = {}
     for c, (low, q1, q3, high) in found.items():
         if q1 is None:

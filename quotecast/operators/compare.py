@@ -48,20 +48,21 @@ def compare_over_time(df, groups, by, date="date"):
     return only_groups(df, groups, by).orderBy(by, date)
 
 
-def pivot_mean(df, row, column, value, values=None, date="date"):
+def pivot_mean(df, row, column, value, values=None, date="date", most=PIVOT_LIMIT):
     """Mean of value: one row per ``row``, one column per value of ``column``.
 
     ``column="month"`` pivots by yyyy-MM. Give ``values`` to save the job that
-    looks them up; a column with too many values to be a table is refused.
+    looks them up. Each value becomes a column of the result, so a column with more
+    than ``most`` of them is refused; ``groupBy`` gives the same cells as rows.
     """
     if column == "month" and "month" not in df.columns:
         df = month_key(df, date)
     # Means first: the pivot then handles one row per cell.
     cells = df.dropna(subset=[row, column]).groupBy(row, column).agg(F.avg(value).alias("_mean"))
     if values is None:
-        found = cells.select(column).distinct().limit(PIVOT_LIMIT + 1).collect()
-        if len(found) > PIVOT_LIMIT:
-            raise ValueError(f"{column} has more than {PIVOT_LIMIT} values")
+        found = cells.select(column).distinct().limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"{column} has more than {most} values")
         values = sorted(r[0] for r in found)
     return cells.groupBy(row).pivot(column, list(values)).agg(F.first("_mean"))
 

@@ -7,14 +7,9 @@ from pyspark.sql import functions as F
 
 from quotecast.functions.chain import chain_fit
 from quotecast.functions.columns import attach, clamp, join_on_keys
-from quotecast.functions.folds import fold, let, mean
-from quotecast.functions.ordered import ROW_LIMIT, neighbours
-from quotecast.functions.quantiles import (
-    at_positions,
-    exact_quantiles,
-    largest_group,
-    sorted_values,
-)
+from quotecast.functions.folds import fold
+from quotecast.functions.ordered import neighbours
+from quotecast.functions.quantiles import exact_quantiles
 
 KINDS = ("auto", "bounds", "smoothness", "trend")
 OBJECTIVES = {"cp_sat": "l1", "lp": "l2", "l1": "l1", "l2": "l2"}
@@ -33,18 +28,14 @@ TREND_ROWS = 6
 TREND_SLOPE = 0.01
 LOW_FACTOR, HIGH_FACTOR = 0.5, 1.5
 SEASON_POINTS = 12
-# Above this horizon the array form of the monotone fit costs more than the chain.
-MONOTONE_STEPS = 60
 
 
-def derive_constraints(
-    history, value, keys=(), kind="auto", order_by=("date",), row_limit=ROW_LIMIT, size=None
-):
+def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",)):
     """One row of constraints per key, from raw history rows; NULL where none applies.
 
     Rows count in the given order; rows equal in it are ordered by value, which
-    makes the result the same for any layout of the table. ``size`` is an upper
-    bound on the rows of one key where the caller has one.
+    makes the result the same for any layout of the table. With changes wanted the
+    history is read once and written in that order to the shared folder.
     """
     if kind not in KINDS:
         raise ValueError(f"unknown constraint type {kind!r}: use one of {KINDS}")
@@ -57,8 +48,7 @@ def derive_constraints(
     v = F.col("_value")
     aggs = []
     if smooth or trend:
-        size = largest_group(rows, keys) if size is None else size
-        rows = neighbours(rows, keys, [*order_by, "_value"], "_value", row_limit, size)
+        rows = neighbours(rows, keys, [*order_by, "_value"], "_value")
         rows = rows.withColumn("_change", F.abs(v - F.col("_lag")))
     if bounds:
         span = (F.max(v) - F.min(v)) * MARGIN
@@ -73,13 +63,9 @@ def derive_constraints(
         aggs.append(
             F.when(clear, F.when(slope > 0, "increasing").otherwise("decreasing")).alias("monotonic")
         )
-    apart = smooth and size > row_limit
-    if smooth and not apart:
-        steps = at_positions(sorted_values("_change"), [CHANGE_SHARE])
-        aggs.append(steps[0].alias("smoothness_factor"))
     out = rows.groupBy(*keys).agg(*aggs) if aggs else rows.select(*keys).distinct()
-    if apart:
-        found = exact_quantiles(rows, ["_change"], [CHANGE_SHARE], keys, row_limit, size)
+    if smooth:
+        found = exact_quantiles(rows, ["_change"], [CHANGE_SHARE], keys)
         found = found.select(*keys, F.col("q")[0].alias("smoothness_factor"))
         out = attach(out, found, keys, "left")
     return out.select(*keys, *[
@@ -198,25 +184,24 @@ def constrain_forecast(forecast, constraints, keys=(), objective="l1", history=N
     rows = rows.withColumns({f"_rule_{name}": rule for name, rule in applied.items()})
     coupled = F.lit(False)
     for name in STEP_RULES:
-        if name != "monotonic":
-            coupled |= F.col(f"_rule_{name}").isNotNull()
-    coupled |= F.col("_rule_monotonic").isNotNull() & (F.col("n") > MONOTONE_STEPS)
+        coupled |= F.col(f"_rule_{name}").isNotNull()
     feasible = (F.col("lo") <= F.col("hi")) & F.coalesce(
         F.col("smoothness_factor") >= 0, F.lit(True)
     )
-    rows = rows.withColumn("_coupled", coupled & feasible)
-
-    # Bounds and monotone fits stay in the JVM; only coupled steps go to Python.
-    plain = rows.where(~F.col("_coupled")).withColumn(
-        "x", F.when(feasible, _plain_fit(objective)).otherwise(F.col("v"))
-    )
-    chained = rows.where("_coupled").withColumn(
-        "x", chain_fit(objective)("v", _side("low", -inf), _side("up", inf), "lo", "hi")
-    )
+    # Bounds alone stay in the JVM. Rules on steps go to Python, which gets NULL
+    # arrays for the other series, so all series pass through one projection.
+    chain = [
+        F.when(coupled & feasible, c)
+        for c in (F.col("v"), _side("low", -inf), _side("up", inf), F.col("lo"), F.col("hi"))
+    ]
+    rows = rows.withColumn("_fit", chain_fit(objective)(*chain))
+    bounded = F.transform("v", lambda x: clamp(x, F.col("lo"), F.col("hi")))
+    fitted = F.when(~feasible, F.col("v")).when(coupled, F.col("_fit")).otherwise(bounded)
     status = F.when(feasible, "optimal").otherwise("infeasible").alias("status")
-    keep = [*keys, F.arrays_zip("d", "x").alias("_z"), status]
-    out = plain.select(*keep).unionByName(chained.select(*keep))
-    return out.select(*keys, F.explode("_z").alias("_r"), "status").select(
+    # The outer form keeps the optimizer from inferring a filter on the fit, for which
+    # it would be computed a second time.
+    out = rows.select(*keys, F.explode_outer(F.arrays_zip("d", fitted.alias("x"))).alias("_r"), status)
+    return out.where(F.col("_r").isNotNull()).select(
         *keys, F.col("_r.d").alias("date"), F.col("_r.x").alias("value"), "status"
     )
 
@@ -242,44 +227,3 @@ def _side(field, free):
         return pick(F.lit(free), F.lit(free), *[F.get(r, i - 1)[field] for r in rules])
 
     return F.transform(_steps(F.col("d")), at)
-
-
-def _plain_fit(objective):
-    v, lo, hi = F.col("v"), F.col("lo"), F.col("hi")
-    direction = F.col("monotonic")
-    moved = (
-        F.when(direction == "increasing", _increasing(v, objective))
-        .when(direction == "decreasing", F.reverse(_increasing(F.reverse(v), objective)))
-        .otherwise(v)
-    )
-    return let(moved, lambda m: F.transform(m, lambda x: clamp(x, lo, hi)))
-
-
-def _increasing(v, objective):
-    """Closest increasing sequence: for each position the largest over starts of the
-    smallest over ends of the middle of that stretch (mean, or lower median)."""
-    n = F.size(v)
-
-    def middle(xs):
-        if objective == "l2":
-            return mean(xs)
-        return let(F.array_sort(xs), lambda s: F.get(s, F.floor((F.size(s) - 1) / 2).cast("int")))
-
-    starts = F.sequence(F.lit(0), n - 1)
-    table = F.transform(
-        starts,
-        lambda j: F.transform(
-            F.sequence(j, n - 1), lambda k: middle(F.slice(v, j + 1, k - j + 1))
-        ),
-    )
-
-    def fit(t):
-        return F.transform(
-            starts,
-            lambda i: F.array_max(F.transform(
-                F.sequence(F.lit(0), i),
-                lambda j: F.array_min(F.slice(F.get(t, j), i - j + 1, n - i)),
-            )),
-        )
-
-    return let(table, fit)

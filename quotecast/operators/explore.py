@@ -2,14 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import join_group_stats, safe_corr
-from quotecast.functions.quantiles import (
-    ROW_LIMIT,
-    at_positions,
-    exact_quantiles,
-    group_sizes,
-    sorted_values,
-)
+from quotecast.functions.columns import join_on_keys, safe_corr
+from quotecast.functions.quantiles import exact_quantiles, quantiles_of, value_counts
 from quotecast.operators.series import month_key
 from quotecast.schema import numeric_columns
 
@@ -32,7 +26,7 @@ def _unfold(df, columns, aggs, names):
     return df.agg(*flat).select(F.inline(F.array(*rows)))
 
 
-def describe(df, columns=None, row_limit=ROW_LIMIT):
+def describe(df, columns=None):
     """column, count, mean, std, min, q25, q50, q75, max per numeric column."""
     columns = list(columns or numeric_columns(df))
     v = F.col("_v")
@@ -42,7 +36,7 @@ def describe(df, columns=None, row_limit=ROW_LIMIT):
         F.min(v).alias("min"),
         F.max(v).alias("max"),
     ]
-    found = exact_quantiles(df, columns, QUARTILES, row_limit=row_limit, also=also)
+    found = exact_quantiles(df, columns, QUARTILES, also=also)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(found, "column", "left").select(
         "column",
@@ -99,36 +93,22 @@ def histogram(df, column, bins=20):
     )
 
 
-def box_stats(df, column, by=(), row_limit=ROW_LIMIT):
+def box_stats(df, column, by=()):
     """by..., q1, median, q3, lower and upper whisker, number of points beyond them."""
     rows = df.select(*by, F.col(column).cast("double").alias("_v")).where(
         F.col("_v").isNotNull()
     )
     rows = rows.dropna(subset=list(by)) if by else rows
-    sizes = group_sizes(rows, by, row_limit)
-    if sizes.largest <= row_limit:
-        boxes = rows.groupBy(*by).agg(sorted_values("_v").alias("_s")).where(F.size("_s") > 0)
-        boxes = boxes.select(*by, "_s", *_fences(at_positions(F.col("_s"), QUARTILES)))
-        inside = F.filter("_s", lambda v: v.between(F.col("_low"), F.col("_high")))
-        return boxes.withColumn("_in", inside).select(
-            *by,
-            "q1",
-            "median",
-            "q3",
-            F.get("_in", F.lit(0)).alias("lower_whisker"),
-            F.get("_in", F.size("_in") - 1).alias("upper_whisker"),
-            (F.size("_s") - F.size("_in")).cast("long").alias("outliers"),
-        )
-    tag = F.lit("_v").alias("column")
-    q = exact_quantiles(rows, ["_v"], QUARTILES, by, row_limit)
+    counts = value_counts(rows, ["_v"], by)
+    q = quantiles_of(counts, QUARTILES, by)
     fences = q.select(*by, "column", *_fences(F.col("q")))
-    joined = join_group_stats(rows.select("*", tag), fences, [*by, "column"], sizes.groups, "_v")
+    joined = join_on_keys(counts, fences, [*by, "column"])
     inside = F.col("_v").between(F.col("_low"), F.col("_high"))
     kept = F.when(inside, F.col("_v"))
     return joined.groupBy(*by, "q1", "median", "q3").agg(
         F.min(kept).alias("lower_whisker"),
         F.max(kept).alias("upper_whisker"),
-        F.count_if(~inside).alias("outliers"),
+        F.sum(F.when(inside, 0).otherwise(F.col("_c"))).alias("outliers"),
     )
 
 
@@ -188,7 +168,7 @@ def ols_trend(df, x, y, by=()):
     )
 
 
-def stats(df, value, by=(), row_limit=ROW_LIMIT, size=None):
+def stats(df, value, by=()):
     """by..., min, max, mean, median, std, range, count."""
     rows = df.dropna(subset=list(by)) if by else df
     v = F.col("_v")
@@ -199,7 +179,7 @@ def stats(df, value, by=(), row_limit=ROW_LIMIT, size=None):
         F.stddev_samp(v).alias("std"),
         (F.max(v) - F.min(v)).alias("range"),
     ]
-    found = exact_quantiles(rows, [value], [0.5], by, row_limit, size, also)
+    found = exact_quantiles(rows, [value], [0.5], by, also)
     return found.select(
         *by,
         "min",
@@ -212,7 +192,7 @@ def stats(df, value, by=(), row_limit=ROW_LIMIT, size=None):
     )
 
 
-def stats_by_each(df, value, groups, row_limit=ROW_LIMIT):
+def stats_by_each(df, value, groups):
     """Statistics by every grouping column and overall: group, key, min ... count.
 
     The rows are tagged once per grouping column, so one aggregate serves all;
@@ -226,8 +206,7 @@ def stats_by_each(df, value, groups, row_limit=ROW_LIMIT):
         (F.col("group") == "all") | F.col("key").isNotNull()
     )
     rows = rows.withColumn("key", F.coalesce("key", F.lit("")))
-    # The overall set holds every row, so it is the largest group.
-    return stats(rows, value, ["group", "key"], row_limit, df.count())
+    return stats(rows, value, ["group", "key"])
 
 
 def monthly_mean(df, value, by=(), date="date"):

@@ -2,13 +2,13 @@
 
 from pyspark.sql import functions as F
 
-from quotecast.functions.quantiles import ROW_LIMIT, quantile_values
+from quotecast.functions.quantiles import quantile_values
 from quotecast.schema import numeric_columns
 
 METHODS = ("minmax", "zscore", "robust")
 
 
-def normalize(df, columns=None, method="minmax", row_limit=ROW_LIMIT):
+def normalize(df, columns=None, method="minmax"):
     """Shift and scale each numeric column by whole-table statistics; constant columns become 0."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}: use one of {METHODS}")
@@ -16,14 +16,14 @@ def normalize(df, columns=None, method="minmax", row_limit=ROW_LIMIT):
     columns = [c for c in (numbers if columns is None else columns) if c in numbers]
     if not columns:
         return df
-    centers = _centers(df, columns, method, row_limit)
+    centers = _centers(df, columns, method)
     return df.withColumns({c: _scaled(c, *centers[c]) for c in columns})
 
 
-def _centers(df, columns, method, row_limit):
+def _centers(df, columns, method):
     """{column: (center, width)}: one small aggregate or one round of quantiles."""
     if method == "robust":
-        found = quantile_values(df, columns, [0.25, 0.5, 0.75], row_limit)
+        found = quantile_values(df, columns, [0.25, 0.5, 0.75])
         return {
             c: (m, None if q1 is None else q3 - q1) for c, (q1, m, q3) in found.items()
         }

@@ -73,7 +73,7 @@ def interpolate(series, keys=(), leading=True):
     filled = blend()
     if not leading:
         filled = F.when(F.col("_back").isNotNull(), filled)
-    scanned = neighbours(series, keys, ["date"], "value", size=0)
+    scanned = neighbours(series, keys, ["date"], "value", bounded=True)
     return scanned.withColumn("value", filled).select(*series.columns)
 
 

@@ -145,7 +145,7 @@ def _(spark, d):
           SELECT 'part_number' AS c, count(DISTINCT part_number) AS n FROM history
           UNION ALL SELECT 'vendor', count(DISTINCT vendor) FROM history
           UNION ALL SELECT 'country', count(DISTINCT country) FROM history)
-        SELECT 'upload' AS rule, c AS "column", CASE WHEN n <= 50 THEN n END AS groups,
+        SELECT 'upload' AS rule, c AS "column", n AS groups,
                CAST(NULL AS BOOLEAN) AS many_groups FROM counts
         UNION ALL SELECT 'upload', 'quantity', count(DISTINCT quantity), NULL FROM history
           HAVING count(DISTINCT quantity) < count(*) * 0.2

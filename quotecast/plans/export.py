@@ -24,7 +24,9 @@ def assemble(
         return filter_dates(filter_in(df, chosen), start, end)
 
     parts = [(df, m) for df, m in ((price, "price"), (lead_time, "lead_time")) if df is not None]
-    if len(parts) == 1 or not combine:
+    if len(parts) > 1 and not combine:
+        raise ValueError("two measures make one table only with combine=True; export them one by one")
+    if len(parts) == 1:
         df, _ = parts[0]
         return select_columns(cut(df), columns or df.columns)
     left, right = (

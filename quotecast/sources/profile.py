@@ -56,13 +56,14 @@ def group_candidates(df, max_distinct=50, max_ratio=0.2, roles=("date", "price",
     texts = [c for c in string_columns(df) if c not in roles]
     numbers = [c for c in numeric_columns(df) if c not in roles]
     rows = df.count()
-    few = distinct_counts(df, texts, max_distinct)
+    counted = df.agg(*[F.count_distinct(F.col(c)).alias(c) for c in texts]).first() if texts else {}
+    few = {c: counted[c] for c in texts if counted[c] <= max_distinct}
     low = {
         c: n
         for c, n in distinct_counts(df, numbers, int(rows * max_ratio)).items()
         if n < rows * max_ratio
     }
-    out = [("upload", c, few.get(c), None) for c in texts]
+    out = [("upload", c, counted[c], None) for c in texts]
     out += [("upload", c, n, None) for c, n in low.items()]
     out += [("forecast", c, n, n > 20) for c, n in few.items()]
     return df.sparkSession.createDataFrame(

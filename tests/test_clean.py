@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from quotecast.operators import anomaly, clean, scale
 
@@ -43,9 +44,9 @@ def test_missing_strategies_match_pandas(dirty):
 def test_fill_along_keys_and_in_chunks(dirty):
     raw = as_pandas(dirty)
     expected = raw.groupby("g").price.transform(lambda s: s.interpolate().bfill().ffill())
-    for limit in (5, 10**6):
+    for layout in (1, 7):
         got = clean.clean(
-            dirty, {"price": {"missing": "interpolate"}}, ["g"], ["i"], row_limit=limit
+            dirty.repartition(layout), {"price": {"missing": "interpolate"}}, ["g"], ["i"]
         )
         assert as_pandas(got).price.tolist() == pytest.approx(expected.tolist())
 
@@ -105,12 +106,38 @@ def test_default_config_and_fallbacks(dirty, table):
         clean.clean(empty, {"other": {"missing": "guess"}})
 
 
-def test_large_table_path_equals_small(dirty):
-    small = as_pandas(clean.clean(dirty))
-    large = as_pandas(clean.clean(dirty, row_limit=3))
+def test_default_cleaning_is_the_same_in_any_layout(dirty):
+    small = as_pandas(clean.clean(dirty.repartition(1)))
+    large = as_pandas(clean.clean(dirty.repartition(7)))
     pd.testing.assert_frame_equal(small, large)
 
 
+def test_tied_order_gives_one_answer(spark):
+    """Many rows share a date: the other columns complete the order, whatever the layout."""
+    rows = spark.range(2000).select(
+        F.expr("date_add(date'2024-01-01', cast(id % 5 as int))").alias("date"),
+        (F.col("id") * 7919 % 2003).alias("part"),
+        F.when(F.col("id") % 9 > 0, F.col("id") * 31 % 997).cast("double").alias("price"),
+        F.lit(1.0).alias("lead_time"),
+    )
+
+    def filled(n):
+        got = clean.clean(rows.repartition(n), {"price": {"missing": "interpolate"}})
+        return sorted(map(tuple, got.collect()))
+
+    assert filled(2) == filled(7)
+
+
+def test_isolation_forest_is_the_same_in_any_layout(spark):
+    rows = spark.range(40_000).select("id", (F.col("id") * 7919 % 10_007 / 3.0).alias("x"))
+
+    def flagged(n):
+        got = anomaly.flag_anomalies(rows.repartition(n), "x", "isolation_forest")
+        return sorted(r.id for r in got.where("anomaly").collect())
+
+    assert flagged(2) == flagged(7)
+
+
 def test_cleaning_summary(dirty):
     rows = {r["column"]: r for r in clean.cleaning_summary(dirty, clean.clean(dirty)).collect()}
     assert rows["price"].raw_missing == as_pandas(dirty).price.isna().sum()

@@ -75,16 +75,24 @@ def test_least_squares_fit(small, name):
                 assert ((other - y) ** 2).sum() >= cost - 1e-9
 
 
-def test_array_and_chain_forms_agree(small, monkeypatch):
-    _, df = small
-    for objective in ("l1", "l2"):
-        plain, _ = fitted(df, {"monotonic": "increasing"}, objective=objective)
-        monkeypatch.setattr(constrain, "MONOTONE_STEPS", 0)
-        chained, _ = fitted(df, {"monotonic": "increasing"}, objective=objective)
-        monkeypatch.undo()
-        for k in plain:
-            if objective == "l2":
-                np.testing.assert_allclose(plain[k], chained[k], atol=1e-9)
+def test_increasing_fit_is_the_isotonic_regression(small):
+    """Least squares: the largest over starts of the smallest over ends of the means."""
+    raw, df = small
+    rule = {"monotonic": "increasing", "min_value": -100.0, "max_value": 100.0}
+    squares, _ = fitted(df, rule, objective="l2")
+    absolute, _ = fitted(df, rule, objective="l1")
+    for k, x in squares.items():
+        y = np.asarray(raw[k], dtype=float)
+        n = len(y)
+        want = [
+            max(min(y[j:e + 1].mean() for e in range(i, n)) for j in range(i + 1)) for i in range(n)
+        ]
+        np.testing.assert_allclose(x, want, atol=1e-9)
+        medians = [
+            max(min(np.sort(y[j:e + 1])[(e - j) // 2] for e in range(i, n)) for j in range(i + 1))
+            for i in range(n)
+        ]
+        assert np.abs(absolute[k] - y).sum() == pytest.approx(np.abs(np.array(medians) - y).sum())
 
 
 def test_default_bounds(series_of):
@@ -130,7 +138,7 @@ def test_rules_per_key(series_of, table):
 def test_rules_without_keys(series_of, raw):
     past = series_of(a=monthly([5, 6, 7, 8, 9, 8, 7, 6, 5, 4, 3, 4] * 2, "2020-01-01")).drop("k")
     ahead = series_of(a=monthly([4, 9, 1])).drop("k")
-    rules = constrain.derive_constraints(raw, "price", row_limit=4)
+    rules = constrain.derive_constraints(raw, "price")
     for given in (rules, {"preserve_seasonality": True, "smoothness_factor": 100.0}):
         got = constrain.constrain_forecast(ahead, given, history=past).toPandas()
         assert len(got) == 3 and set(got.status) == {"optimal"}
@@ -170,9 +178,10 @@ def raw(table):
     return table(rows, "k string, date date, price double")
 
 
-@pytest.mark.parametrize("limit", [4, 10**6])
-def test_derived_constraints(raw, limit):
-    got = {r.k: r for r in constrain.derive_constraints(raw, "price", ["k"], row_limit=limit).collect()}
+@pytest.mark.parametrize("layout", [1, 7])
+def test_derived_constraints(raw, layout):
+    raw = raw.repartition(layout)
+    got = {r.k: r for r in constrain.derive_constraints(raw, "price", ["k"]).collect()}
     for k, part in raw.toPandas().sort_values(["date", "price"]).groupby("k"):
         y, row = part.price, got[k]
         span = y.max() - y.min()

@@ -31,9 +31,8 @@ def indexed(df, *by):
     return df.toPandas().set_index(list(by)).sort_index()
 
 
-@pytest.mark.parametrize("limit", [20, 10**6])
-def test_describe(rows, frame, limit):
-    got = indexed(explore.describe(rows, row_limit=limit), "column")
+def test_describe(rows, frame):
+    got = indexed(explore.describe(rows), "column")
     want = frame[["price", "lead_time", "quantity"]].describe().T.sort_index()
     want.columns = ["count", "mean", "std", "min", "q25", "q50", "q75", "max"]
     np.testing.assert_allclose(got[want.columns].astype(float), want)
@@ -58,9 +57,8 @@ def test_histogram_of_one_value(table):
     assert explore.histogram(table([], "x double"), "x").count() == 0
 
 
-@pytest.mark.parametrize("limit", [20, 10**6])
-def test_box_stats(rows, frame, limit):
-    got = indexed(explore.box_stats(rows, "price", ["country"], limit), "country")
+def test_box_stats(rows, frame):
+    got = indexed(explore.box_stats(rows, "price", ["country"]), "country")
     for k, v in frame.dropna(subset=["price"]).groupby("country").price:
         q1, q3 = v.quantile([0.25, 0.75])
         inside = v[v.between(q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))]
@@ -91,13 +89,12 @@ def test_trendline(rows, frame):
     assert explore.ols_trend(rows, "quantity", "price").first().slope is None
 
 
-@pytest.mark.parametrize("limit", [20, 10**6])
-def test_statistics(rows, frame, limit):
-    got = indexed(explore.stats(rows, "price", ["vendor"], limit), "vendor")
+def test_statistics(rows, frame):
+    got = indexed(explore.stats(rows, "price", ["vendor"]), "vendor")
     want = frame.groupby("vendor").price.agg(["min", "max", "mean", "median", "std", "count"])
     np.testing.assert_allclose(got[want.columns].astype(float), want)
     np.testing.assert_allclose(got["range"], want["max"] - want["min"])
-    each = indexed(explore.stats_by_each(rows, "price", ["vendor", "country"], limit), "group", "key")
+    each = indexed(explore.stats_by_each(rows, "price", ["vendor", "country"]), "group", "key")
     assert len(each) == 1 + 4 + 3
     assert each.loc[("all", ""), "median"] == pytest.approx(frame.price.median())
     assert each.loc[("vendor", "v1"), "std"] == pytest.approx(want.loc["v1", "std"])
@@ -184,7 +181,9 @@ def test_export_assembly(forecasts):
     out = export.assemble(price, lead, {"g": ["a"]}, "2024-01-15", None, ["date", "g"])
     assert [tuple(r) for r in out.collect()] == [(pd.Timestamp(2024, 2, 1).date(), "a", 1.0, 5.0)]
     assert export.assemble(price, None, columns=["price", "date"]).columns == ["price", "date"]
-    assert export.assemble(price, lead, combine=False).columns == ["g", "date", "price"]
+    with pytest.raises(ValueError):
+        export.assemble(price, lead, combine=False)
+    assert export.assemble(price, combine=False).columns == ["g", "date", "price"]
     with pytest.raises(ValueError):
         export.assemble(price, lead, columns=["g"])
     with pytest.raises(ValueError):

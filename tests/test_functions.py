@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotecast.functions import columns, ordered, quantiles
+from quotecast.functions import ordered, quantiles
 from quotecast.functions.chain import least_absolute, least_squares
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
@@ -19,12 +19,8 @@ def skewed(spark):
     return spark.createDataFrame(rows, "k string, a double, b double").repartition(8)
 
 
-@pytest.mark.parametrize("broadcast", [0, 10**6])
 @pytest.mark.parametrize("keys", [[], ["k"]])
-def test_narrowing_equals_exact_percentile(skewed, keys, broadcast, monkeypatch):
-    monkeypatch.setattr(quantiles, "KEEP_WHOLE", 40)
-    monkeypatch.setattr(columns, "BROADCAST_ROWS", broadcast)
-    monkeypatch.setattr(quantiles, "BROADCAST_ROWS", broadcast)
+def test_quantiles_equal_exact_percentile(spark, skewed, keys):
     group = [*keys, "column"]
     long = skewed.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).alias("v")) for c in ("a", "b")
@@ -33,8 +29,13 @@ def test_narrowing_equals_exact_percentile(skewed, keys, broadcast, monkeypatch)
         F.count("v").alias("n"), F.percentile("v", PROBS).alias("q")
     )
     want = {tuple(r[k] for k in group): (r.n, r.q) for r in exact.collect()}
-    for limit in (2, 50, 10**6):
-        found = quantiles.exact_quantiles(skewed, ["a", "b"], PROBS, keys, row_limit=limit)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    for parts in ("1", "40", usual):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            found = quantiles.exact_quantiles(skewed, ["a", "b"], PROBS, keys)
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
         got = {tuple(r[k] for k in group): (r.n, r.q) for r in found.collect()}
         assert got.keys() == want.keys()
         for k, (n, q) in want.items():
@@ -44,10 +45,40 @@ def test_narrowing_equals_exact_percentile(skewed, keys, broadcast, monkeypatch)
 
 def test_quantiles_match_numpy(skewed):
     values = [r["a"] for r in skewed.where("a is not null").select("a").collect()]
-    found = quantiles.quantile_values(skewed, ["a"], PROBS, row_limit=100)["a"]
+    found = quantiles.quantile_values(skewed, ["a"], PROBS)["a"]
     assert found == pytest.approx(list(np.quantile(values, PROBS)))
 
 
+def test_quantiles_of_infinite_values(spark):
+    def of(*values):
+        df = spark.createDataFrame([(v,) for v in values], "a double")
+        return quantiles.quantile_values(df, ["a"], [0.0, 0.25, 0.5, 0.75, 1.0])["a"]
+
+    inf = float("inf")
+    assert of(-inf, 1.0, 2.0) == [-inf, -inf, 1.0, 1.5, 2.0]
+    assert of(1.0, 2.0, inf) == [1.0, 1.5, 2.0, inf, inf]
+    assert of(-inf, inf) == [-inf, None, None, None, inf]
+    assert of(inf, inf, None, float("nan")) == [inf] * 5
+    assert of(None) == [None] * 5
+
+
+def test_no_part_holds_a_hot_group(spark):
+    """The rows of one group spread over the parts, however many there are."""
+    table = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").cast("double").alias("a"))
+    parts = {}
+    for n in ("8", "64"):
+        usual = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            counts = quantiles.value_counts(table, ["a"], ["k"])
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", usual)
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        parts[n] = counts.groupBy("_part").count().agg(F.max("count")).first()[0]
+    assert parts["8"] < 5_000 and parts["64"] < 1_000
+
+
 @pytest.mark.parametrize("keys", [[], ["k"]])
 def test_chunked_order_equals_one_window(skewed, keys):
     table = skewed.withColumn("o", F.xxhash64("k", "a", "b")).withColumn(
@@ -56,11 +87,11 @@ def test_chunked_order_equals_one_window(skewed, keys):
     args = (keys, ["o", "a", "b"], "v")
     columns = ["k", "o", "a", "b", "_pos", "_lag", "_back", "_ahead"]
 
-    def rows(limit):
-        found = ordered.neighbours(table, *args, row_limit=limit).select(*columns)
+    def rows(bounded):
+        found = ordered.neighbours(table, *args, bounded=bounded).select(*columns)
         return sorted(map(str, found.collect()))
 
-    assert rows(10) == rows(10**6)
+    assert rows(False) == rows(True)
 
 
 def _best(v, low, up, lo, hi, cost):
