@@ -3,7 +3,12 @@
 from pyspark.sql import functions as F
 
 from quotecast.functions.columns import join_on_keys, safe_corr
-from quotecast.functions.quantiles import exact_quantiles, quantiles_of, value_counts
+from quotecast.functions.quantiles import (
+    exact_quantiles,
+    quantile_values,
+    quantiles_of,
+    value_counts,
+)
 from quotecast.operators.series import month_key
 from quotecast.schema import numeric_columns
 
@@ -65,7 +70,7 @@ def missing_table(df):
 
 
 def histogram(df, column, bins=20):
-    """bin (from 0), lower, upper, count, density, and the mean; empty bins left out.
+    """bin (from 0), lower, upper, count, density, mean and median; empty bins left out.
 
     The two edges come from one small aggregate; counting combines map-side to at
     most ``bins`` rows per task.
@@ -77,6 +82,7 @@ def histogram(df, column, bins=20):
     if not total:
         low = high = mean = 0.0
     width = (high - low) / bins if high > low else 1.0
+    median = quantile_values(df, [column], [0.5])[column][0]
     index = F.least(F.floor((value - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
     return (
         df.where(value.isNotNull())
@@ -89,6 +95,7 @@ def histogram(df, column, bins=20):
             "count",
             (F.col("count") / F.lit(float(total or 1)) / F.lit(width)).alias("density"),
             F.lit(mean).alias("mean"),
+            F.lit(median).cast("double").alias("median"),
         )
     )
 

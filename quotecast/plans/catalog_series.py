@@ -1,5 +1,7 @@
 """Queries over series: construction, decomposition, features, forecasts, rules, reports."""
 
+from uuid import uuid4
+
 from pyspark.sql import functions as F
 
 from quotecast.functions.lineage import shared_folder
@@ -358,6 +360,16 @@ def _(spark, d):
     return rounded(forecast.forecast_naive(monthly(spark, d, keys=by), by, H, "naive"))
 
 
+@query("forecast_registered", select(_moving_sql("vendor", 1), "vendor date value~", "plain"))
+def _(spark, d):
+    """A model of the user's own; a step it has no value for takes the last known one."""
+    by = ["vendor"]
+    forecast.register_forecaster(
+        "undecided", lambda v, horizon: F.array_repeat(F.lit(None).cast("double"), horizon)
+    )
+    return rounded(forecast.forecast(monthly(spark, d, keys=by), by, "undecided", H, gaps=False))
+
+
 @query("forecast_naive_average", select(_moving_sql("vendor", 1000000), "vendor date value~", "plain"))
 def _(spark, d):
     by = ["vendor"]
@@ -716,6 +728,20 @@ def _(spark, d):
     return rounded(compare.label_union(rows, both(spark, d)[0], ["country", "date", "price"]))
 
 
+@query(
+    "label_union_lead_time",
+    select(
+        BOTH,
+        "country date lead_time~ data_source",
+        """(SELECT country, date, lead_time, 'Historical' AS data_source FROM history
+            UNION ALL SELECT country, date, lead_time, 'Forecast' FROM l)""",
+    ),
+)
+def _(spark, d):
+    rows = history(spark, d)
+    return rounded(compare.label_union(rows, both(spark, d)[1], ["country", "date", "lead_time"]))
+
+
 @query(
     "label_union_measures",
     select(
@@ -785,15 +811,22 @@ def _plain_history(spark, d):
     ),
 )
 def _(spark, d):
-    path = f"{shared_folder(spark)}/csv_round_trip"
-    export.write_csv(_plain_history(spark, d), path, "overwrite")
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    export.write_csv(_plain_history(spark, d), path)
     return rounded(files.read_history(spark, path, schema=HISTORY_SCHEMA))
 
 
+@query("report_round_trip", select(BOTH, "country date price~", "p"))
+def _(spark, d):
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    export.write_tables(export.report_tables(*both(spark, d), BY), path)
+    return rounded(spark.read.parquet(f"{path}/price_forecast"))
+
+
 @query("json_round_trip", select(HISTORY, ["date=CAST(date AS VARCHAR)", "part_number", "price~"], "history"))
 def _(spark, d):
-    path = f"{shared_folder(spark)}/json_round_trip"
-    export.write_json(history(spark, d).select("date", "part_number", "price"), path, "overwrite")
+    path = f"{shared_folder(spark)}/{uuid4().hex}"
+    export.write_json(history(spark, d).select("date", "part_number", "price"), path)
     return rounded(spark.read.schema("date string, part_number string, price double").json(path))
 
 

@@ -438,6 +438,32 @@ for _name, _expr in (
         )
 
 
+# Vendors without any price: what the ordered fill leaves open takes the median.
+_BLANK = _CARRY.replace("), carried AS", """), blank AS (
+  SELECT * REPLACE (CASE WHEN vendor NOT LIKE '%1' THEN price END AS price) FROM dirty), carried AS""")
+_BLANK = _BLANK.replace("AS pos FROM dirty", "AS pos FROM blank") + """, filled AS (
+  SELECT *, CASE WHEN p1 > p0 THEN back + (ahead - back) / (p1 - p0) * (pos - p0)
+            ELSE coalesce(back, ahead) END AS fill FROM marked)"""
+
+
+@query(
+    "clean_residual",
+    select(
+        _BLANK,
+        [
+            "date", "part_number", "vendor", "country",
+            "price~=coalesce(fill, (SELECT quantile_cont(fill, 0.5::DOUBLE) FROM filled))",
+            "lead_time~", "quantity~",
+        ],
+        "filled",
+    ),
+)
+def _(spark, d):
+    priced = F.when(~F.col("vendor").like("%1"), F.col("price"))
+    rows = dirty_history(spark, d).withColumn("price", priced)
+    return rounded(clean.clean(rows, {"price": {"missing": "interpolate"}}, ["vendor"], FULL_ORDER))
+
+
 @query(
     "cleaning_summary",
     f"""WITH {DIRTY} SELECT r.c AS "column", r.rows AS raw_rows, r.n AS raw_missing,
@@ -529,9 +555,9 @@ def _(spark, d):
 @query(
     "histogram",
     f"""WITH {HISTORY}, e AS (SELECT min(price) AS lo, (max(price) - min(price)) / 20 AS w,
-          avg(price) AS m, count(*) AS n FROM history)
+          avg(price) AS m, quantile_cont(price, 0.5::DOUBLE) AS md, count(*) AS n FROM history)
         SELECT b AS bin, floor((b * w + lo) * 1e4 + 0.4321) / 1e4 AS lower, floor(((b + 1) * w + lo) * 1e4 + 0.4321) / 1e4 AS upper, c AS count,
-               floor((c / n / w) * 1e9 + 0.4321) / 1e9 AS density, floor(m * 1e4 + 0.4321) / 1e4 AS mean FROM
+               floor((c / n / w) * 1e9 + 0.4321) / 1e9 AS density, floor(m * 1e4 + 0.4321) / 1e4 AS mean, floor(md * 1e4 + 0.4321) / 1e4 AS median FROM
         (SELECT CAST(least(floor((price - lo) / w), 19) AS INTEGER) AS b, count(*) AS c
          FROM history, e GROUP BY 1), e""",
 )
