@@ -26,16 +26,19 @@ def bucket(date, freq):
     raise ValueError(f"unknown frequency {freq!r}: use one of {tuple(STEPS)}")
 
 
+def as_number(df, value):
+    """The column; text as double."""
+    is_text = isinstance(df.schema[value].dataType, T.StringType)
+    return F.col(value).cast("double") if is_text else F.col(value)
+
+
 def to_series(df, value, keys=(), freq="day", fill_spine=False, date="date"):
     """Mean per key and bucket: keys..., date, value. Rows lacking either are left out.
 
     The mean combines map-side, so a key holding most rows shuffles only one
     partial sum per task and date. ``fill_spine`` adds empty buckets as NULL.
     """
-    number = F.col(value)
-    if isinstance(df.schema[value].dataType, T.StringType):
-        number = number.cast("double")
-    rows = df.select(*keys, bucket(date, freq).alias("date"), number.alias("value"))
+    rows = df.select(*keys, bucket(date, freq).alias("date"), as_number(df, value).alias("value"))
     series = rows.dropna(subset=["date", "value"]).groupBy(*keys, "date").agg(
         F.avg("value").alias("value")
     )

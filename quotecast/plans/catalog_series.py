@@ -656,7 +656,10 @@ def _(spark, d):
 
 @query("constrain_auto")
 def _(spark, d):
-    return rounded(both(spark, d, ("vendor",), models="seasonal_naive", constraints="auto")[0])
+    found = forecast_measures(
+        history(spark, d), ["vendor"], H, "seasonal_naive", freq="month", constraints="auto", measures=("price",)
+    )
+    return rounded(found["price"])
 
 
 _HOLDOUT = _last_rows("country", 12) + """, rest AS (SELECT * FROM ranked WHERE back > 12),
