@@ -59,12 +59,22 @@ def _own(keys, inside, rows):
     return out
 
 
+def _pack(numbers):
+    """64-bit numbers as bytes, all lowest bytes first, all highest last: high bytes of
+    small numbers are runs of zeros, which the shuffle's compression removes."""
+    return np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _unpack(data, kind):
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
 def ask(table, order, parts):
-    """The count tables' input: a batch's keys and counts for each hash partition."""
+    """The count tables' input: a batch's keys (ascending, as differences) and counts for each hash partition."""
     keys, _, counts = _distinct(_read(table.column("text"), order))
     at, cuts = _dealt(keys, parts)
     batch = table.column("batch")[0].as_py()
-    rows = [(p, batch, keys[at[a:b]].tobytes(), counts[at[a:b]].astype("<i8").tobytes())
+    rows = [(p, batch, _pack(np.diff(keys[at[a:b]], prepend=ALL)), _pack(counts[at[a:b]].astype("<i8")))
             for p, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
                                 ["part", "batch", "keys", "counts"])
@@ -72,12 +82,12 @@ def ask(table, order, parts):
 
 def answer(table):
     """One hash partition of the count table, joined back to the batches that asked."""
-    lists = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
-    counts = [np.frombuffer(x, "<i8") for x in table.column("counts").to_pylist()]
+    lists = [np.cumsum(_unpack(x, "<u8")) for x in table.column("keys").to_pylist()]
+    counts = [_unpack(x, "<i8") for x in table.column("counts").to_pylist()]
     _, where = np.unique(np.concatenate(lists), return_inverse=True)
     totals = np.bincount(where, weights=np.concatenate(counts)).astype("<i8")[where]
     ends = np.cumsum([len(x) for x in lists])
-    found = [totals[e - len(x) : e].tobytes() for x, e in zip(lists, ends)]
+    found = [_pack(totals[e - len(x) : e]) for x, e in zip(lists, ends)]
     return pa.Table.from_arrays([table.column("part"), table.column("batch"), pa.array(found, pa.binary())], ["part", "batch", "totals"])
 
 
@@ -88,7 +98,7 @@ def judge(texts, answers, order, parts, backoff):
     at, cuts = _dealt(keys, parts)
     totals = np.zeros(len(keys), np.int64)
     for p, found in zip(answers.column("part").to_pylist(), answers.column("totals").to_pylist()):
-        totals[at[cuts[p] : cuts[p + 1]]] = np.frombuffer(found, "<i8")
+        totals[at[cuts[p] : cuts[p + 1]]] = _unpack(found, "<i8")
     everything = int(totals[0])
     n_words, score, used = [], [], 0
     for *_, rows, grams in read:
