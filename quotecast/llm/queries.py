@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quotecast.llm import licenses
 from quotecast.llm.exact import exact_groups
 from quotecast.llm.licenses import scan
-from quotecast.llm.lines import line_dedup
+from quotecast.llm.lines import RUN_WORDS, line_dedup
 from quotecast.llm.lm import score
 from quotecast.llm.minhash import near_groups
 from quotecast.llm.mixing import mix
@@ -53,6 +53,34 @@ def line_runs(spark, folder):
     )
 
 
+@query("op1_line_copies", rf"""
+WITH t AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+c AS (SELECT doc_id, len(ls) > 0 AND row_number() OVER (PARTITION BY ls ORDER BY doc_id) > 1 AS copy FROM t),
+l AS (
+  SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n1 FROM (
+    SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM t)),
+r AS (
+  SELECT *, lead(line, 1) OVER w AS l2, lead(line, 2) OVER w AS l3, n1 + lead(n1, 1) OVER w AS n2
+  FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+f AS (
+  SELECT *, n1 >= {RUN_WORDS} AND row_number() OVER (PARTITION BY line ORDER BY doc_id, i) > 1 AS one,
+         coalesce(n2 >= {RUN_WORDS}, false) AND row_number() OVER (PARTITION BY line, l2 ORDER BY doc_id, i) > 1 AS two,
+         l3 IS NOT NULL AND row_number() OVER (PARTITION BY line, l2, l3 ORDER BY doc_id, i) > 1 AS three
+  FROM r),
+g AS (
+  SELECT doc_id, i, line, copy OR one OR two OR three OR coalesce(lag(two OR three, 1) OVER w, false) OR coalesce(lag(three, 2) OVER w, false) AS gone
+  FROM f JOIN c USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+SELECT d.doc_id, count(g.i) AS n_lines, count(g.i) FILTER (gone) AS n_removed,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM documents d LEFT JOIN g USING (doc_id) GROUP BY d.doc_id""")
+def line_copies(spark, folder):
+    found = line_dedup(documents(spark, folder), words=RUN_WORDS, whole=True)
+    return found.select(
+        "doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"),
+        F.sha2(F.array_join("kept_lines", "\n").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
 @query("op2_quality", f"""
 WITH {MEASURED_SQL},
 rated AS (

@@ -145,6 +145,35 @@ def test_line_runs_of_odd_rows(odd, none):
     assert line_dedup(none).count() == 0
 
 
+def plain_line_copies(docs, run, words):
+    """As plain_lines; shorter runs of so many words and texts equal to an earlier one go too."""
+    lines = {d: [x for x in (t or "").split("\n") if WORDS.search(x)] for d, t in docs}
+    seen, out = set(), {}
+    for d, told in sorted(lines.items()):
+        gone = set(range(len(told))) if ("whole", *told) in seen else set()
+        for i in range(len(told)):
+            for n in range(1, min(run, len(told) - i) + 1):
+                w = tuple(told[i : i + n])
+                if w in seen and (n == run or len(WORDS.findall(" ".join(w))) >= words):
+                    gone |= set(range(i, i + n))
+                seen.add(w)
+        seen.add(("whole", *told))
+        out[d] = (len(told), [y for i, y in enumerate(told) if i not in gone])
+    return out
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_line_copies_of_few_lines(spark, run):
+    draw = np.random.default_rng(40 + run)
+    some = ["a", "b", "c d", "e " * 4, "f " * 9, "g " * 12]
+    docs = [(i, "\n".join(some[x] for x in draw.integers(0, 6, draw.integers(0, 7)))) for i in range(60)]
+    docs += [(70, "only"), (71, "only\n"), (72, "only\nonly two"), (73, "\nonly\nonly two"), (74, None), (75, ""), (76, "h " * 12), (77, "x\n" + "h " * 12)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r.doc_id: (r.n_lines, r.kept_lines) for r in line_dedup(df, run=run, words=10, whole=True).collect()}
+    assert got == plain_line_copies(docs, run, 10)
+    assert got[71][1] == got[73][1] == [] and got[77][1] == ["x"]
+
+
 # 2: quality
 
 
