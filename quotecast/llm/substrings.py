@@ -9,7 +9,6 @@ from quotecast.llm.words import SPACE, batches, window_numbers
 WINDOW = 20
 PREFIX = 4
 LARGE = 32768
-_KEY_BITS = (1 << 23) - 1  # of the text's hash, above 40 bits for a place in the text
 
 
 def _least_places(values, width):
@@ -37,26 +36,26 @@ def _anchored(words, rows, window, prefix):
 
 
 def prefixes(stream, window, prefix):
-    """A row for each chosen prefix of each text: its number, the text's id and its place."""
+    """A row for each chosen prefix of each text: its number, the text's id and hash and its place."""
     for batch in stream:
-        ids, keys = batch.column("doc_id"), batch.column("key").to_numpy(zero_copy_only=False)
+        ids, keys = batch.column("doc_id"), batch.column("key")
         for at, to, words, rows in batches(batch.column("text")):
             _, chosen, grams = _anchored(words, rows, window, prefix)
             if not len(chosen):
                 continue
             chosen = chosen[np.r_[True, chosen[1:] != chosen[:-1]]]
             row = np.searchsorted(rows, chosen, "right") - 1
-            spot = (keys[at + row] << 40) | (chosen - rows[row])
+            text = pa.array(at + row)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[chosen].view(np.int64)), ids.take(pa.array(at + row)), pa.array(spot)],
-                ["prefix", "doc_id", "spot"],
+                [pa.array(grams[chosen].view(np.int64)), ids.take(text), keys.take(text), pa.array((chosen - rows[row]).astype(np.int32))],
+                ["prefix", "doc_id", "key", "place"],
             )
 
 
 def suffixes(stream, window, prefix):
     """For each prefix that is not unique: the windows it stands for, as numbers, first one first."""
     for batch in stream:
-        ids, keys = batch.column("doc_id"), batch.column("key").to_numpy(zero_copy_only=False)
+        ids, keys = batch.column("doc_id"), batch.column("key")
         live = batch.column("live")
         bounds = live.offsets.to_numpy()
         spots = live.values.field("place").to_numpy(zero_copy_only=False)
@@ -83,11 +82,11 @@ def suffixes(stream, window, prefix):
                 continue
             salt = salts[a:b][order][i[keep]]
             lists = pa.array([numbers[x:y].tobytes() for x, y in zip(cuts[keep], ends[keep])], pa.binary())
-            first = starts[cuts[keep]] - rows[row[keep]]
+            first = (starts[cuts[keep]] - rows[row[keep]]).astype(np.int32)
+            text = pa.array(at + row[keep])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(grams[heads[keep]].view(np.int64)), ids.take(pa.array(at + row[keep])),
-                 pa.array((keys[at + row[keep]] << 40) | first), lists, pa.array(salt)],
-                ["prefix", "doc_id", "spot", "windows", "salt"],
+                [pa.array(grams[heads[keep]].view(np.int64)), ids.take(text), keys.take(text), pa.array(first), lists, pa.array(salt)],
+                ["prefix", "doc_id", "key", "place", "windows", "salt"],
             )
 
 
@@ -97,7 +96,7 @@ def subtrees(stream):
     Rows come sorted by group (prefix and salt) and then in document order. Each
     group's subtree is its leaves sorted by the rest of their windows; equal
     neighbours meet in an internal node at the full depth. All its leaves but the
-    first (in document order) are marked: rows with a mask of windows from spot on.
+    first (in document order) are marked: rows with a mask of windows from place on.
     Where a prefix was split by salt (0 or more; -1: not split), the first leaf may have an earlier
     one in another part: it goes out as a row with its window. Whole groups are taken
     together; none has many more than ``LARGE`` rows.
@@ -125,10 +124,10 @@ def subtrees(stream):
                            pa.array(prefix[heads]), pa.array(numbers[heads].view(np.int64)))
 
     def out(table, row, shift, mask, prefix, window):
-        spot = table.column("spot").to_numpy()[row] + shift
+        place = (table.column("place").to_numpy()[row] + shift).astype(np.int32)
         made = pa.Table.from_arrays(
-            [table.column("doc_id").take(pa.array(row)), pa.array(spot), pa.array(mask), prefix, window],
-            ["doc_id", "spot", "mask", "prefix", "window"])
+            [*(table.column(c).take(pa.array(row)) for c in ("doc_id", "key")), pa.array(place), pa.array(mask), prefix, window],
+            ["doc_id", "key", "place", "mask", "prefix", "window"])
         yield from made.combine_chunks().to_batches(10_000)
 
     waiting, n = [], 0
@@ -211,33 +210,32 @@ def substring_dedup(docs, id_col="doc_id", text_col="text", window=WINDOW, prefi
     if window - prefix > 62:
         raise ValueError("a mask holds the windows of one prefix: window - prefix must not exceed 62")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    held = docs.select(
-        F.col(id_col).alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(_KEY_BITS)).alias("key"), text.alias("text"))
+    held = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("key"), text.alias("text"))
     kind = held.schema["doc_id"].dataType.simpleString()
-    chosen = held.mapInArrow(lambda s: prefixes(s, window, prefix), f"prefix long, doc_id {kind}, spot long")
+    chosen = held.mapInArrow(lambda s: prefixes(s, window, prefix), f"prefix long, doc_id {kind}, key long, place int")
     often = chosen.groupBy("prefix").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     live = chosen.join(often, "prefix").select(
-        "doc_id", F.shiftright("spot", 40).alias("key"),
-        F.struct(F.col("spot").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"), F.when(F.col("n") <= large, -1).otherwise(
-            F.pmod(F.xxhash64("doc_id", "spot"), F.ceil(F.col("n") / large))).cast("int").alias("salt")).alias("at"))
+        "doc_id", "key",
+        F.struct("place", F.when(F.col("n") <= large, -1).otherwise(
+            F.pmod(F.xxhash64("doc_id", "key", "place"), F.ceil(F.col("n") / large))).cast("int").alias("salt")).alias("at"))
     by_text = live.groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key")).agg(F.collect_list("at").alias("live"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("key") == F.col("_key"))
     leaves = held.join(by_text, same).select("doc_id", "key", "text", "live").mapInArrow(
-        lambda s: suffixes(s, window, prefix), f"prefix long, doc_id {kind}, spot long, windows binary, salt int")
+        lambda s: suffixes(s, window, prefix), f"prefix long, doc_id {kind}, key long, place int, windows binary, salt int")
     found = (
         leaves.repartition("prefix", "salt")
-        .sortWithinPartitions("prefix", "salt", F.col("doc_id").asc_nulls_last(), "spot")
-        .mapInArrow(subtrees, f"doc_id {kind}, spot long, mask long, prefix long, window long")
+        .sortWithinPartitions("prefix", "salt", F.col("doc_id").asc_nulls_last(), "key", "place")
+        .mapInArrow(subtrees, f"doc_id {kind}, key long, place int, mask long, prefix long, window long")
     )
-    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("spot").alias("s"))
+    place = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("place").alias("p"))
     heads = found.where("window is not null")
     first = heads.groupBy("prefix", "window").agg(F.min(place).alias("first"))
     again = heads.join(first, ["prefix", "window"]).where(~place.eqNullSafe(F.col("first")))
     marks = (
-        found.where("window is null").select("doc_id", "spot", "mask")
-        .unionByName(again.select("doc_id", "spot", "mask"))
-        .groupBy(F.col("doc_id").alias("_id"), F.shiftright("spot", 40).alias("_key"))
-        .agg(F.collect_list(F.struct(F.col("spot").bitwiseAND(F.lit((1 << 40) - 1)).alias("place"), "mask")).alias("marks"))
+        found.where("window is null").select("doc_id", "key", "place", "mask")
+        .unionByName(again.select("doc_id", "key", "place", "mask"))
+        .groupBy(F.col("doc_id").alias("_id"), F.col("key").alias("_key"))
+        .agg(F.collect_list(F.struct("place", "mask")).alias("marks"))
     )
     joined = held.join(marks, same, "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(

@@ -489,6 +489,16 @@ def test_substrings_of_odd_rows(odd, none):
     assert substring_dedup(none).count() == 0
 
 
+def test_substrings_of_texts_that_share_hash_bits(spark):
+    """Two texts of one (null) id whose hashes agree in the last 23 bits; one is a copy of an earlier text."""
+    copy, other = (" ".join(f"t{n}w{k}" for k in range(40)) for n in (9013, 11043))
+    df = spark.createDataFrame([(1, copy + " end"), (None, copy), (None, other)], "doc_id long, text string")
+    assert df.where("doc_id is null").select(F.xxhash64("text").bitwiseAND(F.lit((1 << 23) - 1))).distinct().count() == 1
+    for large in (1, 10_000):
+        got = {(r.doc_id, r.n_removed, r.kept) for r in substring_dedup(df, large=large).collect()}
+        assert got == {(1, 0, copy + " end"), (None, 40, ""), (None, 0, other)}
+
+
 # 10: mixing
 
 
