@@ -61,7 +61,9 @@ class Notice:
         return True
 
     def spans(self, flat, places):
-        """(start, end, edits) of occurrences in word-joined text around the places where they may begin."""
+        """(start, end, edits) of occurrences in word-joined text around the places where they may begin.
+
+        Of overlapping ones the best is taken first, then those before and behind it."""
         reach, areas = len(self.text) + self.edits, []
         for place in sorted(set(places)):
             a, b = max(0, place - self.edits), place + reach
@@ -71,9 +73,16 @@ class Notice:
                 areas[-1][1] = max(b, areas[-1][1])
             else:
                 areas.append([a, b])
-        for a, b in areas:
-            for m in self.pattern.finditer(flat[a:b]):
-                yield a + m.start(), a + m.end(), sum(m.fuzzy_counts)
+        found = []
+        while areas:  # the best match of an area may lie behind others: both sides of it are areas again
+            a, b = areas.pop()
+            if b - a < len(self.text) - self.edits or not self.near(flat[a:b]):
+                continue
+            m = self.pattern.search(flat[a:b])
+            if m:
+                found.append((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
+                areas += [(a, found[-1][0]), (found[-1][1], b)]
+        return sorted(found)
 
 
 def seeded(known):

@@ -263,6 +263,17 @@ def test_license_scan_against_every_area(spark):
     assert [b.word for b in got[61].base] == [0, 3] and got[62].n_words == 0
 
 
+def test_license_notices_back_to_back(spark):
+    exact, bent, worse = "released under the mit license", "relesed under the mit licence", "relesed undr the mit licence"
+    stacks = [[bent] * 3 + [exact], [exact] + [bent] * 3, [bent, exact, worse, bent, exact, bent], [worse, bent, exact], [worse] * 4, [exact] * 3]
+    edits = {exact: 0, bent: 2, worse: 3}
+    texts = [f"{prose(i, 8)} {' '.join(s)} {prose(9 + i, 8)}" for i, s in enumerate(stacks)]
+    got = {r.doc_id: r.hits for r in scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, stack in enumerate(stacks):
+        assert [h.edits for h in got[i]] == [edits[x] for x in stack]
+        assert [(h.first, h.last) for h in got[i]] == [(8 + 5 * k, 12 + 5 * k) for k in range(len(stack))]
+
+
 def test_license_scan_of_odd_rows(odd, none):
     assert scan(odd).count() == len(ODD) and scan(none).count() == 0
 
