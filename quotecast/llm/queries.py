@@ -1,8 +1,11 @@
-"""The ten operators over their whole tables, with production parameters."""
+"""The operators over their whole tables, with production parameters."""
+
+import uuid
 
 from pyspark.sql import functions as F
 
-from quotecast.llm import licenses
+from quotecast.llm import licenses, middle, warc
+from quotecast.llm.audit import audit
 from quotecast.llm.exact import exact_groups
 from quotecast.llm.licenses import scan
 from quotecast.llm.lines import RUN_WORDS, line_dedup
@@ -13,6 +16,8 @@ from quotecast.llm.packing import pieces
 from quotecast.llm.quality import rate
 from quotecast.llm.registry import ORACLES, QUERIES, documents, hex_lower, query
 from quotecast.llm.substrings import substring_dedup
+from quotecast.llm.tables import folder as shared_folder
+from quotecast.llm.tables import words, written
 from quotecast.llm.urls import judge, parts
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -274,3 +279,87 @@ e AS (SELECT *, CASE WHEN source_size > 0 THEN budget // source_size ELSE 0 END
 SELECT doc_id, size, source_size, target, whole * size + greatest(0, least(size, budget - whole * source_size - before))::BIGINT AS taken FROM e""")
 def mixing(spark, folder):
     return mix(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_warc", r"""
+WITH p AS (
+  SELECT row_number() OVER () AS r, page_id, coalesce(url, '') AS u, coalesce(html, '') AS h, url IS NOT NULL AS told FROM pages),
+q AS (
+  SELECT *, first_value(r) OVER w AS best, first_value(page_id) OVER w AS best_id, strlen(h) AS bytes, sha1(h) AS x
+  FROM p WINDOW w AS (PARTITION BY h ORDER BY page_id DESC NULLS LAST, told DESC, u DESC, r))
+SELECT page_id, bytes AS payload_bytes,
+       array_to_string(list_transform(range(0, 8), lambda i: translate(to_base(('0x' || x[5 * i + 1 : 5 * i + 5])::BIGINT, 32, 4),
+         '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')), '') AS payload_digest,
+       CASE WHEN r = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN r <> best THEN best_id END AS refers_to
+FROM q""")
+def archives(spark, folder):
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    found = warc.captures(warc.read_records(spark, path, payloads=("metadata",)))
+    kind = pages.schema["page_id"].dataType.simpleString()
+    page_id = F.from_json(F.get("metadata", F.lit(0))["payload"].cast("string"), f"id {kind}")["id"]
+    told = written(found.select("record_id", page_id.alias("page_id"), "capture.type", "capture.refers_to",
+                                "capture.payload_bytes", "capture.payload_digest"))
+    seen = told.where("type = 'response'").select(
+        F.col("record_id").alias("_id"), F.col("page_id").alias("_page"), F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"))
+    again = F.col("type") == "revisit"
+    return told.join(seen, F.col("refers_to") == F.col("_id"), "left").select(
+        "page_id", F.when(again, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(again, F.col("_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("type").alias("record_type"), F.when(again, F.col("_page")).alias("refers_to"))
+
+
+@query("op12_filter_audit", rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, {WORDS_SQL} AS ws FROM documents),
+m AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+f AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+         + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text))::INT + 8 * regexp_matches(text, '[#$%&*|]')::INT
+         + 16 * coalesce(d.doc_id > least OR (d.doc_id IS NULL AND least IS NOT NULL), false)::INT AS mask
+  FROM d JOIN m USING (text) LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS t FROM f GROUP BY ALL),
+o AS (SELECT '' AS o UNION ALL SELECT o || x FROM o, unnest(['A', 'B', 'C', 'D', 'E']) AS u(x) WHERE NOT contains(o, x)),
+s AS (
+  SELECT o AS filter_order, i::INT AS step, 1 << (ascii(o[i]) - 65) AS own,
+         list_sum(list_transform(range(1, i + 1), lambda k: CASE WHEN k = i THEN 0 ELSE 1 << (ascii(o[k]) - 65) END))::INT AS prior
+  FROM o, range(1, 6) AS t(i) WHERE length(o) = 5),
+r AS (
+  SELECT part, filter_order, step, own, sum(CASE WHEN mask & (prior | own) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & prior <> 0 AND mask & own <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN g ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & prior = 0 AND mask & own <> 0 THEN t ELSE 0 END)::BIGINT AS toxic_lost
+  FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM r""")
+def filter_audit(spark, folder):
+    text = F.coalesce("text", F.lit(""))
+    told = words(text)
+    filters = {
+        "A": F.size(told) < 200,
+        "B": 100 * F.size(F.array_distinct(told)) < 50 * F.size(told),
+        "C": 100 * F.regexp_count(text, F.lit("[A-Z]")) > 2 * F.char_length(text),
+        "D": text.rlike(r"[#$%&*|]"),
+    }
+    return audit(documents(spark, folder), filters, spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+@query("op13_fill_middle", r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT *, list_transform([1, 9, 17, 25], lambda i: ('0x' || x[i : i + 7])::BIGINT) AS h FROM d),
+c AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+              WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+              ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256 FROM p""")
+def fill_middle(spark, folder):
+    return middle.digests(middle.fill_in_middle(documents(spark, folder)))
