@@ -296,7 +296,7 @@ def archives(spark, folder):
     pages = spark.read.parquet(f"{folder}/pages.parquet")
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     warc.write_archives(pages, path)
-    found = warc.captures(warc.read_records(spark, path, payloads=("metadata",)))
+    found = warc.captures(written(warc.read_records(spark, path, payloads=("metadata",))))
     kind = pages.schema["page_id"].dataType.simpleString()
     page_id = F.from_json(F.get("metadata", F.lit(0))["payload"].cast("string"), f"id {kind}")["id"]
     told = written(found.select("record_id", page_id.alias("page_id"), "capture.type", "capture.refers_to",

@@ -168,7 +168,7 @@ def records_of(stream, payloads):
     def out(rows):
         return pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    text, schema = pa.string(), None
+    text = pa.string()
     schema = pa.schema([
         ("record_id", text), ("type", text), ("concurrent_to", pa.list_(text)), ("refers_to", text), ("target_uri", text),
         ("date", text), ("content_type", text), ("stated_digest", text), ("payload_bytes", pa.int64()),
@@ -223,16 +223,17 @@ def captures(records):
     the records stands in a row of its own target with a null capture. Rows are joined by
     record id; arrays are ordered by record id and hold one transaction. Record ids are
     unique, so rows repeated with one record id count once. Records of other types are left out.
+    ``records`` is read three times: write it first where reading means parsing archives.
     """
-    parts_ = [f for f in records.columns]
-    primary = records.where(F.col("type").isin(*PRIMARY)).select("record_id", "concurrent_to", F.struct(*parts_).alias("capture"))
+    whole = F.struct(*records.columns)
+    primary = records.where(F.col("type").isin(*PRIMARY)).select("record_id", "concurrent_to", whole.alias("capture"))
     primary = primary.dropDuplicates(["record_id"])
     others = records.where(F.col("type").isin(*COMPANIONS)).dropDuplicates(["record_id"])
     named = primary.select(F.explode("concurrent_to").alias("_named"), F.col("record_id").alias("_by"))
     found = others.join(named, F.col("record_id") == F.col("_named"), "left").select(
         F.explode(F.array_distinct(F.when(F.col("_by").isNotNull(), F.array("_by")).otherwise(
             F.when(F.size("concurrent_to") > 0, F.col("concurrent_to")).otherwise(F.array("record_id"))))).alias("record_id"),
-        "type", F.struct(*parts_).alias("record"))
+        "type", whole.alias("record"))
 
     def of(kind):
         return F.array_sort(F.collect_list(F.when(F.col("type") == kind, F.col("record"))))
