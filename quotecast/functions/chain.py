@@ -1,129 +1,173 @@
 """Closest sequence whose consecutive steps and values stay within limits.
 
 ``v`` is moved as little as possible so that ``low[i] <= x[i+1] - x[i] <= up[i]``
-and ``lo <= x <= hi``, with ``low <= 0 <= up`` (infinite where a side is free).
-Both objectives are solved exactly by running over the sequence once, keeping the
-slope of the cost so far as a function of the current value, and then walking
-back from the end. Sequences are one forecast horizon long.
+and ``lo <= x <= hi`` (a step's limits may be infinite, ``lo`` and ``hi`` are not).
+Both objectives are solved exactly by one fold over the sequence, which carries the
+slope of the least cost so far as a function of the current value, and a second
+one back from the end. Everything is an array expression; sequences are one
+forecast horizon long.
 """
 
-import sys
-from heapq import heappop, heappush
 from math import inf
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from quotecast.functions.columns import clamp
+from quotecast.functions.folds import let
 
 
-def chain_fit(objective):
-    """Function (v, low, up, lo, hi) -> fitted array, NULL for a NULL v; objective l1 or l2."""
-    best = least_absolute if objective == "l1" else least_squares
+def chain_fit(objective, v, low, up, lo, hi):
+    """Fitted array of v; objective l1 (absolute moves) or l2 (squares)."""
+    best = (least_absolute if objective == "l1" else least_squares)(v, low, up, lo, hi)
+    return let(best, lambda m: _walk_back(m, low, up))
 
-    @F.pandas_udf("array<double>")
-    def fit(
-        v: pd.Series, low: pd.Series, up: pd.Series, lo: pd.Series, hi: pd.Series
-    ) -> pd.Series:
-        rows = zip(v, low, up, lo, hi)
-        return pd.Series([None if row[0] is None else list(best(*row)) for row in rows])
 
-    return fit
+def violation(x, low, up, lo, hi):
+    """By how much the worst step or value of x misses its limits; 0 where none does."""
+    steps = F.arrays_zip(F.slice(x, 1, F.size(x) - 1).alias("a"), F.slice(x, 2, F.size(x)).alias("b"), low.alias("low"), up.alias("up"))
+    worst = F.greatest(F.lit(0.0), lo - F.array_min(x), F.array_max(x) - hi)
+    return F.aggregate(
+        steps, worst, lambda w, t: F.greatest(w, t["low"] - (t["b"] - t["a"]), (t["b"] - t["a"]) - t["up"])
+    )
 
 
-def _clip(x, lo, hi):
-    return min(max(x, lo), hi)
+def _steps(v, low, up):
+    return F.arrays_zip(F.slice(v, 2, F.size(v)).alias("y"), low.alias("low"), up.alias("up"))
 
 
 def _walk_back(best, low, up):
-    x = [best[-1]]
-    for m, l, u in zip(best[-2::-1], low[::-1], up[::-1]):
-        x.append(_clip(m, x[-1] - u, x[-1] - l))
-    return x[::-1]
+    """From the last value back: each takes its best place that the next one allows."""
+    n = F.size(best)
+    steps = F.arrays_zip(F.slice(best, 1, n - 1).alias("m"), low.alias("low"), up.alias("up"))
+
+    def back(xs, t):
+        after = F.get(xs, F.lit(0))
+        return F.concat(F.array(clamp(t["m"], after - t["up"], after - t["low"])), xs)
+
+    return F.aggregate(F.reverse(steps), F.array(F.get(best, n - 1)), back)
 
 
 def least_absolute(v, low, up, lo, hi):
-    """Least sum of absolute moves.
+    """Best value of each prefix's last element, for the least sum of absolute moves.
 
-    Inside the limits a value beyond them costs a constant more than the limit
-    itself, so the limits are applied to the input first.
+    The slope is held as its kinks, sorted: ``left`` of the best value and ``right``
+    of it. A step moves the left ones by its lower and the right ones by its upper
+    limit. Bounds are walls of more kinks than there are elements.
     """
-    v = [_clip(float(y), lo, hi) for y in v]
-    left, right = [], []  # kinks where the slope changes, below and above the best value
-    shift_left = shift_right = 0.0
-    best = []
-    for i, y in enumerate(v):
-        if i:
-            if low[i - 1] == -inf:
-                left, shift_left = [], 0.0
-            else:
-                shift_left += low[i - 1]
-            if up[i - 1] == inf:
-                right, shift_right = [], 0.0
-            else:
-                shift_right += up[i - 1]
-        heappush(left, -(y - shift_left))
-        heappush(right, -heappop(left) + shift_left - shift_right)
-        heappush(right, y - shift_right)
-        heappush(left, -(heappop(right) + shift_right - shift_left))
-        best.append(-left[0] + shift_left)
-    return [_clip(x, lo, hi) for x in _walk_back(best, low, up)]
+
+    def wall(x):
+        return F.array_repeat(x, F.size(v) + 1)
+
+    def add(sides, y, best):
+        def cut(w):
+            k = w["k"]
+            return F.struct(
+                F.slice(w["kinks"], 1, k).alias("left"),
+                F.slice(w["kinks"], k + 1, F.size(w["kinks"])).alias("right"),
+                F.concat(best, F.array(F.get(w["kinks"], k - 1))).alias("best"),
+            )
+
+        def kinks(s):
+            held = F.array_sort(F.concat(s["left"], F.array(y, y), s["right"]))
+            return let(F.struct(held.alias("kinks"), (F.size(s["left"]) + 1).alias("k")), cut)
+
+        return let(sides, kinks)
+
+    def step(s, t):
+        left = F.when(t["low"] == -inf, wall(lo)).otherwise(
+            F.transform(s["left"], lambda x: F.greatest(x + t["low"], lo)))
+        right = F.when(t["up"] == inf, wall(hi)).otherwise(
+            F.transform(s["right"], lambda x: F.least(x + t["up"], hi)))
+        return add(F.struct(left.alias("left"), right.alias("right")), t["y"], s["best"])
+
+    none = F.array().cast("array<double>")
+    start = add(F.struct(wall(lo).alias("left"), wall(hi).alias("right")), F.get(v, F.lit(0)), none)
+    return F.aggregate(_steps(v, low, up), start, step, lambda s: s["best"])
+
+
+def _point(x, g):
+    return F.struct(x.cast("double").alias("x"), g.cast("double").alias("g"))
+
+
+def _between(p, q, x):
+    """Slope at x on the line through two points."""
+    return p["g"] + (q["g"] - p["g"]) * (x - p["x"]) / F.nullif(q["x"] - p["x"], F.lit(0.0))
+
+
+def _zero(points):
+    """Where the slope crosses zero; a jump over zero is at one value."""
+    first = F.get(F.filter(points, lambda p: p["g"] >= 0), F.lit(0))
+    last = F.get(F.reverse(F.filter(points, lambda p: p["g"] < 0)), F.lit(0))
+
+    def cross(w):
+        p, q = w["p"], w["q"]
+        flat = (p["x"] == q["x"]) | (q["g"] == 0)
+        return F.when(flat, q["x"]).otherwise(p["x"] - p["g"] * (q["x"] - p["x"]) / (q["g"] - p["g"]))
+
+    return let(F.struct(last.alias("p"), first.alias("q")), cross)
+
+
+def _walled(points, lo, hi):
+    """The slope inside [lo, hi]: minus infinity below, infinity above."""
+
+    def low(ps):
+        out, rest = F.filter(ps, lambda p: p["x"] < lo), F.filter(ps, lambda p: p["x"] >= lo)
+
+        def cut(w):
+            edge = F.get(w["rest"], F.lit(0))
+            here = F.when(edge["x"] == lo, edge["g"]).otherwise(_between(F.get(w["out"], F.size(w["out"]) - 1), edge, lo))
+            put = F.concat(F.array(_point(lo, F.lit(-inf)), _point(lo, here)), w["rest"])
+            return F.when(F.size(w["out"]) == 0, w["rest"]).otherwise(put)
+
+        return let(F.struct(out.alias("out"), rest.alias("rest")), cut)
+
+    def high(ps):
+        out, rest = F.filter(ps, lambda p: p["x"] > hi), F.filter(ps, lambda p: p["x"] <= hi)
+
+        def cut(w):
+            edge = F.get(w["rest"], F.size(w["rest"]) - 1)
+            here = F.when(edge["x"] == hi, edge["g"]).otherwise(_between(edge, F.get(w["out"], F.lit(0)), hi))
+            put = F.concat(w["rest"], F.array(_point(hi, here), _point(hi, F.lit(inf))))
+            return F.when(F.size(w["out"]) == 0, w["rest"]).otherwise(put)
+
+        return let(F.struct(out.alias("out"), rest.alias("rest")), cut)
+
+    return let(let(points, low), high)
 
 
 def least_squares(v, low, up, lo, hi):
-    """Least sum of squared moves; the slope of the cost is piecewise linear."""
-    xs, gs, outer_left, outer_right = [float(v[0])], [0.0], 2.0, 2.0
-    best = []
-    for y, l, u in zip(v[1:], low, up):
-        m = _clip(_zero(xs, gs, outer_left, outer_right), lo, hi)
-        best.append(m)
-        before, after = _around(xs, gs, outer_left, outer_right, m)
-        nx, ng = [m + l, m + u], [0.0, 0.0]
-        if l == -inf:
-            nx, ng, outer_left = nx[1:], ng[1:], 0.0
-        else:
-            keep = [(x, g) for x, g in zip(xs, gs) if x < m]
-            nx = [x + l for x, _ in keep] + [m + l] + nx
-            ng = [g for _, g in keep] + [min(before, 0.0)] + ng
-        if u == inf:
-            nx, ng, outer_right = nx[:-1], ng[:-1], 0.0
-        else:
-            keep = [(x, g) for x, g in zip(xs, gs) if x > m]
-            nx += [m + u] + [x + u for x, _ in keep]
-            ng += [max(after, 0.0)] + [g for _, g in keep]
-        if not nx:
-            nx, ng = [float(y)], [0.0]
-        xs, gs = nx, [g + 2 * (x - float(y)) for x, g in zip(nx, ng)]
-        outer_left, outer_right = outer_left + 2.0, outer_right + 2.0
-    best.append(_clip(_zero(xs, gs, outer_left, outer_right), lo, hi))
-    return _walk_back(best, low, up)
-
-
-def _zero(xs, gs, outer_left, outer_right):
-    """Where an increasing piecewise linear function (jumps allowed) crosses zero."""
-    if gs[0] >= 0:
-        return xs[0] - gs[0] / outer_left
-    if gs[-1] <= 0:
-        return xs[-1] - gs[-1] / outer_right
-    for x0, g0, x1, g1 in zip(xs, gs, xs[1:], gs[1:]):
-        if g0 < 0 <= g1:
-            return x1 if g1 == g0 else x0 - g0 * (x1 - x0) / (g1 - g0)
-    return xs[-1]
-
-
-def _around(xs, gs, outer_left, outer_right, m):
-    """Values just below and just above m."""
-    at = [g for x, g in zip(xs, gs) if x == m]
-    below = [(x, g) for x, g in zip(xs, gs) if x < m]
-    above = [(x, g) for x, g in zip(xs, gs) if x > m]
-    if at:
-        return at[0], at[-1]
-    if not below:
-        g = above[0][1] + outer_left * (m - above[0][0])
-    elif not above:
-        g = below[-1][1] + outer_right * (m - below[-1][0])
-    else:
-        (x0, g0), (x1, g1) = below[-1], above[0]
-        g = g0 + (g1 - g0) * (m - x0) / (x1 - x0)
-    return g, g
+    """Best value of each prefix's last element, for the least sum of squared moves.
+
+    The slope is piecewise linear and held as its breakpoints (x, g) in order. A
+    step parts it at zero: the falling side moves by the step's lower limit, the
+    rising side by its upper one, and between them the slope is zero.
+    """
+
+    def add(points, y):
+        return F.transform(points, lambda p: _point(p["x"], p["g"] + 2 * (p["x"] - y)))
+
+    def step(s, t):
+        def moved(m):
+            low_end, up_end = m + t["low"], m + t["up"]
+            left = F.concat(
+                F.transform(F.filter(s["points"], lambda p: p["g"] < 0), lambda p: _point(p["x"] + t["low"], p["g"])),
+                F.array(_point(low_end, F.lit(0.0))),
+            )
+            right = F.concat(
+                F.array(_point(up_end, F.lit(0.0))),
+                F.transform(F.filter(s["points"], lambda p: p["g"] > 0), lambda p: _point(p["x"] + t["up"], p["g"])),
+            )
+            start, end = F.least(lo, up_end), F.greatest(hi, low_end)
+            left = F.when(t["low"] == -inf, F.array(_point(start, F.lit(-inf)), _point(start, F.lit(0.0)))).otherwise(left)
+            right = F.when(t["up"] == inf, F.array(_point(end, F.lit(0.0)), _point(end, F.lit(inf)))).otherwise(right)
+            return F.struct(
+                add(_walled(F.concat(left, right), lo, hi), t["y"]).alias("points"), F.concat(s["best"], F.array(m)).alias("best")
+            )
+
+        return let(_zero(s["points"]), moved)
+
+    flat = F.array(_point(lo, F.lit(-inf)), _point(lo, F.lit(0.0)), _point(hi, F.lit(0.0)), _point(hi, F.lit(inf)))
+    start = F.struct(add(flat, F.get(v, F.lit(0))).alias("points"), F.array().cast("array<double>").alias("best"))
+    return F.aggregate(
+        _steps(v, low, up), start, step, lambda s: F.concat(s["best"], F.array(_zero(s["points"])))
+    )

@@ -5,7 +5,7 @@ from math import inf
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quotecast.functions.chain import chain_fit
+from quotecast.functions.chain import chain_fit, violation
 from quotecast.functions.columns import attach, clamp, join_on_keys
 from quotecast.functions.folds import fold
 from quotecast.functions.ordered import neighbours
@@ -28,6 +28,8 @@ TREND_ROWS = 6
 TREND_SLOPE = 0.01
 LOW_FACTOR, HIGH_FACTOR = 0.5, 1.5
 SEASON_POINTS = 12
+# A rule counts as met up to this share of the upper bound, for the last bits of sums.
+TOLERANCE = 1e-9
 
 
 def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",)):
@@ -154,10 +156,35 @@ def constrain_forecast(forecast, constraints, keys=(), objective="l1", history=N
 
     ``constraints``: a table with one row per key, or a dict for all keys alike.
     ``objective``: l1 (or cp_sat) least absolute, l2 (or lp) least squares.
-    ``history``: the series, for the seasonal direction (l1 only). Where the
-    bounds contradict each other the forecast is returned as it was, with status
-    ``infeasible``.
+    ``history``: the series, for the seasonal direction (l1 only). Where rules
+    contradict each other the forecast is returned as it was, with status
+    ``infeasible``; likewise where it lacks a value.
     """
+    out = fitted_series(forecast, constraints, keys, objective, history)
+    # The outer form keeps the optimizer from inferring a filter on the fit, for which
+    # it would be computed a second time.
+    out = out.select(*keys, F.explode_outer(F.arrays_zip("d", "x")).alias("_r"), "status")
+    return out.where(F.col("_r").isNotNull()).select(
+        *keys, F.col("_r.d").alias("date"), F.col("_r.x").alias("value"), "status"
+    )
+
+
+def fit_summary(forecast, constraints, keys=(), objective="l1", history=None):
+    """How far the closest forecast is from the given one: keys..., cost, violation, status.
+
+    ``cost`` is the sum of absolute (l1) or squared (l2) moves, which is unique where
+    the fit itself is not; ``violation`` is by how much the worst step or value misses
+    its rules, 0 where none does.
+    """
+    rows = fitted_series(forecast, constraints, keys, objective, history)
+    size = (lambda m: m * m) if OBJECTIVES[objective.lower()] == "l2" else F.abs
+    moves = F.zip_with("v", "x", lambda v, x: size(x - v))
+    cost = F.aggregate(moves, F.lit(0.0), lambda a, m: a + m)
+    return rows.select(*keys, cost.alias("cost"), "violation", "status")
+
+
+def fitted_series(forecast, constraints, keys=(), objective="l1", history=None):
+    """One row per key: d (dates), v (forecast), x (fit), violation, status."""
     try:
         objective = OBJECTIVES[objective.lower()]
     except KeyError:
@@ -173,9 +200,11 @@ def constrain_forecast(forecast, constraints, keys=(), objective="l1", history=N
     else:
         rows = rows.withColumn("season", F.lit(None).cast("array<double>"))
 
+    v = F.transform("v", lambda x: x.cast("double"))
     least, most = F.array_min("v"), F.array_max("v")
     low = F.greatest(F.lit(0.0), least * LOW_FACTOR) if objective == "l1" else F.lit(0.0)
     rows = rows.withColumns({
+        "v": v,
         "lo": F.coalesce("min_value", low),
         "hi": F.coalesce("max_value", most * HIGH_FACTOR),
     })
@@ -185,24 +214,25 @@ def constrain_forecast(forecast, constraints, keys=(), objective="l1", history=N
     coupled = F.lit(False)
     for name in STEP_RULES:
         coupled |= F.col(f"_rule_{name}").isNotNull()
-    feasible = (F.col("lo") <= F.col("hi")) & F.coalesce(
-        F.col("smoothness_factor") >= 0, F.lit(True)
+    rows = rows.withColumns({"_coupled": coupled, "_low": _side("low", -inf), "_up": _side("up", inf)})
+    sides = F.col("_low"), F.col("_up"), F.col("lo"), F.col("hi")
+    possible = (
+        (F.col("lo") <= F.col("hi")) & ~F.exists("v", lambda x: x.isNull())
+        & F.forall(F.arrays_zip("_low", "_up"), lambda s: s["_low"] <= s["_up"])
     )
-    # Bounds alone stay in the JVM. Rules on steps go to Python, which gets NULL
-    # arrays for the other series, so all series pass through one projection.
-    chain = [
-        F.when(coupled & feasible, c)
-        for c in (F.col("v"), _side("low", -inf), _side("up", inf), F.col("lo"), F.col("hi"))
-    ]
-    rows = rows.withColumn("_fit", chain_fit(objective)(*chain))
     bounded = F.transform("v", lambda x: clamp(x, F.col("lo"), F.col("hi")))
-    fitted = F.when(~feasible, F.col("v")).when(coupled, F.col("_fit")).otherwise(bounded)
-    status = F.when(feasible, "optimal").otherwise("infeasible").alias("status")
-    # The outer form keeps the optimizer from inferring a filter on the fit, for which
-    # it would be computed a second time.
-    out = rows.select(*keys, F.explode_outer(F.arrays_zip("d", fitted.alias("x"))).alias("_r"), status)
-    return out.where(F.col("_r").isNotNull()).select(
-        *keys, F.col("_r.d").alias("date"), F.col("_r.x").alias("value"), "status"
+    fitted = F.when(F.col("_coupled"), chain_fit(objective, F.col("v"), *sides)).otherwise(bounded)
+    rows = rows.withColumn("_fit", F.when(possible, fitted))
+    rows = rows.withColumn("_miss", violation(F.col("_fit"), *sides))
+    meets = (F.col("_miss") <= TOLERANCE * (1 + F.col("hi"))) & F.forall("_fit", lambda x: x.isNotNull())
+    meets = F.coalesce(meets, F.lit(False))
+    return rows.select(
+        *keys,
+        "d",
+        "v",
+        F.when(meets, F.col("_fit")).otherwise(F.col("v")).alias("x"),
+        F.when(meets, F.when(F.col("_miss") > TOLERANCE, F.col("_miss")).otherwise(0.0)).alias("violation"),
+        F.when(meets, "optimal").otherwise("infeasible").alias("status"),
     )
 
 

@@ -635,31 +635,141 @@ def _(spark, d):
     )
 
 
-@query("constrain_smoothness")
+def _chain_sql(objective, horizon=H):
+    """Least cost fit of ``problem`` (vendor, p, v, low, up, lo, hi; low and up limit the step
+    from p to p + 1), by trying all sets of steps that stand at a limit.
+
+    Between steps that do not, a run of values has one free height: its mean or one of its
+    medians, moved inside the bounds. Runs are put together from left to right, the
+    cheapest for each last run. CTE ``solved``: vendor, cost, xs.
+    """
+    height = {"l1": "unnest([us[(len(us) + 1) // 2], us[len(us) // 2 + 1]])", "l2": "list_avg(us)"}[objective]
+    move = {"l1": "abs(u - c)", "l2": "(u - c) * (u - c)"}[objective]
+    text = f""", grown AS (
+      SELECT vendor, p AS a, p AS b, 0::DOUBLE AS off, [v] AS us, [0::DOUBLE] AS offs FROM problem
+      UNION ALL
+      SELECT g.vendor, a, n.p, off + s, list_append(us, n.v - (off + s)), list_append(offs, off + s)
+      FROM grown g JOIN problem n ON n.vendor = g.vendor AND n.p = g.b + 1
+      JOIN (SELECT vendor, p, unnest(list_distinct(list_filter([low, up], lambda x: isfinite(x)))) AS s FROM problem) l
+        ON l.vendor = g.vendor AND l.p = g.b),
+    heights AS (
+      SELECT vendor, a, b, off, us, offs, {height} AS h
+      FROM (SELECT vendor, a, b, off, list_sort(us) AS us, offs FROM grown)),
+    runs AS (
+      SELECT row_number() OVER () AS id, r.vendor, a, b, off, c, c + off AS final, list_transform(offs, lambda o: c + o) AS xs,
+             list_sum(list_transform(us, lambda u: {move})) AS cost
+      FROM (SELECT g.*, least(greatest(h, lo - list_min(offs)), hi - list_max(offs)) AS c, lo - list_min(offs) AS at_least
+            FROM heights g JOIN problem q ON q.vendor = g.vendor AND q.p = g.a) r WHERE c >= at_least),
+    upto1 AS (SELECT vendor, b, final, cost, xs FROM runs WHERE a = 1)"""
+    for i in range(2, horizon + 1):
+        text += f""", upto{i} AS (
+      SELECT vendor, b, final, cost, xs FROM upto{i - 1} WHERE b >= {i}
+      UNION ALL
+      SELECT any_value(r.vendor), any_value(r.b), any_value(r.final), any_value(r.cost) + min(w.cost), arg_min(w.xs, w.cost) || any_value(r.xs)
+      FROM runs r JOIN upto{i - 1} w ON w.vendor = r.vendor AND w.b = {i - 1} JOIN problem q ON q.vendor = r.vendor AND q.p = {i - 1}
+      WHERE r.a = {i} AND r.c - w.final >= q.low - 1e-9 AND r.c - w.final <= q.up + 1e-9 GROUP BY r.id)"""
+    return text + f""", solved AS (SELECT vendor, min(cost) AS cost, arg_min(xs, cost) AS xs FROM upto{horizon} GROUP BY 1)"""
+
+
+def _problem_sql(low, up, lo, hi, joined=""):
+    over = "OVER (PARTITION BY vendor)"
+    lo, hi = lo.replace("OVER", over), hi.replace("OVER", over)
+    return f""", problem AS (
+      SELECT vendor, date, row_number() OVER (PARTITION BY vendor ORDER BY date) AS p, value AS v, {low}::DOUBLE AS low, {up}::DOUBLE AS up,
+             {lo} AS lo, {hi} AS hi FROM plain {joined})"""
+
+
+_ABSOLUTE = ("greatest(0, 0.5::DOUBLE * min(value) OVER)", "1.5::DOUBLE * max(value) OVER")
+_SQUARES = ("0::DOUBLE", "1.5::DOUBLE * max(value) OVER")
+SUMMARY = ["vendor", "cost~", "violation=0::DOUBLE", "status='optimal'"]
+
+
+@query(
+    "constrain_smoothness",
+    select(_SEASONAL + _problem_sql("-250", "250", *_ABSOLUTE) + _chain_sql("l1"), SUMMARY, "solved"),
+)
 def _(spark, d):
     rules = constrain.user_constraints(smoothness_factor=250)
-    return rounded(constrain.constrain_forecast(seasonal_forecast(spark, d)[1], rules, ["vendor"]))
+    return rounded(constrain.fit_summary(seasonal_forecast(spark, d)[1], rules, ["vendor"]))
 
 
-@query("constrain_smoothness_squares")
+@query(
+    "constrain_smoothness_squares",
+    select(
+        _SEASONAL + _problem_sql("-250", "250", *_SQUARES) + _chain_sql("l2"),
+        ["vendor", "date", "value~=xs[p]", "status='optimal'"],
+        "problem JOIN solved USING (vendor)",
+    ),
+)
 def _(spark, d):
     rules = constrain.user_constraints(smoothness_factor=250)
     return rounded(constrain.constrain_forecast(seasonal_forecast(spark, d)[1], rules, ["vendor"], "l2"))
 
 
-@query("constrain_seasonality")
+_USUAL = """, usual AS (
+      SELECT vendor, list(m ORDER BY month) AS season, sum(n) AS n
+      FROM (SELECT vendor, month(date) AS month, avg(value) AS m, count(*) AS n FROM series GROUP BY ALL) GROUP BY 1),
+    known AS (SELECT vendor, season FROM usual WHERE n >= 12 AND len(season) = 12)"""
+_TURN = """CASE WHEN month(lead(date) OVER (PARTITION BY vendor ORDER BY date)) <> month(date)
+      THEN season[month(date) % 12 + 1] - season[month(date)] ELSE 0 END"""
+
+
+@query(
+    "constrain_seasonality",
+    select(
+        _SEASONAL + _USUAL + _problem_sql(
+            f"CASE WHEN {_TURN} > 0 THEN 0 ELSE '-inf'::DOUBLE END", f"CASE WHEN {_TURN} < 0 THEN 0 ELSE 'inf'::DOUBLE END", *_ABSOLUTE,
+            "LEFT JOIN known USING (vendor)") + _chain_sql("l1"),
+        SUMMARY,
+        "solved",
+    ),
+)
 def _(spark, d):
     past, ahead = seasonal_forecast(spark, d)
     rules = constrain.user_constraints(preserve_seasonality=True)
-    return rounded(constrain.constrain_forecast(ahead, rules, ["vendor"], history=past))
+    return rounded(constrain.fit_summary(ahead, rules, ["vendor"], history=past))
+
 
+_AUTO = _ORDERED.removeprefix(HISTORY).replace("country", "vendor")
 
-@query("constrain_auto")
+
+@query(
+    "constrain_auto",
+    select(
+        _SEASONAL + _AUTO + _problem_sql(
+            "CASE WHEN monotonic = 'increasing' THEN 0 ELSE coalesce(-smoothness_factor, '-inf'::DOUBLE) END",
+            "CASE WHEN monotonic = 'decreasing' THEN 0 ELSE coalesce(smoothness_factor, 'inf'::DOUBLE) END",
+            f"coalesce(min_value, {_ABSOLUTE[0]})", f"coalesce(max_value, {_ABSOLUTE[1]})", "LEFT JOIN rules USING (vendor)") + _chain_sql("l1"),
+        ["vendor", "measure='price'", *SUMMARY[1:]],
+        "solved",
+    ),
+)
 def _(spark, d):
     found = forecast_measures(
         history(spark, d), ["vendor"], H, "seasonal_naive", freq="month", constraints="auto", measures=("price",)
     )
-    return rounded(found["price"])
+    return rounded(found["fits"])
+
+
+@query(
+    "constrain_registered",
+    select(
+        _SEASONAL,
+        ["vendor", "date", "value~=least(greatest(avg(value) OVER (PARTITION BY vendor), 0), 1.5 * max(value) OVER (PARTITION BY vendor))",
+         "status='optimal'"],
+        "plain",
+    ),
+)
+def _(spark, d):
+    """A rule of the user's own: no steps at all, which leaves the mean."""
+    def level(dates, c):
+        return F.transform(F.slice(dates, 2, F.size(dates)), lambda _: F.struct(F.lit(0.0).alias("low"), F.lit(0.0).alias("up")))
+
+    constrain.register_constraint("level", level)
+    try:
+        return rounded(constrain.constrain_forecast(seasonal_forecast(spark, d)[1], {}, ["vendor"], "l2"))
+    finally:
+        constrain.STEP_RULES.pop("level")
 
 
 _HOLDOUT = _last_rows("country", 12) + """, rest AS (SELECT * FROM ranked WHERE back > 12),

@@ -5,7 +5,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from quotecast.functions.lineage import checkpoint
-from quotecast.operators.constrain import constrain_forecast, derive_constraints
+from quotecast.operators.constrain import constrain_forecast, derive_constraints, fit_summary
 from quotecast.operators.forecast import forecast
 from quotecast.operators.series import as_number, bucket
 from quotecast.schema import MEASURES
@@ -28,7 +28,8 @@ def forecast_measures(
     None for plain forecasts, "auto" to derive them per group from the history,
     or {measure: "auto" | dict | table}. Group columns missing from the table are
     ignored as a whole, and rows with a NULL group are left out. ``errors`` lists
-    groups without any value of a measure.
+    groups without any value of a measure. With constraints there are also ``fits``:
+    keys..., measure, cost, violation, status (see ``fit_summary``).
 
     The history is read once: means and counts per key and date of all measures go
     to the shared folder, and series, errors and monthly means come from there.
@@ -37,7 +38,7 @@ def forecast_measures(
     keys = list(keys) if all(k in history.columns for k in keys) else []
     rows = history.dropna(subset=keys) if keys else history
     means = checkpoint(_means(rows, keys, freq, measures))
-    out = {}
+    out, fits = {}, []
     for m in measures:
         series = means.select(*keys, "date", F.col(m).alias("value")).dropna(subset=["date", "value"])
         model = _for(models, m, "moving_average")
@@ -46,9 +47,12 @@ def forecast_measures(
         if rules is not None:
             if isinstance(rules, str):
                 rules = derive_constraints(rows, m, keys, rules)
+            fits.append(fit_summary(plain, rules, keys, objective, series).select(*keys, F.lit(m).alias("measure"), "cost", "violation", "status"))
             plain = constrain_forecast(plain, rules, keys, objective, history=series)
         out[m] = plain.withColumnRenamed("value", m)
     out["errors"] = _errors(means, keys, measures)
+    if fits:
+        out["fits"] = reduce(lambda a, b: a.unionByName(b), fits)
     return out
 
 
