@@ -1,7 +1,6 @@
 """Anomaly flags on one numeric column."""
 
 import sys
-from math import log
 
 import numpy as np
 import pandas as pd
@@ -9,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quotecast.functions.quantiles import quantile_values
+from quotecast.functions.quantiles import quantile_values, value_counts
 from quotecast.schema import is_numeric
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -18,6 +17,8 @@ TREES = 100
 TREE_ROWS = 256
 SHARE = 0.05
 EULER = 0.5772156649015329
+RANGE = 1 << 16
+DIGITS = 9  # mean depths are compared without the last bits of their sums
 
 
 def flag_anomalies(
@@ -65,39 +66,23 @@ def _outside_fence(df, column, threshold):
 def _isolation_forest(df, column, name, seed, trees, tree_rows):
     """Isolation forest over one column.
 
-    At most trees * tree_rows sampled values are grown into trees, one group per
-    tree. In one dimension a tree is a step function of the value, so the forest
-    is a table of at most that many steps: small enough to ship to every
-    task whatever the table's size. Every row is then scored by lookup, and the
-    cut is the 95th percentile of the scores, counted per step.
+    At most trees * tree_rows sampled values are grown into trees. In one dimension
+    a tree is a step function of the value, so the forest is a table of at most
+    that many steps: small enough to ship to every task whatever the table's size.
+    Every row is then scored by lookup, and the cut is the 5th percentile of the
+    mean depths, counted per step.
     """
     value = F.col(column).cast("double")
-    known = df.select(value.alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    # Each copy of a value has a number, and its draw is a hash of both, so the draw
-    # does not depend on how the rows are laid out. Twice as many rows as needed are
-    # drawn before the smallest ones are picked, so the pick is over a bounded number.
-    counts = known.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    wanted = trees * tree_rows
-    rows = counts.agg(F.sum("c")).first()[0] or 0
-    share = min(1.0, 2.0 * wanted / max(rows, 1))
-    copies = counts.withColumn("i", F.explode(F.sequence(F.lit(1), F.col("c"))))
-    drawn = copies.select("v", _draw(seed, "v", "i").alias("r")).where(F.col("r") < share)
-    sample = drawn.orderBy("r", "v").limit(wanted)
-    planted = _planted(sample, seed, trees, tree_rows)
-
-    def grow(pdf):
-        tree = int(pdf["tree"].iloc[0])
-        return _grow(pdf["v"].to_numpy(), np.random.default_rng([seed, tree]))
-
-    steps = planted.select("tree", "v").groupBy("tree").applyInPandas(
-        grow, "at double, gain double, base double"
-    )
-    # A step function per tree: value at minus infinity, and the change at each threshold.
-    edges = steps.groupBy("at").agg(F.sum("gain"), F.sum("base")).orderBy("at").collect()
-    if not edges:
+    places = _places(value_counts(df, [column]))
+    rows = places.agg(F.sum("c")).first()[0] or 0
+    if not rows:
         return df.withColumn(name, F.lit(False))
-    at = np.array([e[0] for e in edges])
-    depth = np.cumsum([e[1] for e in edges]) + sum(e[2] for e in edges)
+    planted = _planted(places, rows, seed, trees, tree_rows)
+    levels = int(np.ceil(np.log2(max(min(rows, tree_rows), 2))))
+    steps = _steps(_grown(planted, seed, levels), trees)
+    edges = steps.orderBy("at").collect()  # at most trees * tree_rows
+    at = np.array([e["at"] for e in edges])
+    depth = np.round(np.cumsum([e["gain"] for e in edges]), DIGITS)
     table = df.sparkSession.sparkContext.broadcast((at, depth))
 
     @F.pandas_udf("double")
@@ -110,58 +95,88 @@ def _isolation_forest(df, column, name, seed, trees, tree_rows):
     scored = df.withColumn("_path", path(value))
     counts = scored.where(F.col("_path").isNotNull()).groupBy("_path").count()
     cut = counts.agg(F.percentile("_path", F.lit(SHARE), F.col("count"))).first()[0]
-    if cut is None:
-        return df.withColumn(name, F.lit(False))
     flagged = F.coalesce(F.col("_path") < F.lit(cut), F.lit(False))
     return scored.withColumn(name, flagged).drop("_path")
 
 
-def _draw(seed, *columns):
-    """A number in [0, 1) from a hash of the columns."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 52)) / F.lit(float(1 << 52))
+def _places(counts):
+    """v, c, first: how often each value occurs and its first place among all rows in order, from 0."""
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    parts = counts.groupBy("_part").agg(F.sum("_c").alias("_rows"))
+    parts = parts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_base"))
+    within = Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_c").over(within), F.lit(0)))
+    return placed.join(parts, "_part").select(
+        F.col("_v").alias("v"), F.col("_c").alias("c"), (F.col("_base") + F.col("_before")).alias("first")
+    )
 
 
-def _planted(sample, seed, trees, tree_rows):
-    """Rows per tree: a full sample is dealt out, a smaller one is drawn from by every tree."""
-    dealt = Window.partitionBy(F.lit(0))
-    numbered = sample.withColumns({
-        "n": F.count(F.lit(1)).over(dealt),
-        "i": F.row_number().over(dealt.orderBy("r", "v")) - 1,
-    })
-    own = F.array(F.floor(F.col("i") / tree_rows).cast("int"))
-    every = F.sequence(F.lit(0), F.lit(trees - 1))
-    full = F.col("n") == trees * tree_rows
-    placed = numbered.withColumn("tree", F.explode(F.when(full, own).otherwise(every)))
-    turn = Window.partitionBy("tree").orderBy(F.xxhash64("i", "tree", F.lit(seed)))
-    return placed.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= tree_rows)
-
-
-def _expected_depth(n):
-    """Mean depth of an unsuccessful search among n values."""
-    if n <= 1:
-        return 0.0
-    return 1.0 if n == 2 else 2.0 * (log(n - 1.0) + EULER) - 2.0 * (n - 1.0) / n
-
-
-def _grow(values, rng):
-    """One tree as steps: (threshold, change of depth above it, depth below all)."""
-    limit = int(np.ceil(np.log2(max(len(values), 2))))
-    leaves = []
-    todo = [(-np.inf, np.sort(values), 0)]
-    while todo:
-        low, part, depth = todo.pop()
-        if depth >= limit or len(part) < 2 or part[0] == part[-1]:
-            leaves.append((low, depth + _expected_depth(len(part))))
-            continue
-        split = rng.uniform(part[0], part[-1])
-        i = int(np.searchsorted(part, split, "right"))
-        todo.append((low, part[:i], depth + 1))
-        todo.append((split, part[i:], depth + 1))
-    leaves.sort()
-    at = [low for low, _ in leaves]
-    depth = np.array([d for _, d in leaves])
-    return pd.DataFrame({
-        "at": at,
-        "gain": np.diff(depth, prepend=depth[0]),
-        "base": np.where(np.arange(len(depth)) == 0, depth[0], 0.0),
+def _hash(*parts):
+    """Hex digits that depend on the parts alone."""
+    return F.md5(F.concat_ws(":", *(p.cast("string") for p in parts)).cast("binary"))
+
+
+def _unit(digits):
+    """A number in [0, 1) from hex digits."""
+    return F.conv(F.substring(digits, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def _planted(places, rows, seed, trees, tree_rows):
+    """tree, v: the values each tree grows from.
+
+    A row's draw is a hash of its place in sorted order, so it does not depend on
+    how the rows are laid out. The smallest draws are dealt out to the trees; where there
+    are too few rows for that, every tree draws its own from all of them. Rows
+    of one value are expanded range by range, spread over the tasks; twice as many as
+    needed pass before the smallest are picked, so the pick is over a bounded number.
+    """
+    wanted = trees * tree_rows
+    ranges = F.sequence(F.col("first"), F.col("first") + F.col("c") - 1, F.lit(RANGE))
+    ranged = places.select("v", (F.col("first") + F.col("c")).alias("end"), F.explode(ranges).alias("start"))
+    ranged = ranged.repartition("start")
+    ends = F.least(F.col("start") + RANGE, F.col("end")) - 1
+    drawn = ranged.select("v", F.explode(F.sequence("start", ends)).alias("place")).withColumn("r", _hash(F.lit(seed), F.col("place")))
+    if rows < wanted:
+        turn = Window.partitionBy("tree").orderBy(_hash(F.lit(seed), F.col("tree"), F.col("place")))
+        every = drawn.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+        return every.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= tree_rows).select("tree", "v")
+    few = drawn.where(_unit(F.col("r")) < min(1.0, 2.0 * wanted / rows)).orderBy("r").limit(wanted)
+    dealt = Window.partitionBy(F.lit(0)).orderBy("r")  # at most trees * tree_rows
+    return few.select(F.floor((F.row_number().over(dealt) - 1) / tree_rows).cast("int").alias("tree"), "v")
+
+
+def _grown(planted, seed, levels):
+    """The values with the node each ends in: tree, v, node, low (what values there exceed), depth.
+
+    All trees grow by one level at a time: a node's values are parted at a place
+    between its smallest and its largest, drawn by a hash of tree and node, unless it
+    holds one value only. Nodes are numbered as in a heap. Rows stay with their tree.
+    """
+    grown = planted.repartition("tree").withColumns({
+        "node": F.lit(1), "low": F.lit(float("-inf")), "depth": F.lit(0)
     })
+    node = Window.partitionBy("tree", "node")
+    for _ in range(levels):
+        least, most = F.min("v").over(node), F.max("v").over(node)
+        grown = grown.withColumns({"_least": least, "_most": most})
+        draw = _unit(_hash(F.lit(seed), F.lit("split"), F.col("tree"), F.col("node")))
+        grown = grown.withColumn("_split", F.col("_least") + draw * (F.col("_most") - F.col("_least")))
+        open_, above = F.col("_least") < F.col("_most"), F.col("v") > F.col("_split")
+        grown = grown.select(
+            "tree", "v",
+            F.when(open_, F.col("node") * 2 + above.cast("int")).otherwise(F.col("node")).alias("node"),
+            F.when(open_ & above, F.col("_split")).otherwise(F.col("low")).alias("low"),
+            (F.col("depth") + open_.cast("int")).alias("depth"),
+        )
+    return grown
+
+
+def _steps(grown, trees):
+    """at, gain: the mean depth of all trees rises by gain for values above at."""
+    n = F.count(F.lit(1))
+    # The mean depth of an unsuccessful search among the values left in a leaf.
+    left = F.when(n == 1, 0.0).when(n == 2, 1.0).otherwise(2 * (F.log(n - 1.0) + EULER) - 2 * (n - 1.0) / n)
+    leaves = grown.groupBy("tree", "node").agg(F.max("low").alias("at"), (F.max("depth") + left).alias("d"))
+    in_order = Window.partitionBy("tree").orderBy("at")
+    gains = leaves.select("at", (F.col("d") - F.coalesce(F.lag("d").over(in_order), F.lit(0.0))).alias("gain"))
+    return gains.groupBy("at").agg((F.sum("gain") / trees).alias("gain"))

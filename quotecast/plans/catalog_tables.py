@@ -522,7 +522,35 @@ for _name, _expr in (
         return rounded(flagged.select("part_number", "vendor", "date", "price", "anomaly"))
 
 
-@query("anomalies_isolation_forest")
+_FOREST = f"""{DIRTY}, src AS (SELECT price AS v, row_number() OVER (ORDER BY price) - 1 AS place FROM dirty WHERE price IS NOT NULL),
+    dealt AS (SELECT v, place, row_number() OVER (ORDER BY md5('42:' || place)) - 1 AS i, count(*) OVER () AS n FROM src),
+    drawn AS (
+      SELECT t AS tree, v, row_number() OVER (PARTITION BY t ORDER BY md5('42:' || t || ':' || place)) AS turn
+      FROM dealt, range(0, 100) AS x(t) WHERE n < 25600),
+    planted AS (SELECT i // 256 AS tree, v, n FROM dealt WHERE n >= 25600 AND i < 25600
+                UNION ALL SELECT tree, v, (SELECT count(*) FROM src) FROM drawn WHERE turn <= 256),
+    grown AS (
+      SELECT tree, v, 1 AS node, '-inf'::DOUBLE AS low, 0 AS depth, ceil(log2(greatest(least(n, 256), 2))) AS levels FROM planted
+      UNION ALL
+      SELECT tree, v, 2 * node + (v > split)::INT, CASE WHEN v > split THEN split ELSE low END, depth + 1, levels
+      FROM (SELECT *, least_v + ('0x' || md5('42:split:' || tree || ':' || node)[1:13])::BIGINT / 4503599627370496::DOUBLE * (most_v - least_v) AS split
+            FROM (SELECT *, min(v) OVER w AS least_v, max(v) OVER w AS most_v FROM grown WHERE depth < levels WINDOW w AS (PARTITION BY tree, node)))
+      WHERE least_v < most_v),
+    leaves AS (
+      SELECT tree, any_value(low) AS edge, depth + CASE count(*) WHEN 1 THEN 0 WHEN 2 THEN 1
+             ELSE 2 * (ln(count(*) - 1) + 0.5772156649015329::DOUBLE) - 2 * (count(*) - 1) / count(*) END AS d
+      FROM grown GROUP BY tree, node, depth, levels HAVING depth = levels OR min(v) = max(v)),
+    steps AS (SELECT edge, sum(gain) / 100 AS gain FROM (
+      SELECT edge, d - coalesce(lag(d) OVER (PARTITION BY tree ORDER BY edge), 0) AS gain FROM leaves) GROUP BY edge),
+    curve AS (SELECT edge, round(sum(gain) OVER (ORDER BY edge), 9) AS path FROM steps),
+    scored AS (SELECT dirty.*, path FROM dirty ASOF LEFT JOIN curve ON price > edge),
+    cut AS (SELECT quantile_cont(path, 0.05::DOUBLE) AS cut FROM scored)"""
+
+
+@query(
+    "anomalies_isolation_forest",
+    select(_FOREST, "part_number vendor date price~ anomaly=coalesce(path<cut,false)", "scored, cut"),
+)
 def _(spark, d):
     flagged = anomaly.flag_anomalies(dirty_history(spark, d), "price", "isolation_forest")
     return rounded(flagged.select("part_number", "vendor", "date", "price", "anomaly"))

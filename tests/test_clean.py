@@ -138,6 +138,19 @@ def test_isolation_forest_is_the_same_in_any_layout(spark):
     assert flagged(2) == flagged(7)
 
 
+def test_isolation_forest_splits_a_hot_value(spark, monkeypatch):
+    """One value in half of the rows is expanded range by range, with the same draws."""
+    rows = spark.range(60_000).select("id", F.when(F.col("id") % 2 == 0, 7.0).otherwise(F.col("id") % 101 / 3.0).alias("x"))
+
+    def flagged():
+        got = anomaly.flag_anomalies(rows, "x", "isolation_forest")
+        return sorted(r.id for r in got.where("anomaly").collect())
+
+    whole = flagged()
+    monkeypatch.setattr(anomaly, "RANGE", 1000)
+    assert flagged() == whole and whole
+
+
 def test_cleaning_summary(dirty):
     rows = {r["column"]: r for r in clean.cleaning_summary(dirty, clean.clean(dirty)).collect()}
     assert rows["price"].raw_missing == as_pandas(dirty).price.isna().sum()
