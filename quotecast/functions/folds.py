@@ -123,3 +123,71 @@ def line(xs, start, stop):
     )
     base = F.when(count == 1, y0 / (start * start + 1.0)).otherwise(mean(ys) - slope * x_mid)
     return F.struct(slope.alias("slope"), base.alias("intercept"))
+
+
+def pairs_at(xs, lag):
+    """Array of struct(a, b): every known element with the known one ``lag`` places before."""
+    later = F.slice(xs, lag + 1, F.greatest(F.size(xs) - lag, F.lit(0)))
+    both = F.transform(later, lambda x, i: F.struct(x.alias("a"), F.get(xs, i).alias("b")))
+    return F.filter(both, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+
+
+def comoments(pairs):
+    """struct(n, saa, sbb, sab, same_a, same_b): sums of products about the means, and
+    whether a side has one value only (whose sums may be off zero by a last bit)."""
+    sides = F.struct(
+        pairs.alias("ps"), F.transform(pairs, lambda p: p["a"]).alias("a"), F.transform(pairs, lambda p: p["b"]).alias("b")
+    )
+
+    def sums(w):
+        centre = F.struct(w["ps"].alias("ps"), mean(w["a"]).alias("a"), mean(w["b"]).alias("b"))
+
+        def about(product):
+            return let(centre, lambda c: total(F.transform(c["ps"], lambda p: product(p["a"] - c["a"], p["b"] - c["b"]))))
+
+        return F.struct(
+            F.size(w["ps"]).alias("n"),
+            about(lambda a, b: a * a).alias("saa"),
+            about(lambda a, b: b * b).alias("sbb"),
+            about(lambda a, b: a * b).alias("sab"),
+            (F.array_min(w["a"]) == F.array_max(w["a"])).alias("same_a"),
+            (F.array_min(w["b"]) == F.array_max(w["b"])).alias("same_b"),
+        )
+
+    return let(sides, sums)
+
+
+def correlation(pairs):
+    """Pearson over struct(a, b) pairs; NULL without pairs or where a side is constant."""
+    return let(
+        comoments(pairs),
+        lambda m: F.when((m["n"] > 0) & ~m["same_a"] & ~m["same_b"], F.try_divide(m["sab"], F.sqrt(m["saa"] * m["sbb"]))),
+    )
+
+
+def variance(xs):
+    """Sample variance of the known values; NULL below two."""
+    known = F.filter(xs, lambda x: x.isNotNull())
+    about = lambda w: total(F.transform(w["xs"], lambda x: (x - w["m"]) * (x - w["m"])))
+    both = F.struct(known.alias("xs"), mean(known).alias("m"))
+    return let(both, lambda w: F.when(F.size(w["xs"]) > 1, about(w) / F.greatest(F.size(w["xs"]) - 1, F.lit(1))))
+
+
+def interpolated(xs):
+    """NULLs on a straight line by position; trailing ones take the last known value,
+    those before the first known one stay."""
+    placed = F.transform(xs, lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    known = F.filter(placed, lambda k: k["x"].isNotNull())
+
+    def fill(ks):
+        def at(x, i):
+            before = F.get(F.reverse(F.filter(ks, lambda k: k["i"] < i)), F.lit(0))
+            after = F.get(F.filter(ks, lambda k: k["i"] > i), F.lit(0))
+            ends = F.struct(before.alias("p"), after.alias("q"))
+            line = lambda e: e["p"]["x"] + (e["q"]["x"] - e["p"]["x"]) / F.nullif(e["q"]["i"] - e["p"]["i"], F.lit(0)) * (i - e["p"]["i"])
+            between = let(ends, lambda e: F.when(e["q"].isNull(), e["p"]["x"]).when(e["p"].isNotNull(), line(e)))
+            return F.when(x.isNotNull(), x).otherwise(between)
+
+        return F.transform(xs, at)
+
+    return F.when(F.exists(xs, lambda x: x.isNull()), let(known, fill)).otherwise(xs)

@@ -70,14 +70,15 @@ def _isolation_forest(df, column, name, seed, trees, tree_rows):
     a tree is a step function of the value, so the forest is a table of at most
     that many steps: small enough to ship to every task whatever the table's size.
     Every row is then scored by lookup, and the cut is the 5th percentile of the
-    mean depths, counted per step.
+    mean depths, counted from the value counts: the table is read once for the forest
+    and once for its rows.
     """
     value = F.col(column).cast("double")
-    places = _places(value_counts(df, [column]))
-    rows = places.agg(F.sum("c")).first()[0] or 0
+    counts = value_counts(df, [column])
+    rows = counts.agg(F.sum("_c")).first()[0] or 0
     if not rows:
         return df.withColumn(name, F.lit(False))
-    planted = _planted(places, rows, seed, trees, tree_rows)
+    planted = _planted(_places(counts), rows, seed, trees, tree_rows)
     levels = int(np.ceil(np.log2(max(min(rows, tree_rows), 2))))
     steps = _steps(_grown(planted, seed, levels), trees)
     edges = steps.orderBy("at").collect()  # at most trees * tree_rows
@@ -92,11 +93,9 @@ def _isolation_forest(df, column, name, seed, trees, tree_rows):
         out = pd.Series(mean[np.clip(np.searchsorted(edge, x, "left") - 1, 0, None)])
         return out.where(~np.isnan(x))
 
-    scored = df.withColumn("_path", path(value))
-    counts = scored.where(F.col("_path").isNotNull()).groupBy("_path").count()
-    cut = counts.agg(F.percentile("_path", F.lit(SHARE), F.col("count"))).first()[0]
-    flagged = F.coalesce(F.col("_path") < F.lit(cut), F.lit(False))
-    return scored.withColumn(name, flagged).drop("_path")
+    per_step = counts.groupBy(path(F.col("_v")).alias("path")).agg(F.sum("_c").alias("n"))
+    cut = per_step.agg(F.percentile("path", F.lit(SHARE), F.col("n"))).first()[0]
+    return df.withColumn(name, F.coalesce(path(value) < F.lit(cut), F.lit(False)))
 
 
 def _places(counts):

@@ -173,3 +173,25 @@ def test_seasonality_profile(series_of):
     assert got["a"].period == 12 and got["c"].pattern is None
     assert got["a"].peak_month == by_month.idxmax()
     assert got["a"].pattern[3] == pytest.approx(by_month[3] / s.mean() * 100)
+
+
+def test_one_pass_over_folded_series(series_of):
+    """Each of these shuffles once, for the fold, and needs no window or join."""
+    df = series_of(a=wave(60), b=wave(30))
+    for found in (features, detect_period, seasonality_profile):
+        plan = found(df, ["k"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Window" not in plan and "Join" not in plan and "Generate" not in plan
+
+
+def test_features_with_gaps(series_of):
+    """Missing values are no part of statistics and pairs, but keep their places."""
+    s = wave(40)
+    s.iloc[[0, 3, 20, 39]] = np.nan
+    row = features(series_of(a=s), ["k"]).first()
+    assert (row["n"], row["mean"], row["median"]) == (40, pytest.approx(s.mean()), pytest.approx(s.median()))
+    assert row["std"] == pytest.approx(s.std())
+    assert row.autocorrelation_lag1 == pytest.approx(s.autocorr(1))
+    assert row.autocorrelation_seasonal == pytest.approx(s.autocorr(12))
+    known = s.dropna()
+    assert row.trend_slope == pytest.approx(np.polyfit(np.flatnonzero(s.notna()), known.to_numpy(), 1)[0])
+    assert row.recent_trend == "mixed"
