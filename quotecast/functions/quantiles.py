@@ -9,8 +9,8 @@
    most as many of those rows as groups and parts together.
 4. Only parts that hold a wanted rank are ordered, each on its own.
 
-The input is read once, nothing depends on a row count, and infinite values are
-ordinary values.
+The input is read once, also for mean and deviation, which come from the value
+counts; nothing depends on a row count, and infinite values are ordinary values.
 """
 
 from functools import reduce
@@ -22,18 +22,46 @@ from quotecast.functions.columns import join_on_keys, nan_to_null
 from quotecast.functions.lineage import checkpoint
 
 
-def value_counts(df, columns, keys=()):
-    """keys..., column, _v, _c, _part: how often each value occurs, laid out by range."""
+def value_counts(df, columns, keys=(), weight=None, missing=False):
+    """keys..., column, _v, _c, _part: how often each value occurs, laid out by range.
+
+    With ``missing`` there is a NULL value too, so that every group is present.
+    ``weight`` names a column with the number of rows that a row stands for.
+    """
     group = [*keys, "column"]
-    known = _long(df, columns, keys).where(F.col("_v").isNotNull())
-    counts = known.groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    known = _long(df, columns, keys, weight)
+    if not missing:
+        known = known.where(F.col("_v").isNotNull())
+    amount = F.sum("_w") if weight else F.count(F.lit(1))
+    counts = known.groupBy(*group, "_v").agg(amount.alias("_c"))
     laid_out = counts.repartitionByRange(*group, "_v")
     return checkpoint(laid_out.withColumn("_part", F.spark_partition_id()))
 
 
+def moments_of(counts, keys=()):
+    """Rows (keys..., column, n, min, max, mean, std) from value counts, for every group.
+
+    Deviations are taken from the mean, which is small next to the counts.
+    """
+    group = [*keys, "column"]
+    v, c = F.col("_v"), F.col("_c")
+    held = F.when(v.isNotNull(), c)
+    first = counts.groupBy(*group).agg(
+        F.coalesce(F.sum(held), F.lit(0)).alias("n"),
+        F.min(v).alias("min"),
+        F.max(v).alias("max"),
+        F.sum(v * c).alias("_sum"),
+    ).withColumn("mean", F.col("_sum") / F.nullif(F.col("n"), F.lit(0))).drop("_sum")
+    apart = (v - F.col("mean")) * (v - F.col("mean")) * c
+    spread = join_on_keys(counts, first.select(*group, "mean"), group).groupBy(*group).agg(F.sum(apart).alias("_m2"))
+    std = F.when(F.col("n") > 1, F.sqrt(F.col("_m2") / (F.col("n") - 1)))
+    return join_on_keys(first, spread, group).withColumn("std", std).drop("_m2")
+
+
 def quantiles_of(counts, probs, keys=()):
     """Rows (keys..., column, n, q) from value counts."""
     group = [*keys, "column"]
+    counts = counts.where(F.col("_v").isNotNull())
     parts = counts.groupBy(*group, "_part").agg(F.sum("_c").alias("_rows"))
     whole = Window.partitionBy(*group)
     earlier = whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
@@ -83,19 +111,20 @@ def _between(low, high, fraction):
     )
 
 
-def exact_quantiles(df, columns, probs, keys=(), also=()):
+def exact_quantiles(df, columns, probs, keys=(), moments=False, weight=None):
     """Quantiles of every column: rows (keys..., column, n, q) where there are values.
 
     ``q`` is an array in the order of ``probs``; ``n`` counts non-null values.
-    Between minus and plus infinity there is no value: NULL. ``also`` holds further
-    aggregates over ``_v``; with it, groups without values are kept.
+    Between minus and plus infinity there is no value: NULL. With ``moments`` there
+    are min, max, mean and std too, and groups without values are kept. ``weight``: see
+    ``value_counts``.
     """
-    found = quantiles_of(value_counts(df, columns, keys), probs, keys)
-    if not also:
+    counts = value_counts(df, columns, keys, weight, missing=moments)
+    found = quantiles_of(counts, probs, keys)
+    if not moments:
         return found
     group = [*keys, "column"]
-    others = _long(df, columns, keys).groupBy(*group).agg(*also)
-    return join_on_keys(others, found, group, "left")
+    return join_on_keys(moments_of(counts, keys), found.drop("n"), group, "left")
 
 
 def quantile_values(df, columns, probs):
@@ -104,10 +133,11 @@ def quantile_values(df, columns, probs):
     return {c: found.get(c) or [None] * len(probs) for c in columns}
 
 
-def _long(df, columns, keys):
-    """One row per value: keys..., column, _v; NaN counts as missing."""
+def _long(df, columns, keys, weight=None):
+    """One row per value: keys..., column, _v (and _w); NaN counts as missing."""
     values = [nan_to_null(F.col(c).cast("double")) for c in columns]
+    more = [F.col(weight).alias("_w")] if weight else []
     if len(columns) == 1:
-        return df.select(*keys, F.lit(columns[0]).alias("column"), values[0].alias("_v"))
+        return df.select(*keys, F.lit(columns[0]).alias("column"), values[0].alias("_v"), *more)
     pairs = [F.struct(F.lit(c).alias("column"), v.alias("_v")) for c, v in zip(columns, values)]
-    return df.select(*keys, F.inline(F.array(*pairs)))
+    return df.select(*keys, *more, F.inline(F.array(*pairs)))

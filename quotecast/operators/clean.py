@@ -10,7 +10,7 @@ projection that no later action recomputes statistics for.
 from pyspark.sql import functions as F
 
 from quotecast.functions.columns import clamp
-from quotecast.functions.ordered import blend, carry_back, carry_forward, neighbours
+from quotecast.functions.ordered import blend, carry_back, carry_forward, near_rows
 from quotecast.functions.quantiles import quantile_values
 from quotecast.operators.filters import drop_incomplete
 from quotecast.schema import MEASURES, is_numeric, is_temporal
@@ -107,14 +107,14 @@ class _Cleaning:
 
     def _fill(self, df, wanted):
         gaps = {c: how for c, how in wanted.items() if self.nulls[c]}
-        fills, drops = {}, []
+        fills, drops, ordered = {}, [], {}
         means, medians = [], []
         for c, how in gaps.items():
             number = is_numeric(df, c)
             if how == "mode":
                 fills[c] = _most_frequent(df, c)
             elif how in ORDERED_FILLS and (number or how != "interpolate"):
-                df = self._ordered_fill(df, c, how)
+                ordered[c] = how
                 if not number:
                     drops.append(c)
                 elif self.keys or self.nulls[c] == self.rows:
@@ -125,6 +125,8 @@ class _Cleaning:
                 fills[c] = 0
             else:
                 (means if how == "mean" else medians).append(c)
+        if ordered:
+            df = self._ordered_fill(df, ordered)
         if means:
             row = df.agg(*[F.avg(c).alias(c) for c in means]).first()
             fills.update(row.asDict())
@@ -138,11 +140,15 @@ class _Cleaning:
         df = df.withColumns(values) if values else df
         return df.dropna(subset=drops) if drops else df
 
-    def _ordered_fill(self, df, column, how):
+    def _ordered_fill(self, df, ordered):
+        """Fills that follow the order of the rows: one sort for all columns."""
         columns = df.columns
-        kind = "double" if how == "interpolate" else df.schema[column].dataType
-        scanned = neighbours(df, self.keys, self.order_by, column)
-        return scanned.withColumn(column, ORDERED_FILLS[how]().cast(kind)).select(*columns)
+        scanned = near_rows(df, self.keys, self.order_by, list(ordered))
+        near = F.col("_near")
+        return scanned.withColumns({
+            c: ORDERED_FILLS[how](near[c]["back"], near[c]["ahead"]).cast("double" if how == "interpolate" else df.schema[c].dataType)
+            for c, how in ordered.items()
+        }).select(*columns)
 
     def _treat_outliers(self, df, treated):
         bounds = outlier_bounds(df, list(treated))

@@ -34,14 +34,7 @@ def _unfold(df, columns, aggs, names):
 def describe(df, columns=None):
     """column, count, mean, std, min, q25, q50, q75, max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    v = F.col("_v")
-    also = [
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-    ]
-    found = exact_quantiles(df, columns, QUARTILES, also=also)
+    found = exact_quantiles(df, columns, QUARTILES, moments=True)
     names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
     return names.join(found, "column", "left").select(
         "column",
@@ -175,26 +168,21 @@ def ols_trend(df, x, y, by=()):
     )
 
 
-def stats(df, value, by=()):
-    """by..., min, max, mean, median, std, range, count."""
+def stats(df, value, by=(), weight=None):
+    """by..., min, max, mean, median, std, range, count.
+
+    ``weight`` names a column with the number of rows that a row stands for.
+    """
     rows = df.dropna(subset=list(by)) if by else df
-    v = F.col("_v")
-    also = [
-        F.min(v).alias("min"),
-        F.max(v).alias("max"),
-        F.avg(v).alias("mean"),
-        F.stddev_samp(v).alias("std"),
-        (F.max(v) - F.min(v)).alias("range"),
-    ]
-    found = exact_quantiles(rows, [value], [0.5], by, also)
+    found = exact_quantiles(rows, [value], [0.5], by, moments=True, weight=weight)
     return found.select(
         *by,
         "min",
         "max",
         "mean",
         "std",
-        "range",
-        F.coalesce("n", F.lit(0)).alias("count"),
+        (F.col("max") - F.col("min")).alias("range"),
+        F.col("n").alias("count"),
         F.col("q")[0].alias("median"),
     )
 
@@ -202,18 +190,22 @@ def stats(df, value, by=()):
 def stats_by_each(df, value, groups):
     """Statistics by every grouping column and overall: group, key, min ... count.
 
-    The rows are tagged once per grouping column, so one aggregate serves all;
-    ``group`` tells the sets apart, whatever the keys hold.
+    Rows are counted once for all grouping columns and the value together; those
+    counts are rolled up for each set, so one aggregate serves all. ``group`` tells the
+    sets apart, whatever the keys hold.
     """
     tags = [F.struct(F.lit("all").alias("group"), F.lit(None).cast("string").alias("key"))]
     tags += [
-        F.struct(F.lit(g).alias("group"), F.col(g).cast("string").alias("key")) for g in groups
+        F.struct(F.lit(g).alias("group"), F.col(f"_{g}").cast("string").alias("key")) for g in groups
     ]
-    rows = df.select(value, F.inline(F.array(*tags))).where(
+    fine = df.groupBy(*[F.col(g).alias(f"_{g}") for g in groups], F.col(value).alias("_value")).agg(
+        F.count(F.lit(1)).alias("_rows")
+    )
+    rows = fine.select("_value", "_rows", F.inline(F.array(*tags))).where(
         (F.col("group") == "all") | F.col("key").isNotNull()
     )
     rows = rows.withColumn("key", F.coalesce("key", F.lit("")))
-    return stats(rows, value, ["group", "key"])
+    return stats(rows, "_value", ["group", "key"], weight="_rows")
 
 
 def monthly_mean(df, value, by=(), date="date"):

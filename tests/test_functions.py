@@ -43,6 +43,31 @@ def test_quantiles_equal_exact_percentile(spark, skewed, keys):
             assert got[k][1] == pytest.approx(q, rel=1e-12)
 
 
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_moments_equal_plain_aggregates(spark, skewed, keys):
+    """Also for values far from zero, single values, and groups without any."""
+    rows = skewed.unionByName(spark.range(3).select(F.lit("none").alias("k"), F.lit(None).cast("double").alias("a"), F.lit(float("nan")).alias("b")))
+    rows = rows.withColumn("b", F.col("b") + 1e9)
+    found = quantiles.exact_quantiles(rows, ["a", "b"], [0.5], keys, moments=True)
+    got = {tuple(r[k] for k in [*keys, "column"]): r for r in found.collect()}
+    for c in ("a", "b"):
+        v = F.when(~F.isnan(c), F.col(c))
+        plain = rows.groupBy(*keys).agg(F.count(v), F.min(v), F.max(v), F.avg(v), F.stddev_samp(v))
+        for *key, n, least, most, mean, std in plain.collect():
+            row = got.pop((*key, c))
+            assert (row["n"], row["min"], row["max"]) == (n, least, most)
+            assert row["mean"] == (None if mean is None else pytest.approx(mean, rel=1e-12))
+            assert row["std"] == (None if std is None else pytest.approx(std, rel=1e-7, abs=1e-9))
+    assert not got
+
+
+def test_weighted_counts(spark):
+    df = spark.createDataFrame([("x", 1.0, 2), ("x", 5.0, 1), ("y", None, 4), ("x", 1.0, 1)], "k string, v double, w int")
+    got = {r.k: r for r in quantiles.exact_quantiles(df, ["v"], [0.5], ["k"], moments=True, weight="w").collect()}
+    assert (got["x"]["n"], got["x"]["mean"], got["x"]["q"]) == (4, 2.0, [1.0])
+    assert (got["y"]["n"], got["y"]["mean"], got["y"]["q"]) == (0, None, None)
+
+
 def test_quantiles_match_numpy(skewed):
     values = [r["a"] for r in skewed.where("a is not null").select("a").collect()]
     found = quantiles.quantile_values(skewed, ["a"], PROBS)["a"]
@@ -94,6 +119,36 @@ def test_chunked_order_equals_one_window(skewed, keys):
     assert rows(False) == rows(True)
 
 
+@pytest.mark.parametrize("parts, batch", [(1, 3), (2, 10_000), (13, 2), (40, 1), (13, 7)])
+def test_scans_meet_over_batches_and_tasks(spark, parts, batch):
+    """Long gaps, keys over many tasks, several columns and types, repeated rows: as one window per key."""
+    rng = np.random.default_rng(parts * 31 + batch)
+    rows = []
+    for i in range(400):
+        k = None if i % 50 == 0 else f"k{int(rng.integers(0, 4)) if i % 3 else 0}"
+        rows.append((k, int(rng.integers(0, 90)), float(i) if rng.random() < 0.15 else None, f"s{i}" if rng.random() < 0.3 else None))
+    rows += [("hot", 1, 2.0, None)] * 150 + [("none", i, None, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "k string, o int, a double, b string").repartition(3)
+    usual = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keys in ([], ["k"]):
+            order = ["o"] if keys else ["k", "o"]
+            got = ordered.near_rows(df, keys, order, ["a", "b"])
+            for c in "ab":
+                shown = ["k", "o", "a", "b", "_pos"]
+                near = [F.col("_near")[c][x].alias(f"_{x}") for x in ("back", "ahead", "lag")]
+                want = ordered.neighbours(df, keys, [*order, "a", "b"], c, bounded=True)
+                want = want.select(*shown, "_back", "_ahead", "_lag")
+                assert sorted(map(str, got.select(*shown, *near).collect())) == sorted(map(str, want.collect()))
+    finally:
+        for c, v in usual.items():
+            spark.conf.set(c, v)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def _best(v, low, up, lo, hi, cost):
     """Brute force over an integer grid."""
     grid = np.arange(lo, hi + 1)
