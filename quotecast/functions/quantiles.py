@@ -129,7 +129,13 @@ def exact_quantiles(df, columns, probs, keys=(), moments=False, weight=None):
 
 def quantile_values(df, columns, probs):
     """Whole-table quantiles on the driver: {column: [q...]}, a handful of numbers."""
-    found = {r["column"]: r["q"] for r in exact_quantiles(df, columns, probs).collect()}
+    return counted_quantiles(value_counts(df, columns), columns, probs)
+
+
+def counted_quantiles(counts, columns, probs):
+    """``quantile_values`` from value counts of these and maybe other columns."""
+    rows = quantiles_of(counts.where(F.col("column").isin(list(columns))), probs)
+    found = {r["column"]: r["q"] for r in rows.collect()}
     return {c: found.get(c) or [None] * len(probs) for c in columns}
 
 

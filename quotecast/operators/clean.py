@@ -2,25 +2,31 @@
 
 Columns are cleaned in the configured order. A column's statistics depend only
 on its own values and on which rows are left, so consecutive columns whose
-strategies drop no rows share one round of statistics. The statistics are a few
-numbers per column and become literals, so the cleaned table is a plain
-projection that no later action recomputes statistics for.
+strategies drop no rows share one round of statistics: one read of the input counts
+the values of all of them, and gaps, means, medians, fences and tails come from those counts.
+Only modes of columns that are no numbers, and values that a fill along the
+rows has put in, are counted apart. The statistics are a few numbers per column and become
+literals, so the cleaned table is a plain projection that no later action
+recomputes statistics for.
 """
 
 from pyspark.sql import functions as F
 
-from quotecast.functions.columns import clamp
+from quotecast.functions.columns import clamp, nan_to_null
+from quotecast.functions.lineage import checkpoint
 from quotecast.functions.ordered import blend, carry_back, carry_forward, near_rows
-from quotecast.functions.quantiles import quantile_values
+from quotecast.functions.quantiles import counted_quantiles, quantile_values, value_counts
 from quotecast.operators.filters import drop_incomplete
 from quotecast.schema import MEASURES, is_numeric, is_temporal
 
 ORDERED_FILLS = {"interpolate": blend, "ffill": carry_forward, "bfill": carry_back}
 MISSING_STRATEGIES = ("drop", "mean", "median", "mode", "zero", *ORDERED_FILLS)
+COUNTED_FILLS = ("mean", "median", "mode")
 OUTLIER_STRATEGIES = ("clip", "remove", "iqr", "winsorize")
 DROPPING_OUTLIERS = ("remove", "iqr")
 FENCE = 1.5
 TAILS = (0.05, 0.95)
+BOUNDS = (TAILS[0], 0.25, 0.75, TAILS[1])
 
 
 def default_config(df):
@@ -52,11 +58,8 @@ def clean(df, config=None, keys=(), order_by=("date",)):
         return drop_incomplete(df)
     for c, s in plan:
         _check(c, s)
-    nulls = df.agg(
-        F.count(F.lit(1)).alias("_rows"),
-        *[F.count_if(F.col(c).isNull()).alias(c) for c, _ in plan],
-    ).first()
-    run = _Cleaning(nulls.asDict(), keys, order_by)
+    run = _Cleaning(keys, order_by)
+    run.count(df, plan)
     stage = []
     for c, strategy in plan:
         if run.may_drop(df, c, strategy):
@@ -76,15 +79,30 @@ def _check(column, strategy):
 
 
 class _Cleaning:
-    """What one call of clean knows up front: null counts and order.
+    """What one call of clean knows: value counts, gaps and order.
 
     Rows only ever leave, so a column without gaps at the start never has any.
     """
 
-    def __init__(self, nulls, keys, order_by):
-        self.rows = nulls.pop("_rows")
-        self.nulls = nulls
+    def __init__(self, keys, order_by):
         self.keys, self.order_by = keys, order_by
+        self.counts = self.nulls = None
+
+    def count(self, df, plan):
+        """Count the values of all columns in one read; where their strategies need none, only the gaps."""
+        columns = [c for c, _ in plan]
+        told = [
+            F.col(c) if is_numeric(df, c) and (s.get("outlier") or s.get("missing") in COUNTED_FILLS)
+            else F.when(F.col(c).isNotNull(), 0.0).alias(c)
+            for c, s in plan
+        ]
+        self.counts = value_counts(df.select(*told), columns, missing=True)
+        if self.nulls is None:
+            gaps = self.counts.groupBy("column").agg(
+                F.sum("_c").alias("rows"), F.sum(F.when(F.col("_v").isNull(), F.col("_c")).otherwise(0)).alias("gaps"))
+            found = {r["column"]: r for r in gaps.collect()}
+            self.rows = max((r["rows"] for r in found.values()), default=0)
+            self.nulls = {c: found[c]["gaps"] if c in found else 0 for c in columns}
 
     def may_drop(self, df, column, strategy):
         number = is_numeric(df, column)
@@ -97,22 +115,27 @@ class _Cleaning:
 
     def stage(self, df, columns):
         """Columns cleaned together: none of them drops rows, or there is only one."""
-        df = self._fill(df, {c: s["missing"] for c, s in columns if s.get("missing")})
+        if not columns:
+            return df
+        if self.counts is None:
+            self.count(df, columns)
         treated = {c: s["outlier"] for c, s in columns if s.get("outlier") and is_numeric(df, c)}
-        return self._treat_outliers(df, treated) if treated else df
+        before = df
+        df, counts = self._fill(df, {c: s["missing"] for c, s in columns if s.get("missing")}, list(treated))
+        df = self._treat_outliers(df, treated, counts) if treated else df
+        if len(columns) == 1 and self.may_drop(before, *columns[0]):
+            self.counts = None  # other rows from here on
+        return df
 
-    def _medians(self, df, columns):
-        found = quantile_values(df, columns, [0.5])
-        return {c: q[0] for c, q in found.items()}
-
-    def _fill(self, df, wanted):
+    def _fill(self, df, wanted, counted):
+        """The table without gaps, and the value counts of the ``counted`` columns in it."""
         gaps = {c: how for c, how in wanted.items() if self.nulls[c]}
         fills, drops, ordered = {}, [], {}
         means, medians = [], []
         for c, how in gaps.items():
             number = is_numeric(df, c)
             if how == "mode":
-                fills[c] = _most_frequent(df, c)
+                fills[c] = self._most_frequent(c) if number else _most_frequent(df, c)
             elif how in ORDERED_FILLS and (number or how != "interpolate"):
                 ordered[c] = how
                 if not number:
@@ -127,18 +150,62 @@ class _Cleaning:
                 (means if how == "mean" else medians).append(c)
         if ordered:
             df = self._ordered_fill(df, ordered)
+            tried = [c for c in medians if c in ordered]
+            if tried:  # a key without any value is still open
+                still = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in tried]).first()
+                medians = [c for c in medians if c not in ordered or still[c]]
+        anew = [c for c in ordered if c in medians or c in counted]
+        counts = self.counts.where(F.col("_v").isNotNull())
+        if anew:
+            filled = value_counts(df.select(*anew), anew)
+            last = counts.agg(F.max("_part")).first()[0] or 0  # parts of one column only ever follow each other
+            counts = counts.where(~F.col("column").isin(anew)).unionByName(
+                filled.withColumn("_part", F.col("_part") + F.lit(last + 1)))
         if means:
-            row = df.agg(*[F.avg(c).alias(c) for c in means]).first()
-            fills.update(row.asDict())
+            rows = counts.where(F.col("column").isin(means)).groupBy("column").agg(
+                (F.sum(F.col("_v") * F.col("_c")) / F.sum("_c")).alias("mean"))
+            fills |= dict.fromkeys(means) | {r["column"]: r["mean"] for r in rows.collect()}
         if medians:
-            fills.update(self._medians(df, medians))
-        values = {}
+            fills |= {c: q[0] for c, q in counted_quantiles(counts, medians, [0.5]).items()}
+        values, numbers = {}, {}
         for c, fill in fills.items():
             kind = "double" if c in means or c in medians else df.schema[c].dataType
             fill = 0 if fill is None else fill
-            values[c] = F.coalesce(F.col(c).cast(kind), F.lit(fill).cast(kind))
+            own = nan_to_null(F.col(c)) if df.schema[c].dataType.typeName() in ("double", "float") else F.col(c)
+            values[c] = F.coalesce(own.cast(kind), F.lit(fill).cast(kind))
+            if is_numeric(df, c) and c in counted:
+                numbers[c] = float(fill)
         df = df.withColumns(values) if values else df
-        return df.dropna(subset=drops) if drops else df
+        df = df.dropna(subset=drops) if drops else df
+        return df, self._with_fills(counts, numbers, set(anew), df)
+
+    def _with_fills(self, counts, fills, anew, df):
+        """Value counts with the filled gaps among them."""
+        if not fills:
+            return counts
+        changed = F.col("column").isin(list(fills))
+        left = [c for c in fills if c not in anew]
+        rows = counts.where(changed).select("column", "_v", "_c")
+        if left:
+            value = F.create_map(*(F.lit(x) for c in left for x in (c, fills[c])))
+            gaps = self.counts.where(F.col("_v").isNull() & F.col("column").isin(left))
+            put = gaps.select("column", value[F.col("column")].alias("_v"), "_c")
+            rows = rows.unionByName(put)
+        if set(fills) & anew:  # what the fill along the rows left open
+            again = [c for c in fills if c in anew]
+            rows = rows.where(~F.col("column").isin(again)).unionByName(
+                value_counts(df.select(*again), again).select("column", "_v", "_c"))
+        laid_out = rows.groupBy("column", "_v").agg(F.sum("_c").alias("_c")).repartitionByRange("column", "_v")
+        last = counts.agg(F.max("_part")).first()[0] or 0
+        laid_out = checkpoint(laid_out.withColumn("_part", F.spark_partition_id() + F.lit(last + 1)))
+        return counts.where(~changed).unionByName(laid_out.select(counts.columns))
+
+    def _most_frequent(self, column):
+        """Most frequent number, smallest among equals."""
+        top = self.counts.where((F.col("column") == column) & F.col("_v").isNotNull()).orderBy(F.desc("_c"), "_v").first()
+        if top is None:
+            raise ValueError(f"{column}: no value to take the mode of")
+        return top["_v"]
 
     def _ordered_fill(self, df, ordered):
         """Fills that follow the order of the rows: one sort for all columns."""
@@ -150,8 +217,8 @@ class _Cleaning:
             for c, how in ordered.items()
         }).select(*columns)
 
-    def _treat_outliers(self, df, treated):
-        bounds = outlier_bounds(df, list(treated))
+    def _treat_outliers(self, df, treated, counts):
+        bounds = _bounds(counted_quantiles(counts, list(treated), BOUNDS))
         clamped, kept = {}, None
         for c, how in treated.items():
             if how in DROPPING_OUTLIERS:
@@ -180,7 +247,10 @@ def _most_frequent(df, column):
 
 def outlier_bounds(df, columns):
     """{column: {fence, tails}} as (low, high) pairs, from one round of exact quantiles."""
-    found = quantile_values(df, columns, [TAILS[0], 0.25, 0.75, TAILS[1]])
+    return _bounds(quantile_values(df, columns, BOUNDS))
+
+
+def _bounds(found):
     bounds = {}
     for c, (low, q1, q3, high) in found.items():
         if q1 is None:
