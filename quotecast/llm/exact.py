@@ -108,17 +108,22 @@ def rows_repeat(table):
     return table.groupBy("doc_id", "text_key").count().where("count > 1").limit(1).count() > 0
 
 
-def matching(docs, keys, repeat, id_col="doc_id", text_col="text"):
+def matching(docs, keys, repeat, id_col="doc_id", text_col="text", loose=None):
     """The rows of docs whose (id, hash of text) is among keys, one for each where rows ``repeat``.
 
-    Input columns travel in one struct, so their names cannot clash.
+    Of rows equal in both the one whose other columns are least (as JSON) stays. Rows
+    for which the column ``loose`` is true all stay. Input columns travel in one struct, so
+    their names cannot clash.
     """
+    own = F.lit(-1).cast("long") if loose is None else F.when(loose, F.monotonically_increasing_id()).otherwise(-1)
     held = docs.select(
-        F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key")
+        F.struct("*").alias("_doc"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_key"), own.alias("_own")
     )
     found = held.join(
         keys.select(F.col("doc_id").alias("_k_id"), F.col("text_key").alias("_k_key")),
         F.col("_id").eqNullSafe(F.col("_k_id")) & (F.col("_key") == F.col("_k_key")),
         "left_semi",
     )
-    return (found.dropDuplicates(["_id", "_key"]) if repeat else found).select("_doc.*")
+    if repeat:
+        found = found.groupBy("_id", "_key", "_own").agg(F.min_by("_doc", F.to_json("_doc")).alias("_doc"))
+    return found.select("_doc.*")

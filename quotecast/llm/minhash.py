@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from quotecast.llm.components import components
 from quotecast.llm.exact import matching, rows_repeat
-from quotecast.llm.tables import written
+from quotecast.llm.tables import SPACES, written
 from quotecast.llm.words import batches, mix, powers, runs, sums, window_numbers
 
 BANDS, ROWS = 32, 5
@@ -287,8 +287,9 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
 
 def drop_near_copies(docs, id_col="doc_id", text_col="text", **options):
     """The rows of docs, all columns, with one row of each near group: that of the
-    smallest (doc_id, hash of text). Rows without words are in no group and stay."""
+    smallest (doc_id, hash of text). Rows without words are in no group and all stay."""
     groups = written(near_groups(docs, id_col, text_col, **options))
     best = groups.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_key")).alias("best"))
     alone = groups.where("group is null").select("doc_id", "text_key").distinct()
-    return matching(docs, best.select("best.*").unionByName(alone), rows_repeat(groups), id_col, text_col)
+    wordless = F.trim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACES)) == ""
+    return matching(docs, best.select("best.*").unionByName(alone), rows_repeat(groups), id_col, text_col, wordless)

@@ -136,14 +136,16 @@ def numbered(df, keys, ties, into, lead=None):
     are dropped; the result is a table in the shared folder.
 
     Long keys can have a ``lead``, a column with a hash of them: the order is then
-    (lead, keys), and the tasks' ranges are cut by (lead, ties) alone, so that the
-    sampling for those cuts moves no keys. Names still follow the keys themselves.
-    Should two keys share a hash, a cut between them could split a name; as some
-    task then holds both, that is noticed and raised, never passed on.
+    (lead, a second hash, keys), and the tasks' ranges are cut by the hashes and ties alone,
+    so that the sampling for those cuts moves no keys. Names still follow the keys themselves,
+    and keys that share the lead are told apart. Only keys with both hashes equal, 128 bits,
+    could have a name split by a cut; that would be raised, never passed on.
     """
+    if lead:
+        df = df.withColumn("_second", F.xxhash64(F.lit("second"), *(F.col(k) for k in keys)))
     fields = [T.StructField(f.name, f.dataType) for f in df.schema.fields]
     kept = [f for f in fields if f.name not in keys]
-    kept = [f for f in kept if f.name != lead]
+    kept = [f for f in kept if not lead or f.name not in (lead, "_second")]
     key_type = T.StructType([f for f in fields if f.name in keys])
     schema = T.StructType(
         kept
@@ -161,10 +163,10 @@ def numbered(df, keys, ties, into, lead=None):
             columns = _keys(batch, key_names)
             new = _starts(columns, last)
             if lead:
-                hashes = batch.column(lead)
-                if (new & ~_starts([hashes], last_lead)).any():
-                    raise ValueError("two keys share a hash: give another lead column")
-                last_lead = [hashes[-1].as_py()]
+                hashes = _keys(batch, [lead, "_second"])
+                if (new & ~_starts(hashes, last_lead)).any():
+                    raise ValueError("two keys share both hashes: give another lead column")
+                last_lead = [h[-1].as_py() for h in hashes]
             local = np.cumsum(new) + count
             first = first or [c[0].as_py() for c in columns]
             last = [c[-1].as_py() for c in columns]
@@ -185,7 +187,7 @@ def numbered(df, keys, ties, into, lead=None):
 
     out = to_arrow_schema(schema)
     ends_type = out.field("_ends").type
-    led = [lead] if lead else []
+    led = [lead, "_second"] if lead else []
     order = [F.col(c).asc_nulls_first() for c in [*led, *keys, *ties]]
     cuts = [F.col(c).asc_nulls_first() for c in [*(led or keys), *ties]]
     sorted_rows = df.repartitionByRange(*cuts).sortWithinPartitions(*order)

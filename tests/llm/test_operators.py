@@ -94,10 +94,48 @@ def test_numbered_names_follow_sorted_keys(spark, lead):
         assert [k for k in sorted(names, key=names.get)] == sorted(names, key=lambda k: (k is not None, k))
 
 
-def test_numbered_notices_equal_hashes(spark):
+@pytest.mark.parametrize("bits", [0, 1, 3])
+def test_numbered_where_leads_clash(spark, bits):
+    """Keys that share a lead, repeated over many tasks, still get one name each."""
+    keys = [f"k{i % 37}" for i in range(3000)] + ["hot"] * 1500
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(keys)], "k string, i long").repartition(6)
+    df = df.withColumn("sum", F.pmod(F.xxhash64("k"), F.lit(1 << bits)))
+    got = numbered(df.withColumn("key", F.col("k")), ["k"], ["i"], "name", lead="sum").collect()
+    assert len(got) == len(keys) and len({r["name"] for r in got}) == 38 == len({(r["key"], r["name"]) for r in got})
+
+
+def test_numbered_raises_where_both_hashes_clash(spark, monkeypatch):
     df = spark.createDataFrame([(x, i) for i, x in enumerate("abab")], "k string, i long").withColumn("sum", F.lit(1).cast("long"))
-    with pytest.raises(Exception, match="share a hash"):
-        numbered(df.coalesce(1), ["k"], ["i"], "name", lead="sum")
+    monkeypatch.setattr("quotecast.llm.tables.F.xxhash64", lambda *_: F.lit(1).cast("long"))
+    with pytest.raises(Exception, match="share both hashes"):
+        numbered(df.coalesce(1), ["k"], ["i"], "name", lead="sum").collect()
+
+
+def doubled(n):
+    """A word of n letters and its swap: sums of letters times powers cannot tell them apart."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate({97: "b", 98: "a"})
+    return word, word.translate({97: "b", 98: "a"})
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_long_words_are_told_apart(spark, n):
+    a, b = doubled(n)
+    lists = [numbers.tolist() for *_, numbers, _ in batches(pa.array([a, b, a + " " + b]))]
+    assert len(set(sum(lists, []))) == 2
+    few = prose(4, 19)
+    df = spark.createDataFrame([(1, f"{few} {a}"), (2, f"{few} {b}"), (3, a), (4, b), (5, a)], "doc_id long, text string")
+    removed = {r.doc_id: r.n_removed for r in substring_dedup(df).collect()}
+    assert set(removed.values()) == {0}
+    found = {r.doc_id: r.component_id for r in minhash.near_groups(df, size=2).collect()}
+    assert (found[3], found[4], found[5]) == (3, 4, 3)
+
+
+def test_words_that_differ_in_little(spark):
+    words = ["", "x", "x" * 7, "x" * 8, "x" * 9, "x" * 16, "y" + "x" * 15, "x" * 15 + "y", "x\x00", "x\x00\x00", "x" * 8 + "y" * 8, "y" * 8 + "x" * 8]
+    got = [int(numbers[0]) for w in words[1:] for *_, numbers, _ in batches(pa.array([w]))]
+    assert len(set(got)) == len(words) - 1
 
 
 def test_running_sums(spark):
@@ -338,6 +376,14 @@ def test_near_copies_go(odd, none):
     assert minhash.drop_near_copies(none).count() == 0
 
 
+def test_rows_without_words_all_stay(spark):
+    rows_in = [(1, None, "x"), (1, None, "y"), (1, None, "y"), (2, "", "z"), (2, "", "z"), (3, "a b c", "q"), (3, "a b c", "p"), (4, "a b c", "a"), (None, " ", "w")]
+    want = [r for r in rows_in if not (r[1] or "").strip()] + [(3, "a b c", "p")]
+    for n in (1, 5):
+        df = spark.createDataFrame(rows_in, "doc_id long, text string, source string").repartition(n)
+        assert rows(minhash.drop_near_copies(df)) == sorted(want, key=lambda r: tuple(map(str, r)))
+
+
 def test_components_of_paths_and_hubs(spark):
     draw = np.random.default_rng(0)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 160)] + [(300, 300)]
