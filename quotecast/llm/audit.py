@@ -10,6 +10,7 @@ from quotecast.llm.tables import written
 DOCS_PER_BLOCK = 4
 SPOTS = 4  # counters of a block's 64 that a text adds one to
 BROADCAST_KEYS = 500_000
+SALTS = 16
 
 
 def _cells(key):
@@ -25,16 +26,20 @@ def possible_repeats(rows, key):
     of its key's block. Each task sums its own counters first; sums merge by block and
     counter. A key with a counter of one is in one row for sure. The filter has a
     block for every ``DOCS_PER_BLOCK`` rows, so its errors (under one in a hundred) do
-    not grow with the table, and it stays a table that is joined by block.
+    not grow with the table, and it stays a table that is joined by block, in
+    ``SALTS`` copies so that the rows of a frequent key meet it in as many places.
+    ``rows`` are read twice and best written before.
     """
     n_blocks = max(1, -(-rows.count() // DOCS_PER_BLOCK))
     placed = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.lit(n_blocks)))
     cells = F.explode(F.array_distinct(F.array(*_cells(F.col(key))))).alias("cell")
     counters = placed.select("_block", cells).groupBy("_block", "cell").agg(F.count(F.lit(1)).alias("n"))
     shared = counters.where("n > 1").groupBy("_block").agg(F.bit_or(F.expr("shiftleft(1L, cell)")).alias("_shared"))
-    tested = placed.withColumn("_cells", F.array(*_cells(F.col(key)))).join(shared, "_block", "left")
+    shared = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = placed.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    tested = salted.withColumn("_cells", F.array(*_cells(F.col(key)))).join(shared, ["_block", "_salt"], "left")
     every = F.forall("_cells", lambda c: F.getbit(F.coalesce("_shared", F.lit(0).cast("long")), c) == 1)
-    return tested.withColumn("possible", every).drop("_block", "_shared", "_cells")
+    return tested.withColumn("possible", every).drop("_block", "_salt", "_shared", "_cells")
 
 
 def least_ids(docs, keys, id_col, text_col):
