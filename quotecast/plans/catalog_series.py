@@ -3,6 +3,7 @@
 from uuid import uuid4
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quotecast.functions.lineage import shared_folder
 from quotecast.operators import compare, constrain, decompose, evaluate, features, filters, forecast, series
@@ -929,6 +930,25 @@ def _(spark, d):
     return rounded(files.read_history(spark, path, schema=HISTORY_SCHEMA))
 
 
+@query(
+    "read_two_layouts",
+    select(
+        HISTORY,
+        ["date", "part_number", "vendor=CASE WHEN CAST(quantity AS BIGINT) % 2 = 1 THEN vendor END", "price~",
+         "lead_time~=CASE WHEN CAST(quantity AS BIGINT) % 2 = 0 THEN lead_time END"],
+        "history",
+    ),
+)
+def _(spark, d):
+    """Files of two layouts in one folder: other columns, in another order."""
+    path, rows = f"{shared_folder(spark)}/{uuid4().hex}", history(spark, d)
+    odd = F.col("quantity").cast("long") % 2 == 1
+    export.write_csv(rows.where(odd).select("date", "part_number", "vendor", "price"), f"{path}/a")
+    export.write_csv(rows.where(~odd).select("lead_time", "price", "part_number", "date"), f"{path}/b")
+    schema = T.StructType([f for f in HISTORY_SCHEMA if f.name not in ("country", "quantity")])
+    return rounded(files.read_layouts(spark, f"{path}/*", schema=schema)[0])
+
+
 @query("report_round_trip", select(BOTH, "country date price~", "p"))
 def _(spark, d):
     path = f"{shared_folder(spark)}/{uuid4().hex}"

@@ -748,18 +748,15 @@ def _(spark, d):
     return rounded(compare.compare_over_time(rows, top, "vendor"))
 
 
-_YEARS = [str(y) for y in range(1995, 2002)]
-
-
 @query(
     "pivot_groups",
-    f"WITH {HISTORY} SELECT country, " + ", ".join(
-        f"""floor((avg(price) FILTER (CAST(year(date) AS VARCHAR) = '{y}')) * 1e4 + 0.4321) / 1e4 AS "{y}\"""" for y in _YEARS
-    ) + " FROM history GROUP BY 1",
+    f"""SELECT * FROM (PIVOT (
+          WITH {HISTORY} SELECT country, CAST(year(date) AS VARCHAR) AS year, floor(avg(price) * 1e4 + 0.4321) / 1e4 AS m
+          FROM history GROUP BY ALL) ON year USING any_value(m) GROUP BY country)""",
 )
 def _(spark, d):
     rows = history(spark, d).withColumn("year", F.year("date").cast("string"))
-    return rounded(compare.pivot_mean(rows, "country", "year", "price", _YEARS))
+    return rounded(compare.pivot_mean(rows, "country", "year", "price"))
 
 
 _MONTHS = [f"{y}-{m:02d}" for y in range(1995, 2002) for m in range(1, 13)][:80]

@@ -1,5 +1,8 @@
 """Delimited and workbook files to a typed history table."""
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +36,9 @@ DATE_FORMATS = (
 )
 
 
+SURPLUS = 8  # fields after the last one of a header that are looked at
+
+
 def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0, schema=None, multi_line=False):
     """Read one file, a folder or a glob; names normalized, dates parsed.
 
@@ -52,6 +58,70 @@ def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0,
     return parse_dates(nulls_for_nan(normalize_names(df)))
 
 
+def read_layouts(spark, path, sep=",", encoding="utf-8", schema=None):
+    """(rows, bad): delimited files of any layouts in one table, and the lines that do not fit theirs.
+
+    Every file's own header says what its columns are; files of one header are read
+    together and all layouts are matched by normalized name, with NULL where a file lacks
+    a column. Rows that end early are filled with NULL. Rows with more values than their
+    header go to ``bad`` (file, line). ``schema`` picks and types columns by name; without
+    it types are found as in ``read_history``. The driver holds one header and one path a
+    file; headers are found in a pass over the lines. Empty files have no header
+    and no rows; a header that names a column twice raises.
+    """
+    if sep not in SEPARATORS or encoding.lower() not in ENCODINGS:
+        raise ValueError(f"unknown separator {sep!r} or encoding {encoding!r}")
+    layouts = {}
+    for file, header in _headers(spark, path, sep, encoding):
+        layouts.setdefault(header, []).append(file)
+    rows = bad = None
+    for header, paths in sorted(layouts.items()):
+        told, surplus = _read_layout(spark, paths, header, sep, encoding)
+        rows = told if rows is None else rows.unionByName(told, allowMissingColumns=True)
+        bad = surplus if bad is None else bad.unionByName(surplus)
+    if rows is None:
+        rows = spark.createDataFrame([], schema or "date date")
+        return rows, spark.createDataFrame([], "file string, line string")
+    rows = _with_nulls(rows)
+    if schema is None:
+        rows = _typed(rows)
+    else:
+        rows = rows.select(*[
+            (F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema
+        ])
+    return parse_dates(nulls_for_nan(rows)), bad
+
+
+def _headers(spark, path, sep, encoding):
+    """(path, normalized names) of every file that holds a line."""
+    lines = spark.read.text(path).select("_metadata.file_path", "_metadata.file_block_start", F.col("value").cast("binary").alias("line"))
+    first = (
+        lines.where("file_block_start = 0").withColumn("at", F.monotonically_increasing_id())
+        .groupBy("file_path").agg(F.min_by("line", "at").alias("line"))
+    )
+    for row in first.collect():
+        text = bytes(row["line"]).decode("cp1252" if encoding.lower() == "cp1252" else ENCODINGS[encoding.lower()], "replace")
+        names = [name.strip() or f"_c{i}" for i, name in enumerate(next(csv.reader([text.lstrip("\ufeff")], delimiter=sep)))]
+        names = normalize_names(spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in names]))).columns
+        if len(set(names)) < len(names):
+            raise ValueError(f"{row['file_path']}: a column name stands twice in {names}")
+        yield unquote(row["file_path"]), tuple(names)
+
+
+def _read_layout(spark, paths, names, sep, encoding):
+    """Rows of files with one header as text, and their lines with surplus values."""
+    surplus = [f"_surplus{i}" for i in range(SURPLUS)]
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, *surplus, "_line")])
+    df = spark.read.schema(schema).options(
+        header=True, sep=sep, encoding=ENCODINGS[encoding.lower()], ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+        mode="PERMISSIVE", columnNameOfCorruptRecord="_line", escape='"', enforceSchema=True,
+    ).csv(paths).withColumn("_file", F.col("_metadata.file_path"))
+    df = _windows_1252(df) if encoding.lower() == "cp1252" else df
+    over = F.coalesce(*surplus).isNotNull()
+    line = F.coalesce("_line", F.concat_ws(sep, *[F.coalesce(F.col(f"`{n}`"), F.lit("")) for n in (*names, *surplus)]))
+    return df.where(~over).select(*[F.col(f"`{n}`") for n in names]), df.where(over).select(F.col("_file").alias("file"), line.alias("line"))
+
+
 def _read_delimited(spark, path, sep, encoding, multi_line=False):
     """All columns as text; a row with too few or too many fields raises."""
     if sep not in SEPARATORS:

@@ -197,3 +197,33 @@ def test_standard_quoting_and_headers(spark, tmp_path):
     (tmp_path / "mixed" / "b.csv").write_text("price,vendor\n2,B\n")
     with pytest.raises(Exception):
         read_history(spark, str(tmp_path / "mixed")).collect()
+
+
+def test_layouts_short_and_bad_rows(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Vendor,Price,Date\nA,1.5,2024-01-01\nB\nC,2.5\n\"D, E\",NA,2024-01-04,\n")
+    (tmp_path / "b b.csv").write_text("date;x\n", encoding="utf-8")
+    (tmp_path / "c.csv").write_text("date,vendor,note\n2024-02-01,F,n\n2024-02-02,G,n,surplus\n2024-02-03,H,n,,more\n")
+    (tmp_path / "d.csv").write_text("")
+    rows, bad = files.read_layouts(spark, str(tmp_path))
+    got = sorted(tuple(r) for r in rows.select("vendor", "price", F.col("date").cast("string"), "note").where("vendor is not null").collect())
+    assert got == [
+        ("A", 1.5, "2024-01-01", None), ("B", None, None, None), ("C", 2.5, None, None),
+        ("D, E", None, "2024-01-04", None), ("F", None, "2024-02-01", "n"),
+    ]
+    assert sorted(r.line for r in bad.collect()) == ["2024-02-02,G,n,surplus", "2024-02-03,H,n,,more"]
+    assert all(r.file.endswith("c.csv") for r in bad.collect())
+    schema = spark.createDataFrame([], "price double, vendor string, lost long").schema
+    typed, _ = files.read_layouts(spark, str(tmp_path / "a.csv"), schema=schema)
+    assert typed.schema.simpleString() == schema.simpleString() and typed.where("lost is null").count() == 4
+
+
+def test_layouts_encodings_and_faults(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("Größe;Ort\n1;café €\n".encode("cp1252"))
+    rows, bad = files.read_layouts(spark, str(tmp_path), sep=";", encoding="cp1252")
+    assert [tuple(r) for r in rows.collect()] == [(1, "café €")] and bad.count() == 0
+    (tmp_path / "b.csv").write_text("A;a\n1;2\n")
+    with pytest.raises(ValueError, match="twice"):
+        files.read_layouts(spark, str(tmp_path / "b.csv"), sep=";")
+    (tmp_path / "c.csv").write_text("")
+    rows, bad = files.read_layouts(spark, str(tmp_path / "c.csv"))
+    assert rows.count() == bad.count() == 0
