@@ -1,5 +1,8 @@
 """License notices in running text, spelled exactly or nearly so."""
 
+import bisect
+import heapq
+
 import ahocorasick
 import pyarrow as pa
 import regex
@@ -60,29 +63,60 @@ class Notice:
                     return False
         return True
 
+    def best(self, flat, a, b):
+        """(edits, start, end, a, b) of the best occurrence inside a stretch, or nothing."""
+        if b - a < len(self.text) - self.edits or not self.near(flat[a:b]):
+            return []
+        m = self.pattern.search(flat[a:b])
+        return [(sum(m.fuzzy_counts), a + m.start(), a + m.end(), a, b)] if m else []
+
     def spans(self, flat, places):
         """(start, end, edits) of occurrences in word-joined text around the places where they may begin.
 
-        Of overlapping ones the best is taken first, then those before and behind it."""
-        reach, areas = len(self.text) + self.edits, []
+        Of overlapping ones the best is taken first (then the one that begins first), then
+        those before and behind it. Only stretches of bounded length are searched, a bounded
+        number of times each, so the work grows with the text however many notices stand in a row.
+        """
+        stretches, size = [], len(flat)
         for place in sorted(set(places)):
-            a, b = max(0, place - self.edits), place + reach
-            if not self.near(flat[a:b]):
-                continue
-            if areas and a <= areas[-1][1]:
-                areas[-1][1] = max(b, areas[-1][1])
+            a, b = max(0, place - self.edits), min(size, place + len(self.text) + self.edits)
+            if stretches and place - stretches[-1][2] <= 2 * self.edits:
+                stretches[-1][1] = b
             else:
-                areas.append([a, b])
-        found = []
-        while areas:  # the best match of an area may lie behind others: both sides of it are areas again
-            a, b = areas.pop()
-            if b - a < len(self.text) - self.edits or not self.near(flat[a:b]):
-                continue
-            m = self.pattern.search(flat[a:b])
-            if m:
-                found.append((a + m.start(), a + m.end(), sum(m.fuzzy_counts)))
-                areas += [(a, found[-1][0]), (found[-1][1], b)]
-        return sorted(found)
+                stretches.append([a, b, place])
+        waiting = [hit for a, b, _ in stretches for hit in self.best(flat, a, b)]
+        heapq.heapify(waiting)
+        found = []  # sorted, without overlaps
+        while waiting:
+            edits, start, end, a, b = heapq.heappop(waiting)
+            at = max(0, bisect.bisect_right(found, (a,)) - 1)
+            taken = []
+            while at < len(found) and found[at][0] < b:
+                taken += [found[at]] * (found[at][1] > a)
+                at += 1
+            if all(end <= x[0] or x[1] <= start for x in taken):
+                bisect.insort(found, (start, end, edits))
+                taken = sorted([*taken, found[bisect.bisect_left(found, (start,))]])
+            edges = [a, *(edge for x in taken for edge in x[:2]), b]
+            for low, high in zip(edges[::2], edges[1::2]):  # the free parts of the stretch
+                for hit in self.best(flat, low, high):
+                    heapq.heappush(waiting, hit)
+        return found
+
+
+class Words:
+    """Numbers of words at places that mostly grow: each counts on from the one before."""
+
+    def __init__(self, flat):
+        self.flat, self.at, self.n = flat, 0, 0
+
+    def before(self, place):
+        """Spaces in front of a place."""
+        if place < self.at:
+            self.at = self.n = 0
+        self.n += self.flat.count(" ", self.at, place)
+        self.at = place
+        return self.n
 
 
 def seeded(known):
@@ -107,7 +141,8 @@ def scan(docs, id_col="doc_id", text_col="text", notices=None, phrases=None, rat
     characters beyond ASCII. A notice may differ by one edit (a character put in,
     left out or changed) for every 1 / ``rate`` of its characters. Exact seeds, all
     found in one pass, locate the candidate areas; only those that hold enough of the
-    notice's grams are matched with edits. Each whole text is searched
+    notice's grams are matched with edits, in stretches little longer than the notice,
+    so the work grows with the length of a text. Each whole text is searched
     in its own task. Null and empty texts have no words and no hits; repeated rows
     are each reported.
     """
@@ -121,9 +156,9 @@ def scan(docs, id_col="doc_id", text_col="text", notices=None, phrases=None, rat
         flat = f" {b' '.join(words).decode()} "
         base = []
         for phrase, spaced in exact:
-            i = flat.find(spaced)
+            i, passed = flat.find(spaced), Words(flat)
             while i >= 0:
-                base.append({"phrase": phrase, "word": flat.count(" ", 0, i)})
+                base.append({"phrase": phrase, "word": passed.before(i)})
                 i = flat.find(spaced, i + 1)
         places = {}
         for end, where in automaton.iter(flat):
@@ -131,9 +166,10 @@ def scan(docs, id_col="doc_id", text_col="text", notices=None, phrases=None, rat
                 places.setdefault(i, []).append(end - at)
         hits = []
         for i in sorted(places):
+            passed = Words(flat)
             for a, b, edits in known[i].spans(flat, places[i]):
                 span = flat[a:b].strip(" ")
-                first = flat.count(" ", 0, a + 1 if flat[a] == " " else a) - 1
+                first = passed.before(a + 1 if flat[a] == " " else a) - 1
                 hits.append({
                     "label": known[i].label, "notice": known[i].text, "first": first,
                     "last": first + span.count(" "), "edits": edits, "span": span,

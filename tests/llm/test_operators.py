@@ -10,6 +10,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import quotecast.llm.licenses as licenses
 import quotecast.llm.minhash as minhash
 from quotecast.llm.components import components
 from quotecast.llm.exact import drop_exact_copies, exact_groups
@@ -312,6 +313,25 @@ def test_license_notices_back_to_back(spark):
         assert [(h.first, h.last) for h in got[i]] == [(8 + 5 * k, 12 + 5 * k) for k in range(len(stack))]
 
 
+def test_license_work_grows_with_the_text(monkeypatch):
+    """Stacked notices: the characters searched with edits grow as the text does."""
+    known = [licenses.Notice(text, label, licenses.RATE) for text, label in NOTICES.items()]
+    automaton = licenses.seeded(known)
+    searched = {}
+    for often in (200, 1600):
+        flat, places = " " + "relesed under the mit licence " * often, {}
+        for end, where in automaton.iter(flat):
+            for i, at in where:
+                places.setdefault(i, []).append(end - at)
+        sizes, best = [], licenses.Notice.best
+        with monkeypatch.context() as m:
+            m.setattr(licenses.Notice, "best", lambda self, f, a, b: (sizes.append(b - a), best(self, f, a, b))[1])
+            hits = [h for i, p in places.items() for h in known[i].spans(flat, p)]
+        assert [(a, b) for a, b, _ in sorted(hits)] == [(1 + 30 * k, 30 + 30 * k) for k in range(often)]
+        searched[often] = sum(sizes)
+    assert searched[1600] < 9 * searched[200]
+
+
 def test_license_scan_of_odd_rows(odd, none):
     assert scan(odd).count() == len(ODD) and scan(none).count() == 0
 
