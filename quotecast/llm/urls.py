@@ -7,6 +7,8 @@ import string
 
 from pyspark.sql import functions as F
 
+from quotecast.llm.tables import written
+
 KEYS_PER_BLOCK = 32
 WORDS = 8
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "ref")
@@ -79,11 +81,12 @@ def judge(pages, rules, listed, id_col="page_id", url_col="url", listed_verdict=
     exact hash join on the canonical URL, which removes false positives. Null URLs
     and URLs without ``://`` have an empty host and path, fit no rule and are not
     listed. Repeated rows are each judged; only the url column of other columns is
-    read.
+    read. The keys, the filter and the tested pages are tables, so pages are parsed once,
+    and the size of the filter is known when its join is planned: a small one needs no shuffle of the pages.
     """
-    keys = listed.select(canonical(F.col("url")).alias("_listed")).where("_listed is not null").distinct()
+    keys = written(listed.select(canonical(F.col("url")).alias("_listed")).where("_listed is not null").distinct())
     n_blocks = max(1, -(-keys.count() // KEYS_PER_BLOCK))
-    bloom = bloom_blocks(keys, "_listed", n_blocks)
+    bloom = written(bloom_blocks(keys, "_listed", n_blocks))
     host, path = parts(F.col(url_col))
     told = pages.select(F.col(id_col).alias(id_col), host.alias("host"), path.alias("path"), canonical(F.col(url_col)).alias("_url"))
     told = told.select("*", ruled(F.col("host"), F.col("path"), rules).alias("_ruled"), _block(F.col("_url"), n_blocks).alias("block"),
@@ -92,7 +95,8 @@ def judge(pages, rules, listed, id_col="page_id", url_col="url", listed_verdict=
     hit = F.coalesce(F.col("w0"), F.lit(0)) != 0
     for i in range(WORDS):
         hit &= F.getbit(F.coalesce(F.col(f"w{i}"), F.lit(0).cast("long")), F.col("_spots")[i]) == 1
-    tested = tested.select(id_col, "host", "path", "_url", "_ruled", F.coalesce(F.col("_url").isNotNull() & hit, F.lit(False)).alias("_hit"))
+    hit = F.coalesce(F.col("_url").isNotNull() & hit, F.lit(False))
+    tested = written(tested.select(id_col, "host", "path", F.when(hit, F.col("_url")).alias("_url"), "_ruled", hit.alias("_hit")))
     exact = tested.where("_hit").join(keys, F.col("_url") == F.col("_listed"), "left").withColumn("listed", F.col("_listed").isNotNull())
     out = exact.drop("_listed").unionByName(tested.where("not _hit").withColumn("listed", F.lit(False)))
     verdict = F.coalesce("_ruled.verdict", F.when(F.col("listed"), listed_verdict).otherwise(other_verdict))
