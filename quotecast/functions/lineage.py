@@ -4,10 +4,13 @@ import atexit
 import shutil
 import tempfile
 
+_KEPT = set()
+
 
 def shared_folder(spark):
-    """This application's folder under ``spark.checkpoint.dir``.
+    """This application's folder under ``spark.checkpoint.dir``, deleted when the application ends.
 
+    Spark gives every application a folder of its own there, so no other one's files go.
     Only where the session names none and runs in local mode (tests) is a
     temporary folder set here, removed when Python ends.
     """
@@ -20,7 +23,12 @@ def shared_folder(spark):
             folder = tempfile.mkdtemp(prefix="quotecast-checkpoint-")
             atexit.register(shutil.rmtree, folder, True)
         sc.setCheckpointDir(folder)
-    return sc.getCheckpointDir()
+    own = sc.getCheckpointDir()
+    if own not in _KEPT:
+        _KEPT.add(own)
+        path = sc._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return own
 
 
 def checkpoint(df):

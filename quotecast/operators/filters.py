@@ -2,26 +2,18 @@
 
 from pyspark.sql import functions as F
 
-INLINE_VALUES = 1_000
-
 
 def filter_in(df, chosen):
     """Keep rows whose columns hold one of the chosen values (AND across columns).
 
-    Long value lists become a semi join instead of one huge predicate.
+    The values become one pushed-down predicate, which Spark looks up in a hash set;
+    values that are themselves data belong in a table: ``filter_in_table``. An empty
+    choice leaves its column unfiltered.
     """
     for column, values in chosen.items():
-        values = list(values)
-        if not values:
-            continue
-        if len(values) <= INLINE_VALUES:
+        values = list(dict.fromkeys(values))
+        if values:
             df = df.where(F.col(column).isin(values))
-        else:
-            field = df.schema[column]
-            wanted = df.sparkSession.createDataFrame(
-                [(v,) for v in dict.fromkeys(values)], f"{column} {field.dataType.simpleString()}"
-            )
-            df = df.join(wanted, column, "left_semi").select(*df.columns)
     return df
 
 

@@ -1,4 +1,4 @@
-"""Delimited and workbook files to a typed history table."""
+"""Delimited files to a typed history table."""
 
 import csv
 from urllib.parse import unquote
@@ -8,7 +8,6 @@ from pyspark.sql import types as T
 
 from quotecast.functions.columns import nan_to_null
 from quotecast.schema import is_numeric, is_temporal, numeric_columns, string_columns
-from quotecast.sources.workbook import read_workbooks
 
 # Separators and encodings the reader accepts, texts that mean a
 # missing value, date layouts tried.
@@ -39,21 +38,17 @@ DATE_FORMATS = (
 SURPLUS = 8  # fields after the last one of a header that are looked at
 
 
-def read_history(spark, path, format="csv", sep=",", encoding="utf-8", sheet=0, schema=None, multi_line=False):
+def read_history(spark, path, format="csv", sep=",", encoding="utf-8", schema=None, multi_line=False):
     """Read one file, a folder or a glob; names normalized, dates parsed.
 
     Quotes inside quoted text are doubled. Files whose header differs from the
     first one's raise rather than mix up columns. ``multi_line`` allows line
-    breaks inside quotes, at the price of one task per file. Give ``schema`` for large inputs: without it the types are found by one more
-    read of the whole input.
+    breaks inside quotes, at the price of one task per file. Give ``schema`` for large
+    inputs: without it the types are found by one more read of the whole input.
     """
-    if format == "excel":
-        df = read_workbooks(spark, path, sheet, schema)
-    elif format == "csv":
-        df = _read_delimited(spark, path, sep, encoding, multi_line)
-    else:
-        raise ValueError(f"unknown format {format!r}: use 'csv' or 'excel'")
-    df = _with_nulls(df)
+    if format != "csv":
+        raise ValueError(f"unknown format {format!r}: only 'csv'; export workbooks to it")
+    df = _with_nulls(_read_delimited(spark, path, sep, encoding, multi_line))
     df = _typed(df) if schema is None else _cast(df, schema)
     return parse_dates(nulls_for_nan(normalize_names(df)))
 

@@ -1,4 +1,3 @@
-import zipfile
 from datetime import date
 
 import pytest
@@ -54,7 +53,7 @@ def test_types_and_missing_texts(spark, tmp_path):
 
 
 def test_bad_options_raise(spark):
-    for options in ({"sep": "#"}, {"encoding": "ebcdic"}, {"format": "parquet"}):
+    for options in ({"sep": "#"}, {"encoding": "ebcdic"}, {"format": "excel"}):
         with pytest.raises(ValueError):
             files.read_history(spark, "nowhere.csv", **options)
 
@@ -83,60 +82,6 @@ def test_map_roles(table):
     assert files.role_columns(table([(1, 2.0)], "when long, amount double"))["price"] == "when"
 
 
-def _cell(ref, value):
-    kind = ' t="inlineStr"' if isinstance(value, str) else ""
-    body = f"<is><t>{value}</t></is>" if kind else f"<v>{value}</v>"
-    style = ' s="1"' if ref[0] == "A" and not kind else ""
-    return f'<c r="{ref}"{kind}{style}>{body}</c>'
-
-
-def _workbook(path, sheets):
-    main = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
-    link = 'xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"'
-    with zipfile.ZipFile(path, "w") as z:
-        names = "".join(
-            f'<sheet name="{n}" sheetId="{i}" r:id="rId{i}"/>' for i, n in enumerate(sheets, 1)
-        )
-        z.writestr("xl/workbook.xml", f"<workbook {main} {link}><sheets>{names}</sheets></workbook>")
-        links = "".join(
-            f'<Relationship Id="rId{i}" Target="worksheets/sheet{i}.xml"/>'
-            for i, _ in enumerate(sheets, 1)
-        )
-        z.writestr("xl/_rels/workbook.xml.rels", f"<Relationships>{links}</Relationships>")
-        z.writestr(
-            "xl/styles.xml",
-            f'<styleSheet {main}><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/></cellXfs></styleSheet>',
-        )
-        for i, rows in enumerate(sheets.values(), 1):
-            body = "".join(
-                f'<row r="{r}">'
-                + "".join(_cell(f"{'ABC'[c]}{r}", v) for c, v in enumerate(row) if v is not None)
-                + "</row>"
-                for r, row in enumerate(rows, 1)
-            )
-            z.writestr(
-                f"xl/worksheets/sheet{i}.xml",
-                f"<worksheet {main}><sheetData>{body}</sheetData></worksheet>",
-            )
-
-
-def test_workbooks(spark, tmp_path):
-    head = ["Date", "Price", "Vendor"]
-    _workbook(tmp_path / "a.xlsx", {"one": [head, [45292, 1.5, "V1"], [45293, None, "V2"]], "two": [["X"], ["y"]]})
-    _workbook(tmp_path / "b.xlsx", {"one": [["Vendor", "Date", "Price"], ["V3", "2024-01-05", 2]]})
-    df = files.read_history(spark, str(tmp_path), "excel").orderBy("date")
-    assert df.dtypes == [("date", "date"), ("price", "double"), ("vendor", "string")]
-    assert [tuple(r) for r in df.collect()] == [
-        (date(2024, 1, 1), 1.5, "V1"),
-        (date(2024, 1, 2), None, "V2"),
-        (date(2024, 1, 5), 2.0, "V3"),
-    ]
-    plain = HISTORY_SCHEMA.__class__([HISTORY_SCHEMA[c] for c in ("vendor", "price", "date")])
-    assert files.read_history(spark, str(tmp_path), "excel", schema=plain).count() == 3
-    other = files.read_history(spark, str(tmp_path / "a.xlsx"), "excel", sheet="two")
-    assert [tuple(r) for r in other.collect()] == [("y",)]
-
-
 def test_synthetic_history(spark):
     df = synthetic.synthetic_history(
         spark, "2020-01-15", "2022-12-31", num_parts=4, num_vendors=30, num_countries=17
