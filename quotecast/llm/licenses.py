@@ -35,6 +35,7 @@ def edits_allowed(notice, rate=RATE):
 
 
 GRAM = 3
+STRETCH = 4
 
 
 class Notice:
@@ -74,17 +75,19 @@ class Notice:
         """(start, end, edits) of occurrences in word-joined text around the places where they may begin.
 
         Of overlapping ones the best is taken first (then the one that begins first), then
-        those before and behind it. Only stretches of bounded length are searched, a bounded
-        number of times each, so the work grows with the text however many notices stand in a row.
+        those before and behind it. Only stretches of at most ``STRETCH`` times the notice's length
+        are searched, a bounded number of times each, so the work grows with the text however many notices stand in a row.
         """
         stretches, size = [], len(flat)
         for place in sorted(set(places)):
             a, b = max(0, place - self.edits), min(size, place + len(self.text) + self.edits)
-            if stretches and place - stretches[-1][2] <= 2 * self.edits:
+            if not self.near(flat[a:b]):
+                continue
+            if stretches and a <= stretches[-1][1] and b - stretches[-1][0] <= STRETCH * len(self.text):
                 stretches[-1][1] = b
             else:
-                stretches.append([a, b, place])
-        waiting = [hit for a, b, _ in stretches for hit in self.best(flat, a, b)]
+                stretches.append([a, b])
+        waiting = [hit for a, b in stretches for hit in self.best(flat, a, b)]
         heapq.heapify(waiting)
         found = []  # sorted, without overlaps
         while waiting:
