@@ -387,6 +387,35 @@ def test_block_links_join_all_components():
     assert len(found) == 4 and {x["u"] for x in found} | {x["v"] for x in found} == {0, 1, 2, 3, 4}
 
 
+def test_screen_keeps_nodes_with_near_signatures():
+    schema = pa.schema([("group", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
+    draw = np.random.default_rng(3)
+    one, two = draw.integers(0, 2**16, (2, 160)).astype(np.uint16)
+    near = np.where(np.arange(160) < 120, one, two)
+    table = lambda sides, components: pa.RecordBatch.from_pylist([
+        {"group": 1, "node": i, "component": c, "side": x, "small": i % 2, "signature": sign.tobytes()}
+        for i, (sign, x, c) in enumerate(zip([one, two, near, near], sides, components))])
+    found = lambda *t: [tuple(r[c] for c in ("a", "b", "side", "node")) for b in minhash.block_screen(iter([table(*t)]), 0.64, schema) for r in b.to_pylist()]
+    # nodes 0 and 2 are in small block 0, 3 is in block 1; two has no partner
+    assert found([0] * 4, [0, 1, 2, 3]) == [(0, 0, 0, 0), (0, 0, 0, 2), (0, 1, 0, 0), (0, 1, 0, 2), (0, 1, 1, 3)]
+    assert found([0] * 4, [0, 1, 2, 2]) == [(0, 0, 0, 0), (0, 0, 0, 2), (0, 1, 0, 0), (0, 1, 1, 3)]
+    assert found([0, 0, 0, 1], [0, 1, 0, 0]) == []
+    assert found([0, 0, 1, 0], [0, 1, 2, 0]) == [(0, 0, 0, 0), (0, 0, 1, 2), (1, 0, 0, 3), (1, 0, 1, 2)]
+
+
+def test_texts_of_one_template_stay_where_they_are(spark, monkeypatch):
+    tables = []
+    written = minhash.written
+    monkeypatch.setattr(minhash, "written", lambda df: tables.append(written(df)) or tables[-1])
+    shared = prose(1, 60)
+    docs = [(i, f"{shared} {' '.join(f'own{i}x{k}' for k in range(40))}") for i in range(2_000)]
+    docs += [(5_000 + i, docs[i][1] + f" more{i}") for i in range(0, 2_000, 100)]
+    found = {r.doc_id: r.component_id for r in minhash.near_groups(spark.createDataFrame(docs, "doc_id long, text string"), size=2).collect()}
+    assert found == {d: d - 5_000 if d >= 5_000 else d for d, _ in docs}
+    screened = [t for t in tables if "side" in t.columns]
+    assert len(screened) == 1 and screened[0].count() < 100
+
+
 def test_near_copies_go(odd, none):
     out = minhash.drop_near_copies(odd)
     assert out.columns == odd.columns
