@@ -5,8 +5,6 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from quotecast.llm.components import components
 from quotecast.llm.exact import matching, rows_repeat
@@ -14,9 +12,11 @@ from quotecast.llm.tables import SPACES, written
 from quotecast.llm.words import batches, mix, powers, runs, sums, window_numbers
 
 BANDS, ROWS = 32, 5
-BLOCK = 256  # nodes of a block that are compared on full sets
-SCREEN = 8  # blocks that are compared on signatures at once
-FEATURES = "doc_id {id}, text_key long, n long, digest binary, bands array<long>, signature binary"
+BLOCK = 256
+_BLOCK_ID = pa.struct([("c", pa.int64()), ("i", pa.int64())])
+SCREENED = pa.schema([("group", pa.struct([("bucket", pa.int64()), ("a", _BLOCK_ID), ("b", _BLOCK_ID)])),
+                      ("node", pa.int64()), ("component", pa.int64()), ("side", pa.int32())])
+FEATURES = "doc_id {id}, text_key long, n long, digest binary, bands array<long>, marks binary, signature binary"
 
 
 def shingle_sets(column, size, lower=True):
@@ -53,21 +53,22 @@ def features(docs, id_col, text_col, size, bands, rows, lower):
         scale = (draw.integers(0, 2**63, (bands * rows, 1), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
         shift = draw.integers(0, 2**63, (bands * rows, 1), dtype=np.uint64)
         for batch in stream:
-            n, digest, keys, signs = [], [], [], []
+            n, digest, keys, marks, signs = [], [], [], [], []
             for s in shingle_sets(batch.column("text"), size, lower):
                 n.append(len(s))
                 if not len(s):
-                    digest.append(None), keys.append(None), signs.append(None)
+                    digest.append(None), keys.append(None), marks.append(None), signs.append(None)
                     continue
                 least = _minima(s, scale, shift)
                 band = (least.reshape(bands, rows) * powers(rows)).sum(1) + np.arange(1, bands + 1, dtype=np.uint64)
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 keys.append(mix(band).view(np.int64))
+                marks.append(keys[-1].tobytes())
                 signs.append((mix(least) >> np.uint64(48)).astype(np.uint16).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_key"), pa.array(n, pa.int64()), pa.array(digest, pa.binary()),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(signs, pa.binary())],
-                ["doc_id", "text_key", "n", "digest", "bands", "signature"],
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array(signs, pa.binary())],
+                ["doc_id", "text_key", "n", "digest", "bands", "marks", "signature"],
             )
 
     return held.mapInArrow(compute, FEATURES.format(id=id_type))
@@ -117,40 +118,41 @@ def star_links(stream, size, share, lower):
         yield _links(u, v)
 
 
-def block_screen(stream, least, schema):
-    """The nodes that have a partner of another component whose signature agrees in a share
-    of at least ``least``, for every pair of small blocks of a group's one or two large ones."""
+def _near(sign, left, right, least):
+    """Pairs (place in left, place in right) whose signatures agree in ``least`` places."""
+    if len(left) * len(right) <= 4096:
+        return np.nonzero((sign[left][:, None] == sign[right]).sum(2) >= least)
+    agree = np.zeros((len(left), len(right)), np.uint16)
+    for mine, theirs in zip(sign[left].T, np.ascontiguousarray(sign[right].T)):
+        agree += mine[:, None] == theirs
+    return np.nonzero(agree >= least)
+
+
+def block_screen(stream, least):
+    """The nodes of a group's one or two blocks that have a partner of another component whose
+    signature agrees in a share of at least ``least``; a pair that shares several buckets counts
+    in the first of them alone."""
     for rows in _groups(stream, "group"):
-        parts, side, small = (np.array([r[c] for r in rows]) for c in ("component", "side", "small"))
+        parts, side = (np.array([r[c] for r in rows]) for c in ("component", "side"))
         if (parts == parts[0]).all():
             continue
         sign = np.frombuffer(b"".join(r["signature"] for r in rows), np.uint16).reshape(len(rows), -1)
+        marks = np.frombuffer(b"".join(r["marks"] for r in rows), np.int64).reshape(len(rows), -1)
+        band = int((marks[0] == rows[0]["group"]["bucket"]).argmax())
         one = side.max() == side.min()
         left, right = (np.arange(len(rows)),) * 2 if one else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
-        places = np.ascontiguousarray(sign[right].T)
-        met = []
-        for k in range(0, len(left), BLOCK):
-            some = left[k : k + BLOCK]
-            agree = np.zeros((len(some), len(right)), np.uint16)
-            for mine, theirs in zip(sign[some].T, places):
-                agree += mine[:, None] == theirs
-            ok = (agree >= least * sign.shape[1]) & (parts[some][:, None] != parts[right])
-            if one:
-                ok &= some[:, None] < right
-            x, y = np.nonzero(ok)
-            x, y = some[x], right[y]
-            if one:  # two places of one large block: the smaller small block comes first
-                swap = small[x] > small[y]
-                x, y = np.where(swap, y, x), np.where(swap, x, y)
-            a, b = small[x], small[y]
-            met += [np.stack([a, b, np.zeros_like(a), x]), np.stack([a, b, (one & (a == b)) ^ np.ones_like(a), y])]
-        a, b, at, who = np.unique(np.concatenate(met, axis=1), axis=1)
+        x, y = _near(sign, left, right, least * sign.shape[1])
+        x, y = left[x], right[y]
+        new = parts[x] != parts[y]
+        if one:
+            new &= x < y
+        x, y = x[new], y[new]
+        seen = np.zeros(len(x), bool)
+        for m in marks[:, :band].T:
+            seen |= m[x] == m[y]
+        who = np.union1d(x[~seen], y[~seen])
         if len(who):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([rows[0]["group"]] * len(who), schema.field("group").type), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.array(at, pa.int32()), pa.array([rows[i]["node"] for i in who], pa.int64()), pa.array(parts[who], pa.int64())],
-                schema=schema,
-            )
+            yield pa.RecordBatch.from_pylist([{c: rows[i][c] for c in ("group", "node", "component", "side")} for i in who], SCREENED)
 
 
 def block_links(stream, size, share, lower):
@@ -235,10 +237,9 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
     buckets of 5 minima once in 3 * 10^5 times). In every bucket the smallest node
     is the centre: members whose signature comes near are checked against it on
     full sets, and links form components. Then buckets that still hold several
-    components are checked exhaustively between these, inside tasks: signatures in blocks of
-    about ``SCREEN`` * ``BLOCK`` nodes, then full sets in blocks of ``BLOCK`` nodes, to which only nodes go
-    that have a partner of near signature there (a linked pair's signature is that far off once
-    in 3 * 10^6 times). So texts of one template that are not alike are not moved, no pair of
+    components are checked exhaustively between these, in blocks of at most ``BLOCK`` nodes,
+    inside tasks: on signatures, then on full sets, to which only nodes go that have a partner of near signature there (a linked pair's signature is that far off once
+    in 3 * 10^6 times); a pair is compared in the first bucket it shares. So texts of one template that are not alike are not moved, no pair of
     a bucket is skipped, and neither pairs nor anything but links leave the last task. Repeated rows and repeated ids are further members of their
     node's component. Nodes, candidates and texts stay in tables; the driver sees
     counts alone.
@@ -261,7 +262,7 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
     texts = written(
         held.join(reps, F.col("_d").eqNullSafe(F.col("doc_id")) & (F.col("_k") == F.col("text_key"))).select("node", "text")
     )
-    signs = written(first.select("node", "signature").join(wanted, "node", "left_semi"))
+    signs = written(first.select("node", "signature", "marks").join(wanted, "node", "left_semi"))
 
     # Stars: members against their buckets' centres, large groups of a centre in parts.
     stars = members.where("node <> centre").select(F.col("node").alias("u"), F.col("centre").alias("v")).distinct()
@@ -287,12 +288,11 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
         "bucket", "node", F.coalesce("component", "node").alias("component")
     )
     counts = placed.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("m"))
-    block = SCREEN * BLOCK
-    large = F.col("m") >= block
+    large = F.col("m") >= BLOCK
     open_buckets = counts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("n"),
-        F.ceil(F.sum(F.when(large, 0).otherwise(F.col("m"))) / block).cast("long").alias("mixed"),
-        F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("m") / block).cast("long").alias("blocks")))).alias("large"),
+        F.ceil(F.sum(F.when(large, 0).otherwise(F.col("m"))) / BLOCK).cast("long").alias("mixed"),
+        F.collect_list(F.when(large, F.struct("component", F.ceil(F.col("m") / BLOCK).cast("long").alias("blocks")))).alias("large"),
     ).where("n > 1")
     # a block: (-1, i) holds members of small components, (c, i) members of the large component c
     mixed = F.when(F.col("mixed") > 0, F.transform(F.sequence(F.lit(1).cast("long"), F.col("mixed")), lambda i: F.struct(F.lit(-1).cast("long").alias("c"), (i - 1).alias("i"))))
@@ -300,7 +300,7 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
         F.coalesce(mixed, F.array().cast("array<struct<c:bigint,i:bigint>>")),
         F.flatten(F.transform("large", lambda x: F.transform(F.sequence(F.lit(1).cast("long"), x["blocks"]), lambda i: F.struct(x["component"].alias("c"), (i - 1).alias("i"))))),
     )
-    own = F.when(large, F.struct(F.col("component").alias("c"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / block).cast("long")).alias("i"))).otherwise(
+    own = F.when(large, F.struct(F.col("component").alias("c"), F.pmod(F.xxhash64("node"), F.ceil(F.col("m") / BLOCK).cast("long")).alias("i"))).otherwise(
         F.struct(F.lit(-1).cast("long").alias("c"), F.pmod(F.xxhash64("node"), F.col("mixed")).alias("i")))
     paired = (
         placed.join(counts, ["bucket", "component"]).join(open_buckets, "bucket")
@@ -308,22 +308,16 @@ def near_groups(docs, id_col="doc_id", text_col="text", size=5, share=80, bands=
         .select("*", F.explode(F.filter("blocks", lambda b: (b["c"] != F.col("own")["c"]) | (b["c"] == -1))).alias("with"))
         .select(
             "node", "component", (F.col("own") > F.col("with")).cast("int").alias("side"),
-            F.pmod(F.xxhash64("node", F.lit("small")), F.lit(SCREEN).cast("long")).alias("small"),
             F.struct("bucket", F.least("own", "with").alias("a"), F.greatest("own", "with").alias("b")).alias("group"),
         )
     )
-    met = T.StructType([
-        T.StructField("group", paired.schema["group"].dataType), T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-        T.StructField("side", T.IntegerType()), T.StructField("node", T.LongType()), T.StructField("component", T.LongType()),
-    ])
-    arrow = to_arrow_schema(met)
     screened = written(
-        paired.join(signs, "node").select("group", "node", "component", "side", "small", "signature")
+        paired.join(signs, "node").select("group", "node", "component", "side", "signature", "marks")
         .repartition("group").sortWithinPartitions("group")
-        .mapInArrow(lambda s: block_screen(s, share / 100 - margin, arrow), met)
+        .mapInArrow(lambda s: block_screen(s, share / 100 - margin), paired.select("group", "node", "component", "side").schema)
     )
     more = written(
-        screened.join(texts, "node").select(F.struct("group", "a", "b").alias("group"), "node", "component", "side", "text")
+        screened.join(texts, "node").select("group", "node", "component", "side", "text")
         .repartition("group").sortWithinPartitions("group")
         .mapInArrow(lambda s: block_links(s, size, share, lower), "u long, v long")
     )

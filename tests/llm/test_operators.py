@@ -388,19 +388,24 @@ def test_block_links_join_all_components():
 
 
 def test_screen_keeps_nodes_with_near_signatures():
-    schema = pa.schema([("group", pa.int64()), ("a", pa.int64()), ("b", pa.int64()), ("side", pa.int32()), ("node", pa.int64()), ("component", pa.int64())])
     draw = np.random.default_rng(3)
     one, two = draw.integers(0, 2**16, (2, 160)).astype(np.uint16)
     near = np.where(np.arange(160) < 120, one, two)
-    table = lambda sides, components: pa.RecordBatch.from_pylist([
-        {"group": 1, "node": i, "component": c, "side": x, "small": i % 2, "signature": sign.tobytes()}
-        for i, (sign, x, c) in enumerate(zip([one, two, near, near], sides, components))])
-    found = lambda *t: [tuple(r[c] for c in ("a", "b", "side", "node")) for b in minhash.block_screen(iter([table(*t)]), 0.64, schema) for r in b.to_pylist()]
-    # nodes 0 and 2 are in small block 0, 3 is in block 1; two has no partner
-    assert found([0] * 4, [0, 1, 2, 3]) == [(0, 0, 0, 0), (0, 0, 0, 2), (0, 1, 0, 0), (0, 1, 0, 2), (0, 1, 1, 3)]
-    assert found([0] * 4, [0, 1, 2, 2]) == [(0, 0, 0, 0), (0, 0, 0, 2), (0, 1, 0, 0), (0, 1, 1, 3)]
+
+    def found(sides, components, first=(1, 2, 3, 4)):
+        block = {"c": -1, "i": 0}
+        rows = [
+            {"group": {"bucket": 9, "a": block, "b": block}, "node": i, "component": c, "side": x, "signature": sign.tobytes(), "marks": np.array([f, 9, 0]).tobytes()}
+            for i, (sign, x, c, f) in enumerate(zip([one, two, near, near], sides, components, first))]
+        return [r["node"] for b in minhash.block_screen(iter([pa.RecordBatch.from_pylist(rows)]), 0.64) for r in b.to_pylist()]
+
+    # two has no partner; where the first bucket is shared, the pair is compared there
+    assert found([0] * 4, [0, 1, 2, 3]) == [0, 2, 3]
+    assert found([0] * 4, [0, 1, 2, 3], [1, 2, 1, 1]) == []
+    assert found([0] * 4, [0, 1, 2, 2], [1, 2, 1, 4]) == [0, 3]
     assert found([0, 0, 0, 1], [0, 1, 0, 0]) == []
-    assert found([0, 0, 1, 0], [0, 1, 2, 0]) == [(0, 0, 0, 0), (0, 0, 1, 2), (1, 0, 0, 3), (1, 0, 1, 2)]
+    assert found([0, 0, 1, 0], [0, 1, 2, 0]) == [0, 2, 3]
+    assert found([0, 0, 1, 1], [0, 1, 2, 0]) == [0, 2]
 
 
 def test_texts_of_one_template_stay_where_they_are(spark, monkeypatch):
