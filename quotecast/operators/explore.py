@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from quotecast.functions.columns import join_on_keys, safe_corr
 from quotecast.functions.quantiles import (
+    counted_statistics,
     exact_quantiles,
     quantile_values,
     quantiles_of,
@@ -174,7 +175,10 @@ def stats(df, value, by=(), weight=None):
     ``weight`` names a column with the number of rows that a row stands for.
     """
     rows = df.dropna(subset=list(by)) if by else df
-    found = exact_quantiles(rows, [value], [0.5], by, moments=True, weight=weight)
+    return _stats_table(exact_quantiles(rows, [value], [0.5], by, moments=True, weight=weight), by)
+
+
+def _stats_table(found, by):
     return found.select(
         *by,
         "min",
@@ -190,22 +194,22 @@ def stats(df, value, by=(), weight=None):
 def stats_by_each(df, value, groups):
     """Statistics by every grouping column and overall: group, key, min ... count.
 
-    Rows are counted once for all grouping columns and the value together; those
-    counts are rolled up for each set, so one aggregate serves all. ``group`` tells the
-    sets apart, whatever the keys hold.
+    Rows are counted and sorted once, for all grouping columns and the value together, by
+    value first. Each set rolls these counts up part by part; only the parts that hold
+    a median are unfolded for it. ``group`` tells the sets apart, whatever the keys hold.
     """
     tags = [F.struct(F.lit("all").alias("group"), F.lit(None).cast("string").alias("key"))]
     tags += [
         F.struct(F.lit(g).alias("group"), F.col(f"_{g}").cast("string").alias("key")) for g in groups
     ]
-    fine = df.groupBy(*[F.col(g).alias(f"_{g}") for g in groups], F.col(value).alias("_value")).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    rows = fine.select("_value", "_rows", F.inline(F.array(*tags))).where(
+    rows = df.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col(value).alias("_value"))
+    fine = value_counts(rows, ["_value"], [f"_{g}" for g in groups], missing=True, by_value=True)
+    counts = fine.select("column", "_v", "_c", "_part", F.inline(F.array(*tags))).where(
         (F.col("group") == "all") | F.col("key").isNotNull()
     )
-    rows = rows.withColumn("key", F.coalesce("key", F.lit("")))
-    return stats(rows, "_value", ["group", "key"], weight="_rows")
+    counts = counts.withColumn("key", F.coalesce("key", F.lit("")))
+    by = ["group", "key"]
+    return _stats_table(counted_statistics(counts, [0.5], by), by)
 
 
 def monthly_mean(df, value, by=(), date="date"):

@@ -2,8 +2,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quotecast.functions import ordered, quantiles
+from quotecast.functions import lineage, ordered, quantiles
 from quotecast.functions.chain import chain_fit, violation
+from quotecast.operators import explore
 
 PROBS = [0.05, 0.25, 0.5, 0.75, 0.95]
 
@@ -254,3 +255,46 @@ def test_constant_input_is_kept(spark):
     v, low, up = (F.array_repeat(F.lit(x), n) for x, n in ((5.0, 6), (-1.0, 5), (0.0, 5)))
     fits = [chain_fit(o, v, low, up, F.lit(0.0), F.lit(9.0)) for o in ("l1", "l2")]
     assert all(list(x) == [5.0] * 6 for x in spark.range(1).select(*fits).first())
+
+
+def test_part_stays_bounded_and_statistics_move_few_rows(spark):
+    """Parts do not grow with the table, and moments and quantiles move parts, not all counts."""
+    table = spark.range(20_000).select(F.col("id").cast("double").alias("a"))
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    try:
+        counts = quantiles.lay_out(quantiles.value_counts(table, ["a"], missing=True).drop("_part"), ["column", "_v"], 6)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    assert counts.groupBy("_part").count().agg(F.max("count")).first()[0] <= 64
+    found = quantiles.counted_statistics(counts, [0.5])
+    assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+    row = found.first()
+    assert (row["n"], row["min"], row["max"], row["mean"], row["q"]) == (20_000, 0.0, 19_999.0, 9_999.5, [9_999.5])
+    assert row["std"] == pytest.approx(np.std(np.arange(20_000.0), ddof=1))
+
+
+def test_checkpoint_keeps_columns_apart(spark):
+    """A reader of one column reads that column; what Parquet cannot hold is kept too."""
+    df = spark.range(5).select("id", F.lit("x").alias("s"))
+    kept = lineage.checkpoint(df)
+    assert kept.schema.names == ["id", "s"] and kept.select("id").inputFiles()
+    odd = df.select("id", F.lit(None).alias("none"), F.col("s").alias("ID2")).withColumn("c", F.expr("make_interval(0, 1)"))
+    assert lineage.checkpoint(odd).count() == 5
+
+
+def test_rolled_up_counts_equal_each_set(spark):
+    """Values shared by keys, over many parts, in every set of groups."""
+    rows = spark.range(6_000).select(
+        F.concat(F.lit("g"), F.col("id") % 3).alias("g"),
+        F.when(F.col("id") % 11 > 0, F.concat(F.lit("h"), F.col("id") % 17)).alias("h"),
+        F.when(F.col("id") % 7 > 0, F.col("id") % 901 / 3).alias("v"))
+    got = {(r["group"], r["key"]): r for r in explore.stats_by_each(rows, "v", ["g", "h"]).collect()}
+    for name, by in (("all", F.lit("")), ("g", F.col("g")), ("h", F.col("h"))):
+        want = rows.where(by.isNotNull()).groupBy(by.alias("k")).agg(
+            F.count("v"), F.min("v"), F.max("v"), F.avg("v"), F.stddev_samp("v"), F.median("v"))
+        for k, n, *numbers in want.collect():
+            row = got.pop((name, k))
+            assert row["count"] == n
+            assert [row[x] for x in ("min", "max", "mean", "std", "median")] == pytest.approx(numbers, rel=1e-9)
+    assert not got
