@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from quotecast.functions.columns import clamp, nan_to_null
 from quotecast.functions.lineage import checkpoint
 from quotecast.functions.ordered import blend, carry_back, carry_forward, near_rows
-from quotecast.functions.quantiles import counted_quantiles, quantile_values, value_counts
+from quotecast.functions.quantiles import counted_quantiles, lay_out, quantile_values, value_counts
 from quotecast.operators.filters import drop_incomplete
 from quotecast.schema import MEASURES, is_numeric, is_temporal
 
@@ -59,6 +59,8 @@ def clean(df, config=None, keys=(), order_by=("date",)):
     for c, s in plan:
         _check(c, s)
     run = _Cleaning(keys, order_by)
+    if any(s.get("missing") in ORDERED_FILLS for _, s in plan):
+        df = checkpoint(df)  # counted, sampled and sorted: the input is read once
     run.count(df, plan)
     stage = []
     for c, strategy in plan:
@@ -195,9 +197,9 @@ class _Cleaning:
             again = [c for c in fills if c in anew]
             rows = rows.where(~F.col("column").isin(again)).unionByName(
                 value_counts(df.select(*again), again).select("column", "_v", "_c"))
-        laid_out = rows.groupBy("column", "_v").agg(F.sum("_c").alias("_c")).repartitionByRange("column", "_v")
+        laid_out = lay_out(rows.groupBy("column", "_v").agg(F.sum("_c").alias("_c")), ["column", "_v"])
         last = counts.agg(F.max("_part")).first()[0] or 0
-        laid_out = checkpoint(laid_out.withColumn("_part", F.spark_partition_id() + F.lit(last + 1)))
+        laid_out = laid_out.withColumn("_part", F.col("_part") + F.lit(last + 1))
         return counts.where(~changed).unionByName(laid_out.select(counts.columns))
 
     def _most_frequent(self, column):
@@ -212,10 +214,16 @@ class _Cleaning:
         columns = df.columns
         scanned = near_rows(df, self.keys, self.order_by, list(ordered))
         near = F.col("_near")
-        return scanned.withColumns({
-            c: ORDERED_FILLS[how](near[c]["back"], near[c]["ahead"]).cast("double" if how == "interpolate" else df.schema[c].dataType)
-            for c, how in ordered.items()
-        }).select(*columns)
+        # Columns of their own are worked out once a row, and only in gaps: a known value is its own fill.
+        ends = {(c, x): f"_{i}_{x}" for i, c in enumerate(ordered) for x in ("back", "ahead")}
+        scanned = scanned.withColumns({name: F.when(F.col(c).isNull(), near[c][x]) for (c, x), name in ends.items()})
+        filled = {}
+        for c, how in ordered.items():
+            kind = "double" if how == "interpolate" else df.schema[c].dataType
+            fill = ORDERED_FILLS[how](F.col(ends[c, "back"]), F.col(ends[c, "ahead"]))
+            filled[c] = F.coalesce(F.col(c).cast(kind), fill.cast(kind))
+        # Written: filters on filled columns would else be pushed below the fill and repeat it.
+        return checkpoint(scanned.withColumns(filled).select(*columns))
 
     def _treat_outliers(self, df, treated, counts):
         bounds = _bounds(counted_quantiles(counts, list(treated), BOUNDS))
