@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quotecast.functions.chain import chain_fit, violation
 from quotecast.functions.columns import attach, clamp, join_on_keys
 from quotecast.functions.folds import fold
+from quotecast.functions.lineage import checkpoint
 from quotecast.functions.ordered import neighbours
 from quotecast.functions.quantiles import exact_quantiles
 
@@ -50,7 +51,7 @@ def derive_constraints(history, value, keys=(), kind="auto", order_by=("date",))
     v = F.col("_value")
     aggs = []
     if smooth or trend:
-        rows = neighbours(rows, keys, [*order_by, "_value"], "_value")
+        rows = neighbours(checkpoint(rows), keys, [*order_by, "_value"], "_value")
         rows = rows.withColumn("_change", F.abs(v - F.col("_lag")))
     if bounds:
         span = (F.max(v) - F.min(v)) * MARGIN
