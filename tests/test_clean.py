@@ -194,3 +194,13 @@ def test_isolation_forest_finds_far_values(spark):
     assert (flagged[flagged.anomaly].v > 100).mean() > 0.9
     again = anomaly.flag_anomalies(df, "v", "isolation_forest").toPandas()
     assert sorted(again[again.anomaly].v) == sorted(flagged[flagged.anomaly].v)
+
+
+def test_filled_table_is_not_filled_again_by_later_steps(spark):
+    rows = spark.range(200).select(
+        F.lit("k").alias("k"), F.lit(1.0).alias("lead_time"), F.expr("date_add(DATE '2020-01-01', int(id))").alias("date"),
+        F.when(F.col("id") % 10 != 5, F.col("id").cast("double")).alias("price"))
+    done = clean.clean(rows, {"price": {"missing": "interpolate"}}, ["k"], ["date"])
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" not in plan
+    assert sorted(r["price"] for r in done.collect()) == [float(i) for i in range(200)]
